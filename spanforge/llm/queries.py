@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import simhash
+from spanforge.llm import simhash, token_count
 from spanforge.llm.common import documents
 
 
@@ -14,8 +14,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(documents(spark, sf_dir))
 
 
+def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.op9(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    return {"op7_simhash": op7_simhash, "op9_token_count": op9_token_count}
 
 
 def oracle_sql() -> dict[str, str]:
