@@ -6,21 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import simhash, token_count
+from spanforge.llm import chat_format, license_scan, simhash, token_count
 from spanforge.llm.common import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op1(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(documents(spark, sf_dir))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op9(documents(spark, sf_dir))
 
 
+QUERIES = (op1_license_scan, op7_simhash, op8_chat_format, op9_token_count)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash, "op9_token_count": op9_token_count}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_format": chat_format.ORACLE_SQL}
