@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import chat_format, license_scan, simhash, substring_dedup, token_count
+from spanforge.llm import chat_format, license_scan, packing, simhash, substring_dedup, token_count
 from spanforge.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op1(documents(spark, sf_dir))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op3(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op4(documents(spark, sf_dir))
 
@@ -30,7 +34,7 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op9(documents(spark, sf_dir))
 
 
-QUERIES = (op1_license_scan, op4_substring_dedup, op7_simhash, op8_chat_format, op9_token_count)
+QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op7_simhash, op8_chat_format, op9_token_count)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
