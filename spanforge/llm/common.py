@@ -115,7 +115,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]] if len(off) else data[:0], off - off[0]
 
 
-def chunks(col: pa.Array, most: int = 4 << 20):
+def chunks(col: pa.Array, most: int = 1 << 20):
     """Split a column into runs (first row, end row) of about `most` bytes; a longer text stands alone."""
     if not len(col):
         return

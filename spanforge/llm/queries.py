@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import chat_format, license_scan, packing, simhash, substring_dedup, token_count
+from spanforge.llm import chat_format, license_scan, packing, quality_lm, simhash, substring_dedup, token_count
 from spanforge.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op4(documents(spark, sf_dir))
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(documents(spark, sf_dir))
 
@@ -34,7 +38,7 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op9(documents(spark, sf_dir))
 
 
-QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op7_simhash, op8_chat_format, op9_token_count)
+QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op6_quality_lm, op7_simhash, op8_chat_format, op9_token_count)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,7 +34,7 @@ from spanforge.llm.common import chunks, mix, powers, text_buffer, word_hashes,
 WINDOW = 35
 MIN_BITS, MAX_BITS, SHARD_BITS = 21, 30, 20
 #: Windows that a task holds at a time.
-HELD = 3 << 20
+HELD = 1 << 20
 
 
 def windows(col: pa.Array, width: int, rows: int):
@@ -71,10 +71,10 @@ def _cells(b: bytes) -> np.ndarray:
 
 def sketch_bits(docs: DataFrame, most: int = MAX_BITS) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(most, max(MIN_BITS, int(4 * size / 6).bit_length()))
+    return min(most, max(MIN_BITS, int(8 * size / 6).bit_length()))
 
 
-def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> np.ndarray:
+def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
     """The merged sketch, one bit a cell: set where at least two windows were counted."""
 
     def flush(held):
@@ -129,10 +129,10 @@ def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> np.ndarra
     step = 1 << (SHARD_BITS - 3)
     for r in merged.toLocalIterator():
         out[r.shard * step : (r.shard + 1) * step] = np.frombuffer(r.many, dtype=np.uint8)
-    return out
+    return out.tobytes()
 
 
-def covered_ranges(keyed: DataFrame, sketch: np.ndarray, bits: int, width: int = WINDOW) -> DataFrame:
+def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WINDOW) -> DataFrame:
     """(k1, k2, a, b): words a..b-1 of the text with key (k1, k2) are covered by repeated windows."""
     shared = keyed.sparkSession.sparkContext.broadcast(sketch)
     names = ["h1", "h2", "k1", "k2", "a", "n"]
@@ -164,7 +164,7 @@ def covered_ranges(keyed: DataFrame, sketch: np.ndarray, bits: int, width: int =
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     def candidates(batches):
-        many = shared.value
+        many = np.frombuffer(shared.value, dtype=np.uint8)
         held, n = [], 0
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
