@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import chunks, small, stored, text_buffer
 
 ORDER = 5
-PRIOR, QUANTILE, SLACK = 60, 0.995, 1.05
+PRIOR, QUANTILE, SLACK = 200, 0.995, 1.06
 BROADCAST_ROWS = 6_000_000
 HELD = 8 << 20
 
