@@ -7,6 +7,9 @@ the counts up. Discounts come from counts of counts; lower orders use continuati
 n-gram. Scoring looks n-grams up in a broadcast copy if the tables' row count, checked
 first, is below `BROADCAST_ROWS`; else documents' distinct n-grams are joined with the sharded tables.
 
+Trusted documents fall into two folds by a hash of their text; each fold has a model, and every document
+is scored by the model of the fold that it isn't in, so that trusted and other documents are judged alike.
+
 A document's score is its mean negative log probability per byte, drawn towards its language's mean over
 trusted documents with the weight of `PRIOR` bytes, because a few words tell little. It is rejected if
 its perplexity exceeds its language's `QUANTILE` of the trusted documents' by more than the factor `SLACK` in log terms.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import chunks, small, stored, text_buffer
 
 ORDER = 5
-PRIOR, QUANTILE, SLACK = 200, 0.995, 1.06
+PRIOR, QUANTILE, SLACK = 200, 0.995, 1.02
 BROADCAST_ROWS = 6_000_000
 HELD = 8 << 20
 
@@ -55,26 +58,35 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("q = 1 and t = 0 and doc_id is not null").select("doc_id")
 
 
+def with_fold(docs: DataFrame) -> DataFrame:
+    """docs with __fold, 0 or 1: equal texts share a fold."""
+    return docs.withColumn("__fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+
+
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) over all texts."""
+    """(fold, gram, n) over all texts; docs has __fold."""
 
     def run(batches):
-        held, size = [], 0
+        held, size = ([], []), 0
         for b in batches:
-            for _, key, _ in grams(b.column(0), order):
-                held.append(key)
+            fold = b.column(1).to_numpy()
+            for first, key, off in grams(b.column(0), order):
+                of = np.repeat(fold[first : first + len(off) - 1], np.diff(off))
+                for f in (0, 1):
+                    held[f].append(key[of == f])
                 size += len(key)
                 if size >= HELD:
-                    yield batch(held)
-                    held, size = [], 0
+                    yield from flush(held)
+                    held, size = ([], []), 0
         if size:
-            yield batch(held)
+            yield from flush(held)
 
-    def batch(held):
-        g, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["gram", "n"])
+    def flush(held):
+        for f in (0, 1):
+            g, n = np.unique(np.concatenate(held[f]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), f, np.int32)), pa.array(g.view(np.int64)), pa.array(n)], names=["fold", "gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "__fold").mapInArrow(run, "fold int, gram bigint, n bigint").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model(NamedTuple):
@@ -91,27 +103,31 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of each fold; docs has __fold."""
     counts = {order: stored(count_grams(docs, order))}
     for k in range(order - 1, 0, -1):
         low = (1 << 8 * k) - 1
-        counts[k] = stored(counts[k + 1].select(F.col("gram").bitwiseAND(F.lit(low)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+        shorter = counts[k + 1].select("fold", F.col("gram").bitwiseAND(F.lit(low)).alias("gram"))
+        counts[k] = stored(shorter.groupBy("fold", "gram").agg(F.count("*").alias("n")))
     probs, backs, lower = [], [], None
     for k in range(1, order + 1):
-        found = counts[k].agg(*(F.count_if(F.col("n") == i) for i in range(1, 5))).first()
-        d = discounts(*found)
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        off = F.lit(None).cast("double")
+        for fold, *found in counts[k].groupBy("fold").agg(*(F.count_if(F.col("n") == i) for i in range(1, 5))).collect():
+            d = discounts(*found)
+            own = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+            off = F.when(F.col("fold") == fold, own).otherwise(off)
         t = counts[k].withColumns({"ctx": F.shiftright("gram", 8), "off": off})
-        ctx = t.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("off").alias("mass"))
-        ctx = ctx.select("ctx", "total", (F.col("mass") / F.col("total")).alias("gamma"))
-        p = t.join(ctx, "ctx").withColumn("own", (F.col("n") - F.col("off")) / F.col("total"))
+        ctx = t.groupBy("fold", "ctx").agg(F.sum("n").alias("total"), F.sum("off").alias("mass"))
+        ctx = ctx.select("fold", "ctx", "total", (F.col("mass") / F.col("total")).alias("gamma"))
+        p = t.join(ctx, ["fold", "ctx"]).withColumn("own", (F.col("n") - F.col("off")) / F.col("total"))
         if lower is None:
             p = p.withColumn("low", F.lit(1 / 256))
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-            p = p.withColumn("suffix", suffix).join(lower.select(F.col("gram").alias("suffix"), F.exp("lp").alias("low")), "suffix")
-        lower = stored(p.select("gram", F.log(F.col("own") + F.col("gamma") * F.col("low")).alias("lp")))
+            p = p.withColumn("suffix", suffix).join(lower.select("fold", F.col("gram").alias("suffix"), F.exp("lp").alias("low")), ["fold", "suffix"])
+        lower = stored(p.select("fold", "gram", F.log(F.col("own") + F.col("gamma") * F.col("low")).alias("lp")))
         probs.append(lower)
-        backs.append(stored(ctx.select(F.col("ctx").alias("gram"), F.log("gamma").alias("lb"))))
+        backs.append(stored(ctx.select("fold", F.col("ctx").alias("gram"), F.log("gamma").alias("lb"))))
     return Model(order, probs, backs)
 
 
@@ -163,7 +179,7 @@ _built: dict[str, list] = {}
 def _tables(name: str, shared) -> list:
     if name not in _built:
         _built.clear()
-        _built[name] = [(Table(*p), Table(*b)) for p, b in shared.value]
+        _built[name] = [[(Table(*p), Table(*b)) for p, b in fold] for fold in shared.value]
     return _built[name]
 
 
@@ -186,24 +202,29 @@ def log_probs(tables, keys: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with __n (bytes) and __nll (their summed negative log probability)."""
+    """docs, which has __fold, with __n (bytes) and __nll (their summed negative log probability under the
+    other fold's model, or the only one there is)."""
     if sum(t.count() for t in [*model.probs, *model.backs]) > most_rows:
         return _score_sharded(docs, model)
-    arrays = []
+    arrays = [[], []]
     for p, b in zip(model.probs, model.backs):
-        arrays.append([])
-        for t in (p, b):
-            x = t.toArrow()
-            arrays[-1].append((x.column(0).to_numpy().astype(np.int64).view(np.uint64), x.column(1).to_numpy()))
+        pair = [(x.column(0).to_numpy(), x.column(1).to_numpy().astype(np.int64).view(np.uint64), x.column(2).to_numpy()) for x in (p.toArrow(), b.toArrow())]
+        for fold in (0, 1):
+            arrays[fold].append([(keys[of == fold], values[of == fold]) for of, keys, values in pair])
+    arrays = [x if len(x[0][0][0]) else y for x, y in zip(arrays, arrays[::-1])]
     shared, name, order = docs.sparkSession.sparkContext.broadcast(arrays), uuid.uuid4().hex, model.order
 
     def run(batches):
         tables = _tables(name, shared)
         for b in batches:
-            n, nll = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            n, nll, fold = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), b.column("__fold").to_numpy()
             for first, keys, off in grams(b.column("text"), order):
-                sums = np.concatenate([[0.0], np.cumsum(log_probs(tables, keys))])[off]
-                n[first : first + len(off) - 1], nll[first : first + len(off) - 1] = np.diff(off), -np.diff(sums)
+                last = first + len(off) - 1
+                of = np.repeat(fold[first:last], np.diff(off))
+                lp = np.empty(len(keys))
+                for f in (0, 1):
+                    lp[of == f] = log_probs(tables[1 - f], keys[of == f])
+                n[first:last], nll[first:last] = np.diff(off), -np.diff(np.concatenate([[0.0], np.cumsum(lp)])[off])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(nll)], names=[*b.schema.names, "__n", "__nll"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -214,29 +235,31 @@ def _score_sharded(docs: DataFrame, model: Model) -> DataFrame:
     """The same by joins: a document's distinct n-grams go to the shards of the tables."""
     keyed = docs.withColumns({"__k": F.xxhash64(F.lit(1), "doc_id", "text"), "__j": F.xxhash64(F.lit(2), "doc_id", "text")})
     order = model.order
+    folds = [r[0] for r in model.probs[0].select("fold").distinct().collect()]  # at most 2
+    use = 1 - F.col("__fold") if len(folds) > 1 else F.lit(folds[0] if folds else 0)
 
     def run(batches):
         for b in batches:
-            k, j = b.column("__k").to_numpy(), b.column("__j").to_numpy()
+            k, j, f = b.column("__k").to_numpy(), b.column("__j").to_numpy(), b.column("fold").to_numpy()
             for first, keys, off in grams(b.column("text"), order):
                 for i, (x, y) in enumerate(zip(off[:-1], off[1:])):
                     g, n = np.unique(keys[x:y], return_counts=True)
                     at = first + i
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k[at])), pa.array(np.full(len(g), j[at])), pa.array(g.view(np.int64)), pa.array(n)], names=["__k", "__j", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k[at])), pa.array(np.full(len(g), j[at])), pa.array(np.full(len(g), f[at])), pa.array(g.view(np.int64)), pa.array(n)], names=["__k", "__j", "fold", "gram", "n"])
 
-    own = keyed.dropDuplicates(["__k", "__j"]).select("__k", "__j", "text").mapInArrow(run, "__k bigint, __j bigint, gram bigint, n bigint")
-    distinct = stored(own.select("gram").distinct())
-    open_ = distinct.select(F.col("gram").alias("g0"), "gram", F.lit(0.0).alias("acc"))
+    own = keyed.dropDuplicates(["__k", "__j"]).select("__k", "__j", use.cast("int").alias("fold"), "text").mapInArrow(run, "__k bigint, __j bigint, fold int, gram bigint, n bigint")
+    distinct = stored(own.select("fold", "gram").distinct())
+    open_ = distinct.select("fold", F.col("gram").alias("g0"), "gram", F.lit(0.0).alias("acc"))
     done = None
     for k in range(order, 0, -1):
-        x = stored(open_.join(model.probs[k - 1], "gram", "left"))
-        hit = x.where("lp is not null").select("g0", (F.col("acc") + F.col("lp")).alias("lp"))
+        x = stored(open_.join(model.probs[k - 1], ["fold", "gram"], "left"))
+        hit = x.where("lp is not null").select("fold", "g0", (F.col("acc") + F.col("lp")).alias("lp"))
         done = hit if done is None else done.union(hit)
         x = x.where("lp is null").withColumn("ctx", F.shiftright("gram", 8))
-        x = x.join(model.backs[k - 1].withColumnRenamed("gram", "ctx"), "ctx", "left")
-        open_ = x.select("g0", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram"), (F.col("acc") + F.coalesce("lb", F.lit(0.0))).alias("acc"))
-    done = stored(done.union(open_.select("g0", F.col("acc") + F.lit(log(1 / 256)))))
-    sums = own.join(done, own["gram"] == done["g0"]).groupBy("__k", "__j").agg(F.sum("n").alias("__n"), (-F.sum(F.col("n") * F.col("lp"))).alias("__nll"))
+        x = x.join(model.backs[k - 1].withColumnRenamed("gram", "ctx"), ["fold", "ctx"], "left")
+        open_ = x.select("fold", "g0", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram"), (F.col("acc") + F.coalesce("lb", F.lit(0.0))).alias("acc"))
+    done = stored(done.union(open_.select("fold", "g0", F.col("acc") + F.lit(log(1 / 256)))))
+    sums = own.join(done.withColumnRenamed("g0", "gram"), ["fold", "gram"]).groupBy("__k", "__j").agg(F.sum("n").alias("__n"), (-F.sum(F.col("n") * F.col("lp"))).alias("__nll"))
     out = keyed.join(sums, ["__k", "__j"], "left")
     return out.select(*docs.columns, F.coalesce("__n", F.lit(0)).alias("__n"), F.coalesce("__nll", F.lit(0.0)).alias("__nll"))
 
@@ -245,6 +268,7 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, prior: float
     """docs (without text unless asked) with __n, __perplexity, __threshold and __keep."""
     ids = stored(trusted_ids(labels))
     named = small(ids.withColumnRenamed("doc_id", "__id"))
+    docs = with_fold(docs)
     model = train(docs.join(named, docs["doc_id"] == F.col("__id"), "left_semi"), order)
     marked = docs.join(named, docs["doc_id"] == F.col("__id"), "left").withColumn("__good", F.col("__id").isNotNull()).drop("__id")
     marked = score(marked, model, most_rows).withColumn("__lang", F.coalesce("lang", F.lit("")))
