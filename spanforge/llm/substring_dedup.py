@@ -1,6 +1,7 @@
 """Repeated passages: every word covered by a 35-word window that also starts elsewhere is removed.
 
-Two passes over the texts, both vectorised over Arrow buffers:
+Equal texts are found first, by a 128-bit hash: each of them is covered wholly, and one of them stands
+for all in what follows. Then two passes over the texts, both vectorised over Arrow buffers:
 
 1. Each partition counts its windows in a sketch (one row of saturating counters, addressed by the
    window's hash) and sends the cells it touched, in shards of the sketch; a merging task per shard adds
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import chunks, mix, powers, text_buffer, word_hashes, word_spans
+from spanforge.llm.common import chunks, mix, powers, small, stored, text_buffer, word_hashes, word_spans
 
 WINDOW = 35
 MIN_BITS, MAX_BITS, SHARD_BITS = 21, 30, 20
-#: Windows that a task holds at a time.
-HELD = 1 << 20
+#: Windows, and repeated windows, that a task holds at a time.
+COUNTED, HELD = 4 << 20, 1 << 20
 
 
 def windows(col: pa.Array, width: int, rows: int):
@@ -75,7 +76,7 @@ def sketch_bits(docs: DataFrame, most: int = MAX_BITS) -> int:
 
 
 def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
-    """The merged sketch, one bit a cell: set where at least two windows were counted."""
+    """The merged sketch, one bit a cell: set where at least two windows were counted. docs: as of with_keys()."""
 
     def flush(held):
         cells = np.sort(np.concatenate(held))
@@ -92,10 +93,12 @@ def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
     def count(batches):
         held, n = [], 0
         for b in batches:
-            for _, (h,), _, _ in windows(b.column(0), width, 1):
-                held.append((h >> np.uint64(64 - bits)).astype(np.uint32))
+            copied = b.column(1).to_numpy() > 0
+            for first, (h,), doc, _ in windows(b.column(0), width, 1):
+                cell = (h >> np.uint64(64 - bits)).astype(np.uint32)
+                held += [cell, cell[copied[first + doc]]]
                 n += len(h)
-                if n >= HELD:
+                if n >= COUNTED:
                     yield batch(flush(held))
                     held, n = [], 0
         if n:
@@ -123,7 +126,7 @@ def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
     def packed(shard, many):
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(many, bitorder="little").tobytes()], pa.binary())], names=["shard", "many"])
 
-    parts = docs.select("text").mapInArrow(count, "shard int, once binary, twice binary")
+    parts = docs.where("copies < 2").select("text", "copies").mapInArrow(count, "shard int, once binary, twice binary")
     merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, many binary")
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     step = 1 << (SHARD_BITS - 3)
@@ -135,45 +138,40 @@ def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
 def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WINDOW) -> DataFrame:
     """(k1, k2, a, b): words a..b-1 of the text with key (k1, k2) are covered by repeated windows."""
     shared = keyed.sparkSession.sparkContext.broadcast(sketch)
-    names = ["h1", "h2", "k1", "k2", "a", "n"]
+    names = ["h1", "h2", "k1", "k2"]  # h2 with the place, k2 with the count: dense rows shuffle smaller
 
     def flush(held):
-        h1, h2, k1, k2, pos = (np.concatenate(x) for x in zip(*held))
+        h1, h2, k1, k2, pos, weight = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((h2, h1))
         s1, s2 = h1[order], h2[order]
         cut = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]), [True]]))
-        size = np.diff(cut)
         first = np.zeros(len(h1), bool)
         first[order[cut[:-1]]] = True
         n = np.empty(len(h1), np.int64)
-        n[order] = np.repeat(size, size)
-        # n = 1: only a look elsewhere can tell; 2: known here, told to the others; below 0: a range known here
+        n[order] = np.repeat(np.add.reduceat(weight[order], cut[:-1]), np.diff(cut))
+        # n = 1: only a look elsewhere can tell; 2: known here, told to the others; 3: a range known here, of length h2
         out = [(h1[first], h2[first], k1[first], k2[first], pos[first], np.minimum(n[first], 2))]
-        at = np.flatnonzero(n > 1)
+        at = np.flatnonzero((n > 1) & (weight == 1))
         if len(at):
             breaks = np.concatenate([[True], (np.diff(at) != 1) | (k1[at[1:]] != k1[at[:-1]]) | (k2[at[1:]] != k2[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + 1)])
             a = at[breaks]
             b = at[np.concatenate([breaks[1:], [True]])]
-            out.append((mix(k1[a].view(np.uint64)), np.zeros(len(a), np.uint64), k1[a], k2[a], pos[a], -(pos[b] - pos[a] + width).astype(np.int64)))
-        return table(out)
-
-    def table(parts):
-        h1, h2, k1, k2, a, n = (np.concatenate(x) for x in zip(*parts))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        cols = [h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), k1, k2, a.astype(np.int32), n.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            out.append((mix(k1[a].view(np.uint64)), (pos[b] - pos[a] + width).astype(np.uint64), k1[a], k2[a], pos[a], np.full(len(a), 3)))
+        h1, h2, k1, k2, pos, n = (np.concatenate(x) for x in zip(*out))
+        packed = (h2 << np.uint64(32) | pos.astype(np.uint64)).view(np.int64), k2.astype(np.int64) << 2 | n
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), packed[0], k1, packed[1])], names=names)
 
     def candidates(batches):
         many = np.frombuffer(shared.value, dtype=np.uint8)
         held, n = [], 0
         for b in batches:
-            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            k1, k2, weight = b.column("k1").to_numpy(), b.column("k2").to_numpy(), b.column("copies").to_numpy().astype(np.int64) + 1
             for first, (h1, h2), doc, pos in windows(b.column("text"), width, 2):
                 cell = (h1 >> np.uint64(64 - bits)).astype(np.int64)
                 at = np.flatnonzero((many[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
                 if len(at):
                     row = first + doc[at]
-                    held.append((h1[at], h2[at], k1[row], k2[row], pos[at]))
+                    held.append((h1[at], h2[at], k1[row], k2[row], pos[at], weight[row]))
                     n += len(at)
                 if n >= HELD:
                     yield flush(held)
@@ -184,7 +182,7 @@ def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WIND
     def verify(batches):
         rest = None
         for b in batches:
-            part = [b.column(i).to_numpy() for i in range(6)]
+            part = [b.column(i).to_numpy() for i in range(4)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
             if not len(part[0]):
@@ -197,35 +195,45 @@ def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WIND
             yield told(rest)
 
     def told(part):
-        h1, h2, k1, k2, a, n = part
-        known = n < 0
-        lone = n == 1
-        edge = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (known[1:] != known[:-1]), [True]]))
-        size = np.diff(edge)
-        total = np.repeat(np.add.reduceat(np.maximum(n, 0), edge[:-1]), size) if len(size) else np.zeros(0)
+        h1, h2, k1, k2 = part
+        a, h2, n, k2 = h2 & 0xFFFFFFFF, h2 >> 32, k2 & 3, k2 >> 2
+        known, lone = n == 3, n == 1
+        order = np.lexsort((h2, known, h1))  # of one h1, seldom more than a few rows
+        s1, s2, s3 = h1[order], h2[order], known[order]
+        edge = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (s3[1:] != s3[:-1]), [True]]))
+        total = np.empty(len(h1), np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order], edge[:-1]), np.diff(edge))
         out = known | (lone & (total > 1))
-        b = a + np.where(known, -n, width)
-        return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k1, k2, a, b)], names=["k1", "k2", "a", "b"])
+        size = np.where(known, h2, width)
+        return pa.RecordBatch.from_arrays([pa.array(k1[out]), pa.array(k2[out] << 32 | a[out]), pa.array(size[out].astype(np.int32))], names=["k1", "k2a", "size"])
 
-    found = keyed.select("k1", "k2", "text").mapInArrow(candidates, "h1 bigint, h2 int, k1 bigint, k2 int, a int, n int")
-    # ranges already known ride along; the third sort key keeps them apart from windows with an equal hash
-    found = found.repartition("h1").sortWithinPartitions("h1", "h2", F.expr("n < 0"))
-    return found.mapInArrow(verify, "k1 bigint, k2 int, a int, b int")
+    found = keyed.where("copies < 2").select("k1", "k2", "copies", "text").mapInArrow(candidates, "h1 bigint, h2 bigint, k1 bigint, k2 bigint")
+    found = found.repartition("h1").sortWithinPartitions("h1").mapInArrow(verify, "k1 bigint, k2a bigint, size int")
+    return found.select("k1", F.shiftright("k2a", 32).cast("int").alias("k2"), F.col("k2a").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("a"), "size", "k2a")
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "k2": F.hash("text")})
+    """doc_id, text, a key (k1, k2) of both, and copies: 0 for a text that stands alone, 1 for the one that
+    stands for all equal texts, 2 for the others."""
+    keyed = docs.select("doc_id", "text").withColumns(
+        {"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "k2": F.hash("text"), "x1": F.xxhash64("text"), "x2": F.xxhash64(F.lit(35), "text")}
+    )
+    equal = stored(keyed.groupBy("x1", "x2").agg(F.count("*").alias("n"), F.min("k1").alias("k0")).where("n > 1").select("x1", "x2", "k0"))
+    copies = F.when(F.col("k0").isNull(), 0).when(F.col("k0") == F.col("k1"), 1).otherwise(2)
+    return keyed.join(small(equal), ["x1", "x2"], "left").select("doc_id", "text", "k1", "k2", copies.alias("copies"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text of every row."""
-    keyed = with_keys(docs.select("doc_id", "text"))
+    keyed = with_keys(docs)
     bits = sketch_bits(docs)
-    ranges = covered_ranges(keyed, repeated_cells(docs, bits, width), bits, width)
+    ranges = covered_ranges(keyed, repeated_cells(keyed, bits, width), bits, width)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = keyed.select("k1", "k2", F.lit(-1).alias("a"), F.lit(-1).alias("b"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = both.union(ranges.select("k1", "k2", "a", "b", F.lit(None).cast(kind), F.lit(None).cast("string")))
-    both = both.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "a")
+    alone = keyed.where("copies = 0")
+    both = alone.select("k1", F.shiftleft(F.col("k2").cast("bigint"), 32).alias("k2a"), F.lit(-1).alias("size"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = both.union(ranges.select("k1", "k2a", "size", F.lit(None).cast(kind), F.lit(None).cast("string")))
+    # a text and its ranges meet by (k1, k2); the text comes first
+    both = both.repartition("k1", F.shiftright("k2a", 32)).sortWithinPartitions("k1", F.shiftright("k2a", 32), "size")
 
     def one(doc_id, text, a, b):
         words = text.encode("utf-8", "surrogatepass").split()
@@ -246,15 +254,16 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             return [one(*t, a, b) for t in texts]
 
         for batch in batches:
-            k1, k2, a, b = (batch.column(i).to_numpy() for i in range(4))
-            ids, text = batch.column(4), batch.column(5)
+            k1, k2a, size = (batch.column(i).to_numpy() for i in range(3))
+            k2, a, b = k2a >> 32, k2a & 0xFFFFFFFF, (k2a & 0xFFFFFFFF) + size
+            ids, text = batch.column(3), batch.column(4)
             cut = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), [True]])).tolist() if len(k1) else [0]
             out = []
             for x, y in zip(cut, cut[1:]):
                 if (k1[x], k2[x]) != key:
                     out += done()
                     key, texts, spans = (k1[x], k2[x]), [], []
-                m = x + int(np.searchsorted(a[x:y], 0))
+                m = x + int(np.searchsorted(size[x:y], 0))
                 if m > x:
                     texts += zip(ids[x:m].to_pylist(), text[x:m].to_pylist())
                 if y > m:
@@ -269,7 +278,18 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa_kind), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
     pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    return both.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, text string")
+    schema = f"doc_id {kind}, n_words bigint, n_removed bigint, text string"
+
+    def whole(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                n = len((text or "").encode("utf-8", "surrogatepass").split())
+                out.append((doc_id, n, n, "") if n >= width else one(doc_id, text or "", (), ()))
+            if out:
+                yield rows(out)
+
+    return both.mapInArrow(run, schema).union(keyed.where("copies > 0").select("doc_id", "text").mapInArrow(whole, schema))
 
 
 def op4(docs: DataFrame) -> DataFrame:
