@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import chat_format, license_scan, packing, quality_lm, simhash, substring_dedup, token_count
+from spanforge.llm import chat_format, decontaminate, license_scan, packing, quality_lm, simhash, substring_dedup, token_count
 from spanforge.llm.common import documents
 
 
@@ -38,7 +38,11 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op9(documents(spark, sf_dir))
 
 
-QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op6_quality_lm, op7_simhash, op8_chat_format, op9_token_count)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op6_quality_lm, op7_simhash, op8_chat_format, op9_token_count, op10_decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
