@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import chat_format, decontaminate, license_scan, packing, quality_lm, simhash, substring_dedup, token_count
+from spanforge.llm import chat_format, decontaminate, license_scan, packing, quality_lm, simhash, substring_dedup, token_count, weighted_minhash
 from spanforge.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op4(documents(spark, sf_dir))
 
 
+def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.op5(documents(spark, sf_dir))
+
+
 def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -42,7 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op6_quality_lm, op7_simhash, op8_chat_format, op9_token_count, op10_decontaminate)
+QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op5_weighted_minhash, op6_quality_lm, op7_simhash, op8_chat_format, op9_token_count, op10_decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
