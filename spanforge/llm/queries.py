@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import chat_format, decontaminate, license_scan, packing, quality_lm, simhash, substring_dedup, token_count, weighted_minhash
+from spanforge.llm import chat_format, decontaminate, license_scan, packing, pii, quality_lm, simhash, substring_dedup, token_count, weighted_minhash
 from spanforge.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op1(documents(spark, sf_dir))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op2(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op3(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = (op1_license_scan, op3_best_fit_packing, op4_substring_dedup, op5_weighted_minhash, op6_quality_lm, op7_simhash, op8_chat_format, op9_token_count, op10_decontaminate)
+QUERIES = (op1_license_scan, op2_pii_surrogates, op3_best_fit_packing, op4_substring_dedup, op5_weighted_minhash, op6_quality_lm, op7_simhash, op8_chat_format, op9_token_count, op10_decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
