@@ -4,6 +4,7 @@ broadcasts, and vectorised word scanning over Arrow string buffers."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -75,6 +76,15 @@ def ascii_lower(col):
     return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())).otherwise(F.lower(col))
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers are reused, and executors' memory counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # ---- vectorised scanning of a batch of texts -------------------------------------------------------
 
 _U = np.uint64

@@ -11,8 +11,8 @@ for all in what follows. Then two passes over the texts, both vectorised over Ar
    first inside the partition, so that a passage copied a million times leaves a partition as one row,
    then across partitions - and groups of one are dropped.
 
-The sketch is sized from the input's bytes up to 2**MAX_BITS cells (128 MB as bits) and is the only thing
-broadcast; beyond that size it lets more unrepeated windows through to the exact grouping, which does not
+The sketch is sized from the input's bytes up to 2**MAX_BITS cells. A filter of its repeated cells, at most
+2**(MAX_BITS - 2) bits or 32 MB, is the only thing broadcast; beyond that size it lets more unrepeated windows through to the exact grouping, which does not
 depend on it for correctness. Texts are shuffled once, together with their covered ranges.
 
 Edge cases: null text has no words; fewer than 35 words: no window, nothing is removed; repeated rows
@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import chunks, mix, powers, small, stored, text_buffer, word_hashes, word_spans
+from spanforge.llm.common import chunks, give_back, mix, powers, small, stored, text_buffer, word_hashes, word_spans
 
 WINDOW = 35
-MIN_BITS, MAX_BITS, SHARD_BITS = 21, 30, 20
+#: Repeated cells of a shard are kept as a filter of 2**FILTER_BITS bits with two hashes.
+MIN_BITS, MAX_BITS, SHARD_BITS, FILTER_BITS = 21, 30, 20, 18
 #: Windows, and repeated windows, that a task holds at a time.
-COUNTED, HELD = 4 << 20, 1 << 20
+COUNTED, HELD = 3 << 20, 1 << 20
 
 
 def windows(col: pa.Array, width: int, rows: int):
@@ -75,8 +76,24 @@ def sketch_bits(docs: DataFrame, most: int = MAX_BITS) -> int:
     return min(most, max(MIN_BITS, int(8 * size / 6).bit_length()))
 
 
+def _places(low: np.ndarray, r: int) -> np.ndarray:
+    """Place of a cell, given by its low SHARD_BITS bits, in its shard's filter under hash r."""
+    return (mix(low + np.uint64((r + 1) << 40)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def passes(filter_: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Indices of the cells that may be repeated."""
+    at = np.arange(len(cell))
+    for r in (0, 1):
+        c = cell[at]
+        i = (c >> np.uint64(SHARD_BITS)).astype(np.int64) << FILTER_BITS | _places(c & np.uint64((1 << SHARD_BITS) - 1), r)
+        at = at[((filter_[i >> 3] >> (i & 7).astype(np.uint8)) & 1).astype(bool)]
+    return at
+
+
 def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
-    """The merged sketch, one bit a cell: set where at least two windows were counted. docs: as of with_keys()."""
+    """A filter of the merged sketch's cells that counted at least two windows; it passes all of them, and
+    about one in fifty others. docs: as of with_keys()."""
 
     def flush(held):
         cells = np.sort(np.concatenate(held))
@@ -103,6 +120,7 @@ def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
                     held, n = [], 0
         if n:
             yield batch(flush(held))
+        give_back()
 
     def batch(rows):
         s, once, twice = zip(*rows)
@@ -124,12 +142,16 @@ def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
             yield packed(shard, many)
 
     def packed(shard, many):
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(many, bitorder="little").tobytes()], pa.binary())], names=["shard", "many"])
+        bits_set = np.zeros(1 << FILTER_BITS, bool)
+        cells = np.flatnonzero(many).astype(np.uint64)
+        for r in (0, 1):
+            bits_set[_places(cells, r)] = True
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(bits_set, bitorder="little").tobytes()], pa.binary())], names=["shard", "many"])
 
     parts = docs.where("copies < 2").select("text", "copies").mapInArrow(count, "shard int, once binary, twice binary")
     merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, many binary")
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    step = 1 << (SHARD_BITS - 3)
+    step = 1 << (FILTER_BITS - 3)
+    out = np.zeros(step << (bits - SHARD_BITS), dtype=np.uint8)
     for r in merged.toLocalIterator():
         out[r.shard * step : (r.shard + 1) * step] = np.frombuffer(r.many, dtype=np.uint8)
     return out.tobytes()
@@ -167,8 +189,7 @@ def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WIND
         for b in batches:
             k1, k2, weight = b.column("k1").to_numpy(), b.column("k2").to_numpy(), b.column("copies").to_numpy().astype(np.int64) + 1
             for first, (h1, h2), doc, pos in windows(b.column("text"), width, 2):
-                cell = (h1 >> np.uint64(64 - bits)).astype(np.int64)
-                at = np.flatnonzero((many[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+                at = passes(many, h1 >> np.uint64(64 - bits))
                 if len(at):
                     row = first + doc[at]
                     held.append((h1[at], h2[at], k1[row], k2[row], pos[at], weight[row]))
@@ -178,6 +199,7 @@ def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WIND
                     held, n = [], 0
         if n:
             yield flush(held)
+        give_back()
 
     def verify(batches):
         rest = None
