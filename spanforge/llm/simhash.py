@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import stored
+from spanforge.llm.common import mix, small, stored
 
 SHINGLE, RADIUS = 4, 4
 
@@ -80,69 +80,93 @@ def ball(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(width), r)], dtype=np.uint64)
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph that links fingerprints at most `radius` bits apart: a
-    breadth-first search that compares each visited one only with those not yet visited."""
-    edges, left = [], fps
-    while len(left) > 1:
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            x, front = front[0], front[1:]
-            near = np.bitwise_count(left ^ x) <= radius
+def _near(x, y, radius: int, limit: int):
+    """Whether rows of x and y (fingerprint, then signature words) are linked."""
+    near = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= radius
+    if x.shape[-1] > 1:
+        near = near & (np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(axis=-1, dtype=np.int64) <= limit)
+    return near
+
+
+def _forest(rows: np.ndarray, own: np.ndarray, radius: int, limit: int) -> list[tuple[int, int]]:
+    """Edges (indices) of a spanning forest of the links that have an owner at one end: a breadth-first search
+    that compares a visited row only with those not yet visited, and a guest only with owners."""
+    edges, left = [], np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
+    owners = int(own.sum())  # owners stand first in left
+    while owners and len(left) > 1:
+        front, left, owners = [int(left[0])], left[1:], owners - 1
+        while front and len(left):
+            x = front.pop()
+            reach = left if own[x] else left[:owners]
+            near = _near(rows[x], rows[reach], radius, limit)
             if near.any():
-                found = left[near]
-                edges += [(int(x), int(y)) for y in found]
-                left = left[~near]
-                front = np.concatenate([front, found])
+                found = reach[near]
+                edges += [(x, int(y)) for y in found]
+                front += found.tolist()
+                gone = np.zeros(len(left), bool)
+                gone[: len(reach)] = near
+                owners -= int(gone[:owners].sum())
+                left = left[~gone]
     return edges
 
 
-def links(fps: DataFrame, radius: int = RADIUS, parts: int = 3) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints `fp` whose components equal those of all links."""
+def node(rows: np.ndarray) -> np.ndarray:
+    """One number for each row: the fingerprint itself, or a hash of fingerprint and signature."""
+    if rows.shape[1] == 1:
+        return rows[:, 0].copy()
+    out = np.zeros(len(rows), dtype=np.uint64)
+    for i in range(rows.shape[1]):
+        out = mix(out ^ (rows[:, i] + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)))
+    return out
+
+
+def links(fps: DataFrame, radius: int = RADIUS, parts: int = 3, limit: int = 0) -> DataFrame:
+    """Edges (a, b) between nodes whose components equal those of all links. fps: distinct rows of a
+    fingerprint `fp` and any number of signature columns, which together may differ in `limit` bits."""
     plan = segment_plan(radius, parts)
     balls = [ball(w, r) for _, w, r in plan]
+    words = fps.columns
 
     def probe(batches):
         for b in batches:
-            x = b.column(0).to_numpy().view(np.uint64)
+            x = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(len(words))], axis=1)
             for at in range(0, len(x), 4096):
                 y = x[at : at + 4096]
                 for i, ((shift, width, _), masks) in enumerate(zip(plan, balls)):
-                    value = (y >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                    keys = (value[:, None] ^ masks[None, :]) | np.uint64(i << 56) if width <= 56 else value[:, None] ^ masks[None, :]
+                    value = (y[:, 0] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                    keys = value[:, None] ^ masks[None, :] | np.uint64(i << 56)
                     own = np.zeros(keys.shape, dtype=bool)
                     own[:, 0] = True
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(y, len(masks)).view(np.int64)), pa.array(own.ravel())], names=["k", "fp", "own"]
-                    )
+                    cols = [keys.ravel().view(np.int64), own.ravel(), *(np.repeat(y[:, j], len(masks)).view(np.int64) for j in range(len(words)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "own", *words])
 
-    def group(k, fp, own):
-        """Edges of complete groups: k sorted."""
+    def group(k, own, rows):
+        """Edges within complete groups; k is sorted."""
         out = []
-        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, int)
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
         size = np.diff(cut)
-        owners = np.add.reduceat(own.astype(np.int64), cut[:-1]) if len(k) else np.zeros(0)
-        pick = (size > 1) & (owners > 0)
+        pick = (size > 1) & (np.add.reduceat(own.astype(np.int64), cut[:-1]) > 0)
         few = pick & (size <= 16)
         # few members: compare each with the next ones of its group, all groups at once
         member = np.repeat(few, size)
         for step in range(1, 16):
-            ok = member[:-step] & (k[step:] == k[:-step])
-            if not ok.any():
+            at = np.flatnonzero(member[:-step] & (k[step:] == k[:-step]))
+            if not len(at):
                 break
-            at = np.flatnonzero(ok)
-            at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
-            out.append(np.stack([fp[at], fp[at + step]], axis=1))
+            at = at[_near(rows[at], rows[at + step], radius, limit)]
+            out.append(np.stack([at, at + step], axis=1))
         for g in np.flatnonzero(pick & ~few):
-            e = _forest(fp[cut[g] : cut[g + 1]], radius)
+            part = slice(cut[g], cut[g + 1])
+            e = _forest(rows[part], own[part], radius, limit)
             if e:
-                out.append(np.array(e, dtype=np.uint64))
-        return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.uint64)
+                out.append(np.array(e, dtype=np.int64) + cut[g])
+        at = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+        return np.stack([node(rows[at[:, 0]]), node(rows[at[:, 1]])], axis=1)
 
     def verify(batches):
         rest = None
         for b in batches:
-            part = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)]
+            part = [b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), np.stack([b.column(i + 2).to_numpy().view(np.uint64) for i in range(len(words))], axis=1)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
             if not len(part[0]):
@@ -158,7 +182,7 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = 3) -> DataFrame:
         e = np.unique(np.sort(e.view(np.int64), axis=1), axis=0) if len(e) else e.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], names=["a", "b"])
 
-    probes = fps.select("fp").mapInArrow(probe, "k bigint, fp bigint, own boolean")
+    probes = fps.mapInArrow(probe, "k bigint, own boolean, " + ", ".join(f"`{c}` bigint" for c in words))
     return probes.repartition("k").sortWithinPartitions("k").mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
@@ -185,25 +209,79 @@ def near_dup_components(docs: DataFrame, radius: int = RADIUS, parts: int = 3, w
     """(doc_id, fp, component_id) for every row of docs."""
     marked = stored(with_fingerprint(docs, ["doc_id"], width))
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = stored(components(links(fps, radius, parts)))
+    roots = stored(components(links(fps.select("fp"), radius, parts)))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- near copies by similarity, for filtering ----------------------------------------------------------
+
+#: Two documents are near copies if their 5-word shingles have a Jaccard similarity of about 0.8 or more.
+#: That is read from a 256-bit SimHash of the shingles: at 0.8 the expected distance is 39 bits, standard deviation 6.
+#: Such pairs are found by a 64-bit SimHash of the word set, in which they differ by few bits.
+SIMILAR_SHINGLE, SIMILAR_RADIUS, SIMILAR_PARTS, SIMILAR_LIMIT = 5, 9, 5, 44
+
+
+def signature(text: str | None, width: int = SIMILAR_SHINGLE) -> list[int]:
+    """SimHash of the set of words, weighted by their lengths; then four words of the shingles' SimHash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * 5
+    kinds = sorted(set(words))
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in kinds], dtype=">u8")
+    weight = np.fromiter(map(len, kinds), np.float64, len(kinds))
+    votes = np.zeros(64)
+    for i in range(0, len(h), 1 << 14):
+        votes += weight[i : i + (1 << 14)] @ np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
+    first = np.packbits(votes * 2 > weight.sum()).tobytes()
+    n = max(1, len(words) - width + 1)
+    joined = b" ".join(words)
+    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    spans = list(zip(edge[:n].tolist(), (edge[min(width, len(words)) :] - 1).tolist()))
+    votes = np.zeros(256, dtype=np.int64)
+    for i in range(0, n, 1 << 13):
+        some = spans[i : i + (1 << 13)]
+        raw = b"".join([xxhash.xxh3_128_digest(joined[a:b], s) for a, b in some for s in (1, 2)])
+        votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+    return np.frombuffer(first + np.packbits(votes * 2 > n).tobytes(), dtype=">u8").tolist()
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, node, component): th is a hash of the text, component the smallest node reachable."""
+
+    def run(batches):
+        for b in batches:
+            rows = np.array([signature(t) for t in b.column("text").to_pylist()], dtype=np.uint64).reshape(-1, 5)
+            cols = [b.column("doc_id"), b.column("th"), pa.array(node(rows).view(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(5))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "node", *words])
+
+    words = ["fp", "s0", "s1", "s2", "s3"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, th bigint, node bigint, " + ", ".join(f"{c} bigint" for c in words)
+    marked = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema))
+    edges = links(marked.select(*words).distinct(), SIMILAR_RADIUS, SIMILAR_PARTS, SIMILAR_LIMIT)
+    roots = stored(components(edges)).withColumnRenamed("node", "n")
+    return marked.join(roots, marked["node"] == F.col("n"), "left").select("doc_id", "th", "node", F.coalesce("root", "node").alias("component"))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id (ties: smallest fingerprint, then one
-    of the equal rows). Columns as given. Rows with a null doc_id always stay."""
-    found = near_dup_components(docs)
-    first = F.struct(F.col("doc_id").isNull().alias("nul"), F.col("doc_id"), F.col("fp"))
-    keep = found.groupBy("component_id").agg(F.min(first).alias("r"))
-    keep = stored(keep.where("component_id is not null").select(F.col("r.doc_id").alias("keep_id"), F.col("r.fp").alias("keep_fp")))
-    marked = with_fingerprint(docs, docs.columns, out="__fp")
-    kept = marked.join(keep, (marked["doc_id"] == keep["keep_id"]) & (marked["__fp"] == keep["keep_fp"]), "left_semi")
-    one = kept.withColumn("__n", F.expr("row_number() over (partition by doc_id, __fp order by doc_id)")).where("__n = 1")
-    nulls = docs.where("doc_id is null")
-    return one.select(*docs.columns).union(nulls.select(*docs.columns))
+    """One row of each group of near copies: the one with the smallest doc_id (ties: smallest hash of the
+    text, then one of the equal rows). Columns as given. Rows with a null doc_id always stay."""
+    found = similar_components(docs).where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "th")).alias("r")
+    keep = found.groupBy("component").agg(first).select(F.col("r.doc_id").alias("keep_id"), F.col("r.th").alias("keep_th"))
+    times = found.groupBy("doc_id", "th").agg(F.count("*").alias("keep_n"))
+    same = (keep["keep_id"] == times["doc_id"]) & (keep["keep_th"] == times["th"])
+    keep = stored(keep.join(times, same).select("keep_id", "keep_th", "keep_n"))
+    mine = (docs["doc_id"] == F.col("keep_id")) & (F.xxhash64(docs["text"]) == F.col("keep_th"))
+    out = docs.join(small(keep.where("keep_n = 1")), mine, "left_semi").union(docs.where("doc_id is null"))
+    if keep.where("keep_n > 1").isEmpty():
+        return out
+    again = docs.join(small(keep.where("keep_n > 1")), mine, "left_semi").withColumn("__th", F.xxhash64("text"))
+    one = again.withColumn("__n", F.expr("row_number() over (partition by doc_id, __th order by doc_id)")).where("__n = 1")
+    return out.union(one.select(*docs.columns))
 
 
 def op7(docs: DataFrame) -> DataFrame:
