@@ -67,20 +67,22 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("pid").alias("pid"), F.lit(False).alias("guest")), F.struct(F.col("g_pid").alias("pid"), F.lit(True).alias("guest")))
     )
     rows = own.select("doc_id", "text", "th", F.explode(both).alias("x")).select("x.pid", "x.guest", "doc_id", "th", "text")
+    rows = rows.where("pid is not null")  # always so; said here, both uses of these rows share one exchange
     order = Window.partitionBy("pid").orderBy("guest", F.col("doc_id").asc_nulls_first(), "th")
     return rows.select("pid", F.row_number().over(order).alias("rid"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
 def sample(term: Column, ln_weight: Column, k: int) -> Column:
     """ln a of sample k, scaled, above ID_BITS bits that name (term, t)."""
-    unit = lambda h, shift: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0x7FFFFFFF)) + F.lit(0.5)) * F.lit(2.0**-31)
+    unit = lambda h, at, bits: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
     h1, h2 = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.log(unit(h1, 0) * unit(h1, 31))
-    ln_c = F.log(-F.log(unit(h2, 0) * unit(h2, 31)))
-    b = unit(F.xxhash64(h1, F.lit(k)), 0)
+    r = -F.log(unit(h1, 0, 21) * unit(h1, 21, 21))
+    b = unit(h1, 42, 22)
+    ln_c = F.log(-F.log(unit(h2, 0, 32) * unit(h2, 32, 32)))
     t = F.floor(ln_weight / r + b)
     ln_a = ln_c - r * (t - b) - r
-    name = F.xxhash64(term, t).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    # h1 names the term, and t is a number of the order of ln_weight / r
+    name = h1.bitwiseXOR(t.bitwiseXOR(F.shiftleft(t, 9))).bitwiseAND(F.lit((1 << ID_BITS) - 1))
     return F.shiftleft(((ln_a + 400.0) * F.lit(2.0**32)).cast("bigint"), ID_BITS).bitwiseOR(name)
 
 
