@@ -28,7 +28,7 @@ from spanforge.llm.common import ascii_lower, small, stored
 WIDTH, MIN_ITEMS = 8, 2
 #: Anything that isn't a word character once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -105,7 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_ite
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     marks = hits.join(which, same(hits, which)).select(hits["doc_id"].alias("m_id"), hits["th"].alias("m_th"), "n_hit", "items")
     marks = stored(marks)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("bigint").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP_ANY_CASE), "")).cast("bigint").alias("n_words"))
     out = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("m_id")) & (rows["th"] == F.col("m_th")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     n_items = F.size(items_).cast("bigint")
