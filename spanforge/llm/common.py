@@ -85,6 +85,15 @@ def give_back() -> None:
         pass
 
 
+def parts(batches, rows: int = 512):
+    """Batches in slices of some rows, so that a task holds few texts as Python objects at a time; gives freed
+    memory back at the end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    give_back()
+
+
 # ---- vectorised scanning of a batch of texts -------------------------------------------------------
 
 _U = np.uint64

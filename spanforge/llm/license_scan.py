@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from spanforge.llm.common import parts
+
 # Phrases whose exact places are reported, with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -96,11 +98,11 @@ def fuzzy(norm: bytes, notices: tuple[Notice, ...] = NOTICES) -> list[Span]:
     """Verified matches of the notices, best for each label and place, in order of their places."""
     out: list[Span] = []
     breaks = None
-    for notice, parts, pattern in _compiled(notices):
+    for notice, pieces, pattern in _compiled(notices):
         reach = len(notice.fuzzy) + notice.errors
         zones: list[list[int]] = []
         hits = []
-        for offset, seed in parts:
+        for offset, seed in pieces:
             at = norm.find(seed)
             while at >= 0:
                 hits.append((max(0, at - offset - notice.errors - 1), at - offset + reach + 16))
@@ -150,7 +152,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices: tuple[Notice, ...] = NOTICES
     def run(batches):
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), SPANS]
-        for b in batches:
+        for b in parts(batches):
             rows = list(zip(*map(one, b.column("text").to_pylist()))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=["doc_id", *names])
 

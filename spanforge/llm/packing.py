@@ -20,6 +20,7 @@ so ties need no rule.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import cache
 from typing import NamedTuple
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import stored
+from spanforge.llm.common import parts, stored
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Pieces that a block holds on average.
@@ -164,13 +165,17 @@ SAME_BELOW = 0x250
 def encoder(path: str):
     """texts -> lists of ids, equal to those of the tokenizers library for the file. Texts of well-known
     characters take a second library with the same vocabulary and merges, several times as fast."""
-    from tokenizers import Tokenizer
+    def library():
+        if not held:  # tens of MB, seldom needed
+            from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
+            held.append(Tokenizer.from_file(path))
+        return held[0]
 
     def slow(texts):
-        return [library.encode(t, add_special_tokens=False).ids for t in texts]
+        return [library().encode(t, add_special_tokens=False).ids for t in texts]
 
+    held: list = []
     ranks = path.removesuffix(".json") + ".tiktoken"
     try:
         import public_tokenizers
@@ -180,12 +185,13 @@ def encoder(path: str):
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     except (ImportError, OSError):
         return slow
-    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
 
     def both(texts):
         return [
-            fast.encode(t, allowed_special="all") if (t.isascii() or max(t) < chr(SAME_BELOW)) else library.encode(t, add_special_tokens=False).ids
+            fast.encode(t, allowed_special="all") if (t.isascii() or max(t) < chr(SAME_BELOW)) else library().encode(t, add_special_tokens=False).ids
             for t in texts
         ]
 
@@ -206,19 +212,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int
 
     def run(batches):
         encode = encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                owner, cols = [], ([], [], [], [], [])
-                for i, found in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
-                    x = np.array([*found, separator], dtype="<u4")
-                    for k, (start, n) in enumerate(cuts(len(x), capacity)):
-                        y = x[start : start + n]
-                        owner.append(i)
-                        for c, v in zip(cols, (k, start, n, zlib.crc32(y.tobytes()), y if ids else None)):
-                            c.append(v)
-                arrays = [part.column("doc_id").take(pa.array(owner, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[4], pa.list_(pa.int64()))] if ids else [])], names=names)
+        for part in parts(batches, 256):
+            owner, cols = [], ([], [], [], [], [])
+            for i, found in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
+                x = np.array([*found, separator], dtype="<u4")
+                for k, (start, n) in enumerate(cuts(len(x), capacity)):
+                    y = x[start : start + n]
+                    owner.append(i)
+                    for c, v in zip(cols, (k, start, n, zlib.crc32(y.tobytes()), y if ids else None)):
+                        c.append(v)
+            arrays = [part.column("doc_id").take(pa.array(owner, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[4], pa.list_(pa.int64()))] if ids else [])], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids)

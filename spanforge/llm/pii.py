@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import parts
+
 KEY = b"a key for tests; give your own"
 
 # Given names by (script, gender), and titles by gender.
@@ -272,7 +274,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, entities: str | None = None)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             texts, lists = [], []
             for t in b.column("text").to_pylist():
                 new, found = replace(t, key)
@@ -289,7 +291,7 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     Entities are compared by a keyed digest; partial aggregation keeps an entity of a million mentions small."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             out = []
             for t in b.column(0).to_pylist():
                 for e, s in replace(t, key)[1]:

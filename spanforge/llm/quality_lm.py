@@ -23,7 +23,6 @@ through filter_quality() and are ignored otherwise; an empty table gives no rows
 
 from __future__ import annotations
 
-import uuid
 from math import log
 from typing import NamedTuple
 
@@ -32,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import chunks, small, stored, text_buffer
+from spanforge.llm.common import chunks, give_back, small, stored, text_buffer
 
 ORDER = 5
 PRIOR, QUANTILE, SLACK = 200, 0.995, 1.02
 BROADCAST_ROWS = 6_000_000
-HELD = 8 << 20
+HELD = 4 << 20
 
 
 def grams(col: pa.Array, order: int = ORDER):
     """For each run of rows: (first row, n-gram that ends with each byte, offsets of the rows)."""
-    for a, b in chunks(col, 2 << 20):
+    for a, b in chunks(col, 1 << 19):
         data, off = text_buffer(col.slice(a, b - a))
         at = np.arange(len(data)) + (np.repeat(np.arange(b - a), np.diff(off)) + 1) * (order - 1)
         padded = np.full(len(data) + (b - a) * (order - 1), 10, dtype=np.uint64)  # texts follow line feeds
@@ -80,6 +79,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     held, size = ([], []), 0
         if size:
             yield from flush(held)
+        give_back()
 
     def flush(held):
         for f in (0, 1):
@@ -173,16 +173,6 @@ class Table:
         return out, found
 
 
-_built: dict[str, list] = {}
-
-
-def _tables(name: str, shared) -> list:
-    if name not in _built:
-        _built.clear()
-        _built[name] = [[(Table(*p), Table(*b)) for p, b in fold] for fold in shared.value]
-    return _built[name]
-
-
 def log_probs(tables, keys: np.ndarray) -> np.ndarray:
     """log p of each n-gram, backing off through the orders."""
     out = np.zeros(len(keys), dtype=np.float64)
@@ -212,10 +202,10 @@ def score(docs: DataFrame, model: Model, most_rows: int = BROADCAST_ROWS) -> Dat
         for fold in (0, 1):
             arrays[fold].append([(keys[of == fold], values[of == fold]) for of, keys, values in pair])
     arrays = [x if len(x[0][0][0]) else y for x, y in zip(arrays, arrays[::-1])]
-    shared, name, order = docs.sparkSession.sparkContext.broadcast(arrays), uuid.uuid4().hex, model.order
+    shared, order = docs.sparkSession.sparkContext.broadcast(arrays), model.order
 
     def run(batches):
-        tables = _tables(name, shared)
+        tables = [[(Table(*p), Table(*b)) for p, b in fold] for fold in shared.value]
         for b in batches:
             n, nll, fold = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), b.column("__fold").to_numpy()
             for first, keys, off in grams(b.column("text"), order):
@@ -226,6 +216,8 @@ def score(docs: DataFrame, model: Model, most_rows: int = BROADCAST_ROWS) -> Dat
                     lp[of == f] = log_probs(tables[1 - f], keys[of == f])
                 n[first:last], nll[first:last] = np.diff(off), -np.diff(np.concatenate([[0.0], np.cumsum(lp)])[off])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(nll)], names=[*b.schema.names, "__n", "__nll"])
+        del tables
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, __n bigint, __nll double")

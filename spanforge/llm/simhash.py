@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import mix, small, stored
+from spanforge.llm.common import mix, parts, small, stored
 
 SHINGLE, RADIUS = 4, 4
 
@@ -54,7 +54,7 @@ def with_fingerprint(docs: DataFrame, columns: list[str], width: int = SHINGLE,
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), f"`{out}` bigint"])
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             fps = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             cols = {c: b.column(c) for c in columns}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(fps)], names=[*cols, out])
@@ -62,13 +62,13 @@ def with_fingerprint(docs: DataFrame, columns: list[str], width: int = SHINGLE,
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
 
-def segment_plan(radius: int = RADIUS, parts: int = 3, bits: int = 64) -> list[tuple[int, int, int]]:
+def segment_plan(radius: int = RADIUS, segments: int = 3, bits: int = 64) -> list[tuple[int, int, int]]:
     """(shift, width, ball radius) of each segment. The ball radii r_i satisfy sum(r_i + 1) = radius + 1
     or the nearest larger sum, so that at most `radius` differing bits can't exceed every r_i."""
-    share = [(radius + 1) // parts + (i < (radius + 1) % parts) for i in range(parts)]
+    share = [(radius + 1) // segments + (i < (radius + 1) % segments) for i in range(segments)]
     out, shift = [], 0
     for i, s in enumerate(share):
-        width = (bits - shift) // (parts - i)
+        width = (bits - shift) // (segments - i)
         if s:
             out.append((shift, width, s - 1))
         shift += width
@@ -120,10 +120,10 @@ def node(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, parts: int = 3, limit: int = 0) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, segments: int = 3, limit: int = 0) -> DataFrame:
     """Edges (a, b) between nodes whose components equal those of all links. fps: distinct rows of a
     fingerprint `fp` and any number of signature columns, which together may differ in `limit` bits."""
-    plan = segment_plan(radius, parts)
+    plan = segment_plan(radius, segments)
     balls = [ball(w, r) for _, w, r in plan]
     words = fps.columns
 
@@ -205,11 +205,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_dup_components(docs: DataFrame, radius: int = RADIUS, parts: int = 3, width: int = SHINGLE) -> DataFrame:
+def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int = 3, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     marked = stored(with_fingerprint(docs, ["doc_id"], width))
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = stored(components(links(fps.select("fp"), radius, parts)))
+    roots = stored(components(links(fps.select("fp"), radius, segments)))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -252,7 +252,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """(doc_id, th, node, component): th is a hash of the text, component the smallest node reachable."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             rows = np.array([signature(t) for t in b.column("text").to_pylist()], dtype=np.uint64).reshape(-1, 5)
             cols = [b.column("doc_id"), b.column("th"), pa.array(node(rows).view(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(5))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "node", *words])

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from spanforge.llm.common import mix, powers
+from spanforge.llm.common import mix, parts, powers
 
 MAX_STATES = 1_000_000
 CHUNK, BATCH_CHARS = 128, 2 << 20
@@ -165,7 +165,7 @@ class Counter:
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         total = np.zeros(len(texts), dtype=np.int64)
-        parts, lens, size, first = [], [], 0, 0
+        held, lens, size, first = [], [], 0, 0
         for i, t in enumerate(texts):
             t = t or ""
             if "<|" in t:
@@ -177,22 +177,22 @@ class Counter:
                     t = "\n".join(unicodedata.normalize("NFC", x) for x in t.split("\n"))
                 t = t.replace("Σ", "σ")  # lower() has a rule for a final sigma, the library hasn't
             t = t.lower()
-            parts.append(t)
+            held.append(t)
             lens.append(len(t) + 1)
             size += len(t)
             if size >= BATCH_CHARS:
-                total[first : i + 1] += self._count(parts, lens)
-                parts, lens, size, first = [], [], 0, i + 1
-        if parts:
-            total[first:] += self._count(parts, lens)
+                total[first : i + 1] += self._count(held, lens)
+                held, lens, size, first = [], [], 0, i + 1
+        if held:
+            total[first:] += self._count(held, lens)
         return total
 
-    def _count(self, parts: list[str], lens: list[int]) -> np.ndarray:
-        joined = "\n".join(parts) + "\n"
+    def _count(self, texts: list[str], lens: list[int]) -> np.ndarray:
+        joined = "\n".join(texts) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         starts, ends = piece_spans(codes)
         if not len(starts):
-            return np.zeros(len(parts), dtype=np.int64)
+            return np.zeros(len(texts), dtype=np.int64)
         pw, ipw = powers(0xD6E8FEB86659FD93, len(codes))
         c = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * pw[: len(codes)], out=c[1:])
@@ -223,7 +223,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def run(batches):
         transducer = counter(path)
-        for b in batches:
+        for b in parts(batches):
             text = b.column("text")
             n = transducer.count(text.to_pylist())
             size = pa.compute.fill_null(pa.compute.binary_length(text), 0).cast(pa.int64())
