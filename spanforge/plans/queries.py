@@ -575,12 +575,6 @@ def reservoir_sample(spark, d):
     return probes.sample(_table(spark, d, "documents").select("doc_id", F.col("text").alias("probe_text")), 100, 20260704)
 
 
-@query("with h as (select user_id, event_id, value, event_type from events) select user_id as model_name, max(value) filter (event_type = 'click') as click, count(*) as n from h group by 1")
-def event_rollup(spark, d):
-    e = _table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("model_name")).agg(F.max(F.when(F.col("event_type") == "click", F.col("value"))).alias("click"), F.count("*").alias("n"))
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
