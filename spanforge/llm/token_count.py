@@ -10,6 +10,8 @@ number of tokens it emits. It is compiled on demand, each distinct piece once pe
 vocabulary file by the tokenizer library; its accepting states are 64-bit hashes and at most
 `MAX_STATES` are kept at a time.
 
+Texts with code points that this Python's Unicode version doesn't know are given to the library whole.
+
 Edge cases: null text counts as empty (0 bytes, 0 tokens); empty table: no rows; special strings inside
 a text are one token each, as the library does by default; extra columns are ignored; repeated rows
 each get a row; texts of any length are read whole.
@@ -103,6 +105,12 @@ def class_table() -> np.ndarray:
     return out
 
 
+@cache
+def unassigned() -> np.ndarray:
+    """Code points that this Python's Unicode version doesn't assign; the library may know them."""
+    return np.fromiter((unicodedata.category(chr(cp)) == "Cn" for cp in range(0x110000)), bool, 0x110000)
+
+
 def states_before(classes: np.ndarray) -> np.ndarray:
     """State before each character, the first in NONE: chunk maps, prefix scan, then all chunks at once."""
     nxt, _, product, gens, at_none = tables()
@@ -173,6 +181,9 @@ class Counter:
                     total[i] += t.count(s)
                     t = t.replace(s, "\n")
             if not t.isascii():
+                if unassigned()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].any():
+                    total[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
+                    t = ""
                 if not unicodedata.is_normalized("NFC", t):
                     t = "\n".join(unicodedata.normalize("NFC", x) for x in t.split("\n"))
                 t = t.replace("Σ", "σ")  # lower() has a rule for a final sigma, the library hasn't
