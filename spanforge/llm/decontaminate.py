@@ -31,6 +31,10 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+#: Files of a table whose size follows the benchmark's, not the documents'.
+FEW = 8
+
+
 def words_of(text: Column) -> Column:
     """Array of words; the leading or trailing empty strings of split() are not words."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
@@ -68,18 +72,18 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, th, wid, start, size): every exact occurrence of every window."""
-    plan = stored(pair_plan(windows))
-    terms = stored(plan.select("t0", "t1").distinct().withColumn("term", F.xxhash64("t0", "t1")))
+    plan = stored(pair_plan(windows).coalesce(FEW))
+    terms = stored(plan.select("t0", "t1").distinct().withColumn("term", F.xxhash64("t0", "t1")).coalesce(FEW))
     index = stored(postings(docs, terms))
-    freq = stored(index.groupBy("term").agg(F.count("*").alias("freq")))
+    freq = stored(index.groupBy("term").agg(F.count("*").alias("freq")).coalesce(FEW))
     # a window with a pair that never occurs can't occur
     lists = plan.withColumn("term", F.xxhash64("t0", "t1")).join(freq, "term", "left")
     by_rarity = Window.partitionBy("wid").orderBy(F.coalesce("freq", F.lit(0)), "at")
     ranked = lists.select("wid", "size", "at", "term", F.coalesce("freq", F.lit(0)).alias("freq"))
     ranked = ranked.withColumn("rank", F.row_number().over(by_rarity)).withColumn("least", F.min("freq").over(Window.partitionBy("wid")))
-    ranked = stored(ranked.where("least > 0").select("wid", "size", "at", "term", "rank"))
+    ranked = stored(ranked.where("least > 0").select("wid", "size", "at", "term", "rank").coalesce(FEW))
     rest = ranked.groupBy("wid", "size").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "at"))).alias("lists"))
-    rest = stored(rest.select("wid", "size", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["at"].alias("at"), F.expr("slice(lists, 2, size(lists))").alias("more")))
+    rest = stored(rest.select("wid", "size", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["at"].alias("at"), F.expr("slice(lists, 2, size(lists))").alias("more")).coalesce(FEW))
     found = index.join(small(rest), "term").select("doc_id", "th", "wid", "size", "more", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0")
     longest = plan.groupBy("wid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     held = index.select(F.col("term").alias("x_term"), F.col("doc_id").alias("x_id"), F.col("th").alias("x_th"), F.col("pos").alias("x_pos"))
@@ -94,7 +98,7 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int = MIN_ITEMS) -> DataFrame:
     """doc_id, th (hash of the text), n_words, n_hit, n_items, items and contaminated for every row."""
-    windows = stored(windows_of(items, width).withColumn("wid", F.sha2(F.concat_ws(" ", "words"), 256)))
+    windows = stored(windows_of(items, width).withColumn("wid", F.sha2(F.concat_ws(" ", "words"), 256)).coalesce(FEW))
     found = stored(occurrences(docs, windows))
     end = F.col("start") + F.col("size")
     before = Window.partitionBy("doc_id", "th").orderBy("start", "size", "wid").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,8 +120,8 @@ def proximity(docs: DataFrame, windows: DataFrame, span: int) -> DataFrame:
     """(doc_id, th, wid, first, last): stretches of at most `span` words in which all covering pairs of a
     window occur, in any order: postings are merged by document and window, and at each posting the
     latest earlier place of every pair tells whether all lie within the span."""
-    plan = stored(pair_plan(windows))
-    terms = stored(plan.select("t0", "t1").distinct().withColumn("term", F.xxhash64("t0", "t1")))
+    plan = stored(pair_plan(windows).coalesce(FEW))
+    terms = stored(plan.select("t0", "t1").distinct().withColumn("term", F.xxhash64("t0", "t1")).coalesce(FEW))
     index = stored(postings(docs, terms))
     lists = plan.select("wid", F.xxhash64("t0", "t1").alias("term")).distinct()
     sizes = lists.groupBy("wid").agg(F.count("*").alias("n_terms"))
@@ -136,3 +140,18 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, m
 def op10(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = contamination(docs, items)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLE_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, w[i:i + 7] as s from b, unnest(range(1, greatest(len(w) - 7, 1) + 1)) t(i) where len(w) > 0),
+sizes as (select distinct len(s) as n from win),
+occ as (select doc_id, i, n, w[i:i + n - 1] as s from d, sizes, unnest(range(1, len(w) - n + 2)) t(i)),
+hit as (select distinct doc_id, i, n, item_id from occ join win using (s)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as names from (select distinct doc_id, cast(item_id as varchar) as x from hit) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_items, 0) >= 2 as contaminated from d left join covered using (doc_id) left join items using (doc_id)
+"""

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat_format.ORACLE_SQL}
+    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}

@@ -316,3 +316,14 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 def op4(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 34], ' ') as s from d, unnest(range(1, len(w) - 33)) t(i)),
+rep as (select s from win group by s having count(*) > 1),
+hit as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 35)) as p from win where s in (select s from rep))),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+kept as (select words.doc_id, string_agg(word, ' ' order by words.p) as t, count(*) as n from words left join hit on hit.doc_id = words.doc_id and hit.p = words.p where hit.p is null group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
