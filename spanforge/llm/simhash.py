@@ -75,6 +75,12 @@ def segment_plan(radius: int = RADIUS, segments: int = 3, bits: int = 64) -> lis
     return out
 
 
+def segments_for(n: int) -> int:
+    """Segments for n distinct fingerprints: three of 21 bits while their tables hold few rows an entry, then two
+    of 32 bits with larger balls. Both find every link."""
+    return 3 if n < 1 << 27 else 2
+
+
 def ball(width: int, radius: int) -> np.ndarray:
     """All masks of up to `radius` bits, zero first."""
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(width), r)], dtype=np.uint64)
@@ -205,11 +211,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int = 3, width: int = SHINGLE) -> DataFrame:
+def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int | None = None, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     marked = stored(with_fingerprint(docs, ["doc_id"], width))
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = stored(components(links(fps.select("fp"), radius, segments)))
+    roots = stored(components(links(fps.select("fp"), radius, segments or segments_for(fps.count()))))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
