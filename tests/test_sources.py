@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.errors import PySparkException
 
-from spanforge.functions import text as T  # noqa: F401
 from spanforge.sources import connector, readers, sinks
 from spanforge.streaming import vocab_stream
 

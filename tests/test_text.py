@@ -29,7 +29,7 @@ def test_types_that_are_filled_in(spark):
     assert [r.b for r in got] == ["other"] * 4 + ["latin", "other"]
 
 
-@pytest.mark.parametrize("raw,want", [("Llama 3", "llama_3"), ("__a--b!!", "a_b"), ("", "family"), ("!!", "family")])
+@pytest.mark.parametrize("raw,want", [("Some Name 3", "some_name_3"), ("__a--b!!", "a_b"), ("", "family"), ("!!", "family")])
 def test_slugify(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "t string").select(T.slugify(F.col("t"))).first()[0] == want
 
