@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import os
 import tempfile
 import uuid
 
