@@ -80,9 +80,9 @@ def sample(term: Column, ln_weight: Column, k: int) -> Column:
     b = unit(h1, 42, 22)
     ln_c = F.log(-F.log(unit(h2, 0, 32) * unit(h2, 32, 32)))
     t = F.floor(ln_weight / r + b)
-    ln_a = ln_c - r * (t - b) - r
+    ln_a = ln_c - r * (t - b + 1)
     # h1 names the term, and t is a number of the order of ln_weight / r
-    name = h1.bitwiseXOR(t.bitwiseXOR(F.shiftleft(t, 9))).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    name = h1.bitwiseXOR(t * 513).bitwiseAND(F.lit((1 << ID_BITS) - 1))
     return F.shiftleft(((ln_a + 400.0) * F.lit(2.0**32)).cast("bigint"), ID_BITS).bitwiseOR(name)
 
 

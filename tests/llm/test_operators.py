@@ -364,6 +364,13 @@ def test_multi_index_hashing_loses_no_link(spark, radius, parts):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_segments_grow_with_the_table():
+    assert simhash.segments_for(10**6) == 3 and simhash.segments_for(10**9) == 2
+    for radius, segments in ((4, 3), (4, 2), (9, 5), (3, 4)):
+        plan = simhash.segment_plan(radius, segments)
+        assert sum(r + 1 for _, _, r in plan) == radius + 1 and sum(w for _, w, _ in plan) <= 64
+
+
 def test_dense_group_gives_a_forest():
     rng = np.random.default_rng(0)
     base = np.uint64(rng.integers(0, 2**63))
@@ -425,7 +432,7 @@ def test_token_counts(spark):
     library = token_count.counter(path).library
     rng = random.Random(7)
     letters = "abst'rvelmd  \n.,!'1２³Ⅷ éÉΣσİßЖ中́ ̈　\x85\x1c<|>"
-    texts = corpus() + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["a<|endoftext|>b <|startoftext|>", "'re'll've're'r'v'l", "x" * 9000, "'" * 500 + "s", " " * 3000]
+    texts = corpus() + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["a<|endoftext|>b <|startoftext|>", "'re'll've're'r'v'l", "x" * 9000, "'" * 500 + "s", " " * 3000, "a\U00013808a \U00013808\U00013808'\U00013808"]
     rows = token_count.op9(docs(spark, texts)).orderBy("doc_id").collect()
     assert [r.n_tokens for r in rows] == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert [r.n_bytes for r in rows] == [len((t or "").encode()) for t in texts] and all(r.over_limit == (r.n_tokens > 2048) for r in rows)
