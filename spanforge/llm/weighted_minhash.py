@@ -24,7 +24,7 @@ white space, unchanged; texts are read whole.
 
 from __future__ import annotations
 
-from math import isqrt
+from math import isqrt, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,16 +74,16 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def sample(term: Column, ln_weight: Column, k: int) -> Column:
     """ln a of sample k, scaled, above ID_BITS bits that name (term, t)."""
-    unit = lambda h, at, bits: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
+    draw = lambda h, at, bits: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)
     h1, h2 = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.log(unit(h1, 0, 21) * unit(h1, 21, 21))
-    b = unit(h1, 42, 22)
-    ln_c = F.log(-F.log(unit(h2, 0, 32) * unit(h2, 32, 32)))
+    # -ln(u v) for uniform u and v, whose common scale stays outside the logarithm
+    r = F.lit(42 * log(2)) - F.log(draw(h1, 0, 21) * draw(h1, 21, 21))
+    ln_c = F.log(F.lit(64 * log(2)) - F.log(draw(h2, 0, 32) * draw(h2, 32, 32)))
+    b = draw(h1, 42, 22) * F.lit(2.0**-22)
     t = F.floor(ln_weight / r + b)
-    ln_a = ln_c - r * (t - b + 1)
     # h1 names the term, and t is a number of the order of ln_weight / r
     name = h1.bitwiseXOR(t * 513).bitwiseAND(F.lit((1 << ID_BITS) - 1))
-    return F.shiftleft(((ln_a + 400.0) * F.lit(2.0**32)).cast("bigint"), ID_BITS).bitwiseOR(name)
+    return F.shiftleft(F.floor((ln_c - r * (t - b + 1)) * F.lit(2.0**32)), ID_BITS).bitwiseOR(name)
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
