@@ -224,9 +224,10 @@ def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int | N
 
 # ---- near copies by similarity, for filtering ----------------------------------------------------------
 
-#: Two documents are near copies if their 5-word shingles have a Jaccard similarity of about 0.8 or more.
-#: That is read from a 256-bit SimHash of the shingles: at 0.8 the expected distance is 39 bits, standard deviation 6.
-#: Such pairs are found by a 64-bit SimHash of the word set, in which they differ by few bits.
+#: Two documents are near copies if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more, read
+#: from the shingles' 64-bit hashes. Candidates are the components of SimHash links: a 64-bit SimHash of the word set
+#: within the radius, and a 256-bit SimHash of the shingles within the limit.
+SIMILAR = (4, 5)  # as a fraction, so that no rounding decides
 SIMILAR_SHINGLE, SIMILAR_RADIUS, SIMILAR_PARTS, SIMILAR_LIMIT = 5, 9, 5, 44
 
 
@@ -254,21 +255,92 @@ def signature(text: str | None, width: int = SIMILAR_SHINGLE) -> list[int]:
     return np.frombuffer(first + np.packbits(votes * 2 > n).tobytes(), dtype=">u8").tolist()
 
 
+def shingles(text: str | None, width: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words than `width` are one shingle, no words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - width + 1)
+    joined = b" ".join(words)
+    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    digest = xxhash.xxh3_64_intdigest
+    spans = zip(edge[:n].tolist(), (edge[min(width, len(words)) :] - 1).tolist())
+    return np.unique(np.fromiter((digest(joined[x:y]) for x, y in spans), np.uint64, n))
+
+
+def set_node(kinds: np.ndarray) -> int:
+    """One number (signed) for a set of shingles."""
+    return xxhash.xxh3_64_intdigest(kinds.tobytes()) - (1 << 63)
+
+
+def _similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (indices) of a spanning forest of all pairs with a similarity of SIMILAR or more: a breadth-first search
+    that compares a visited set only with those not yet visited."""
+    top, bottom = SIMILAR
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    edges, left = [], np.arange(len(sets))
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            x = front.pop()
+            fit = (np.minimum(size[left], size[x]) * bottom >= np.maximum(size[left], size[x]) * top) & (size[left] > 0)
+            some = left[fit] if size[x] else left[:0]
+            if not len(some):
+                continue
+            y = np.concatenate([sets[i] for i in some])
+            at = np.minimum(np.searchsorted(sets[x], y), size[x] - 1)
+            both = np.add.reduceat((sets[x][at] == y).astype(np.int64), np.cumsum(size[some]) - size[some])
+            found = some[both * bottom >= (size[some] + size[x] - both) * top]
+            edges += [(x, int(i)) for i in found]
+            front += found.tolist()
+            left = np.setdiff1d(left, found, assume_unique=True)
+    return edges
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of a bucket (`bucket`, `node`) whose components equal those of all pairs in one
+    bucket with a similarity of SIMILAR or more. Only the texts of nodes in a bucket are read again."""
+
+    def sets(batches):
+        for b in parts(batches):
+            rows = [shingles(t).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "kinds"])
+
+    def verify(group):
+        nodes = group.column("node").to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        column = group.column("kinds").combine_chunks()
+        e = np.array(_similar_forest([column[int(i)].values.to_numpy().view(np.uint64) for i in order]), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[order][e[:, 0]], "b": nodes[order][e[:, 1]]})
+
+    wanted = buckets.select("node").distinct()
+    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+    one = stored(one.select("node", F.col("r.doc_id").alias("one_id"), F.col("r.th").alias("one_th")))
+    same = (F.xxhash64(docs["text"]) == F.col("one_th")) & docs["doc_id"].eqNullSafe(F.col("one_id"))
+    found = docs.select("doc_id", "text").join(small(one), same).select("node", "text").mapInArrow(sets, "node bigint, kinds array<bigint>").dropDuplicates(["node"])
+    return buckets.join(stored(found), "node").groupBy("bucket").applyInArrow(verify, "a bigint, b bigint").distinct()
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """(doc_id, th, node, component): th is a hash of the text, component the smallest node reachable."""
 
     def run(batches):
         for b in parts(batches):
-            rows = np.array([signature(t) for t in b.column("text").to_pylist()], dtype=np.uint64).reshape(-1, 5)
-            cols = [b.column("doc_id"), b.column("th"), pa.array(node(rows).view(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(5))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "node", *words])
+            texts = b.column("text").to_pylist()
+            rows = np.array([signature(t) for t in texts], dtype=np.uint64).reshape(-1, 5)
+            ids = np.array([set_node(shingles(t)) for t in texts], dtype=np.int64)
+            cols = [b.column("doc_id"), b.column("th"), pa.array(ids), pa.array(node(rows).view(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(5))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "node", "sig", *words])
 
     words = ["fp", "s0", "s1", "s2", "s3"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, th bigint, node bigint, " + ", ".join(f"{c} bigint" for c in words)
+    schema = f"doc_id {kind}, th bigint, node bigint, sig bigint, " + ", ".join(f"{c} bigint" for c in words)
     marked = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema))
-    edges = links(marked.select(*words).distinct(), SIMILAR_RADIUS, SIMILAR_PARTS, SIMILAR_LIMIT)
-    roots = stored(components(edges)).withColumnRenamed("node", "n")
+    rough = components(links(marked.select(*words).distinct(), SIMILAR_RADIUS, SIMILAR_PARTS, SIMILAR_LIMIT)).withColumnRenamed("node", "sig")
+    rough = stored(marked.select("sig", "node").distinct().join(rough, "sig", "left").select(F.coalesce("root", "sig").alias("bucket"), "node").distinct())
+    many = rough.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    buckets = stored(rough.join(many, "bucket", "left_semi"))
+    roots = stored(components(similar_links(docs, marked, buckets))).withColumnRenamed("node", "n")
     return marked.join(roots, marked["node"] == F.col("n"), "left").select("doc_id", "th", "node", F.coalesce("root", "node").alias("component"))
 
 

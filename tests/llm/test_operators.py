@@ -394,6 +394,27 @@ def test_deduplicate(spark):
     assert sorted(r.text for r in simhash.deduplicate(again).collect()) == sorted([texts[0], texts[2]])
 
 
+def similarity_by_force(x, y):
+    kinds = lambda t: {tuple(w[i : i + 5]) for w in [t.translate(LOWER).split()] for i in range(max(1, len(w) - 4))}
+    a, b = kinds(x), kinds(y)
+    return len(a & b) / len(a | b)
+
+
+def test_deduplicate_verifies_every_link(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(25):
+        base = ["w%d" % rng.randrange(4000) for _ in range(rng.randint(150, 500))]
+        texts.append(" ".join(base))
+        for share in (0.008, 0.014, 0.026, 0.034, 0.04)[: 3 + k % 3]:  # of the words replaced: similarities of 0.6 to 0.95
+            near = base[:]
+            for i in rng.sample(range(len(base)), max(1, int(share * len(base)))):
+                near[i] = "z%d" % rng.randrange(4000)
+            texts.append(" ".join(near))
+    low = components_by_force(range(len(texts)), lambda a, b: similarity_by_force(texts[a], texts[b]) >= 0.8)
+    got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
+    assert got == set(low.values()) and 25 < len(got) < len(texts)
+
 # ---- 8 ------------------------------------------------------------------------------------------------
 
 
