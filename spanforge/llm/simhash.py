@@ -225,34 +225,11 @@ def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int | N
 # ---- near copies by similarity, for filtering ----------------------------------------------------------
 
 #: Two documents are near copies if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more, read
-#: from the shingles' 64-bit hashes. Candidates are the components of SimHash links: a 64-bit SimHash of the word set
-#: within the radius, and a 256-bit SimHash of the shingles within the limit.
+#: from the shingles' 64-bit hashes. Candidates agree in all five minima of one of 24 bands of a MinHash of the same
+#: sets, which a pair of similarity s misses with probability (1 - s^5)^24: 0.00007 at 0.8, less above.
+SIMILAR_SHINGLE, BANDS, BAND = 5, 24, 5
 SIMILAR = (4, 5)  # as a fraction, so that no rounding decides
-SIMILAR_SHINGLE, SIMILAR_RADIUS, SIMILAR_PARTS, SIMILAR_LIMIT = 5, 9, 5, 44
-
-
-def signature(text: str | None, width: int = SIMILAR_SHINGLE) -> list[int]:
-    """SimHash of the set of words, weighted by their lengths; then four words of the shingles' SimHash."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * 5
-    kinds = sorted(set(words))
-    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in kinds], dtype=">u8")
-    weight = np.fromiter(map(len, kinds), np.float64, len(kinds))
-    votes = np.zeros(64)
-    for i in range(0, len(h), 1 << 14):
-        votes += weight[i : i + (1 << 14)] @ np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
-    first = np.packbits(votes * 2 > weight.sum()).tobytes()
-    n = max(1, len(words) - width + 1)
-    joined = b" ".join(words)
-    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-    spans = list(zip(edge[:n].tolist(), (edge[min(width, len(words)) :] - 1).tolist()))
-    votes = np.zeros(256, dtype=np.int64)
-    for i in range(0, n, 1 << 13):
-        some = spans[i : i + (1 << 13)]
-        raw = b"".join([xxhash.xxh3_128_digest(joined[a:b], s) for a, b in some for s in (1, 2)])
-        votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
-    return np.frombuffer(first + np.packbits(votes * 2 > n).tobytes(), dtype=">u8").tolist()
+_mixers = np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**64, size=(2, BANDS * BAND), dtype=np.uint64)
 
 
 def shingles(text: str | None, width: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -273,6 +250,20 @@ def set_node(kinds: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(kinds.tobytes()) - (1 << 63)
 
 
+def bands(kinds: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a set of shingles."""
+    if not len(kinds):
+        return np.zeros(BANDS, dtype=np.int64)
+    least = np.full(BANDS * BAND, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(kinds), 1 << 10):
+        x = mix((kinds[i : i + (1 << 10), None] ^ _mixers[0]) * (_mixers[1] | np.uint64(1)))
+        least = np.minimum(least, x.min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(BAND):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ least[j::BAND])
+    return key.view(np.int64)
+
+
 def _similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges (indices) of a spanning forest of all pairs with a similarity of SIMILAR or more: a breadth-first search
     that compares a visited set only with those not yet visited."""
@@ -326,20 +317,16 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in parts(batches):
-            texts = b.column("text").to_pylist()
-            rows = np.array([signature(t) for t in texts], dtype=np.uint64).reshape(-1, 5)
-            ids = np.array([set_node(shingles(t)) for t in texts], dtype=np.int64)
-            cols = [b.column("doc_id"), b.column("th"), pa.array(ids), pa.array(node(rows).view(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(5))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "node", "sig", *words])
+            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            ids = np.array([set_node(x) for x in sets], dtype=np.int64)
+            keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids), keys], names=["doc_id", "th", "node", "keys"])
 
-    words = ["fp", "s0", "s1", "s2", "s3"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, th bigint, node bigint, sig bigint, " + ", ".join(f"{c} bigint" for c in words)
-    marked = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema))
-    rough = components(links(marked.select(*words).distinct(), SIMILAR_RADIUS, SIMILAR_PARTS, SIMILAR_LIMIT)).withColumnRenamed("node", "sig")
-    rough = stored(marked.select("sig", "node").distinct().join(rough, "sig", "left").select(F.coalesce("root", "sig").alias("bucket"), "node").distinct())
-    many = rough.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = stored(rough.join(many, "bucket", "left_semi"))
+    marked = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th bigint, node bigint, keys array<bigint>"))
+    entries = marked.dropDuplicates(["node"]).select("node", F.explode("keys").alias("k"))
+    many = entries.groupBy("k").agg(F.array_sort(F.collect_set("node")).alias("members")).where("size(members) > 1").select("members").distinct()
+    buckets = stored(many.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node")).distinct())
     roots = stored(components(similar_links(docs, marked, buckets))).withColumnRenamed("node", "n")
     return marked.join(roots, marked["node"] == F.col("n"), "left").select("doc_id", "th", "node", F.coalesce("root", "node").alias("component"))
 

@@ -415,6 +415,21 @@ def test_deduplicate_verifies_every_link(spark):
     got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
     assert got == set(low.values()) and 25 < len(got) < len(texts)
 
+def test_deduplicate_finds_appended_and_cut_copies(spark):
+    rng = random.Random(10)
+    words = lambda n: ["w%d" % rng.randrange(4000) for _ in range(n)]
+    texts = []
+    for k in range(40):
+        base = words(rng.randint(60, 600))
+        other = words(len(base))
+        for n in (0.1, 0.15, 0.2, 0.24):
+            more = int(n * len(base))
+            texts += [" ".join(x) for x in (base + other[:more], base[more * 4 // 5 :], words(more) + base)[k % 3 :: 3]]
+        texts.append(" ".join(base))
+    low = components_by_force(range(len(texts)), lambda a, b: similarity_by_force(texts[a], texts[b]) >= 0.8)
+    got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
+    assert got == set(low.values()) and len(got) < 80
+
 # ---- 8 ------------------------------------------------------------------------------------------------
 
 
