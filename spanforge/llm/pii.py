@@ -7,7 +7,8 @@ entities to one surrogate and needs no table of entities, so distinctness and co
 number of documents without a shuffle; mentions that differ only in separators or case are one entity.
 The permutation is  P^-1(P(x) + 1)  for a keyed Feistel permutation P: one cycle through the domain, so
 no entity is its own surrogate. Subsets of a domain (address classes, names outside the known list) are
-kept by walking the cycle until it is back in the subset. collisions() checks the property over a table.
+kept by walking the cycle until it is back in the subset. collisions() and splits() check over a table that no surrogate
+stands for two entities and no entity has two surrogates.
 
 Edge cases: null text stays null and has no entities; overlapping detections go to the earlier, then the
 longer one; equal starts and lengths to the kind that is listed first; repeated rows get equal results; extra
@@ -135,6 +136,8 @@ def shift(key: bytes, tweak: str, m: int, x: int) -> int:
 
 
 DIGITS = "0123456789"
+#: Country codes of two digits; 1 and 7 have one, all others three.
+COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Letters that stand for each other, upper and lower case.
 LETTERS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
 VOWELS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"]
@@ -191,6 +194,12 @@ def _given() -> dict[str, tuple[tuple[str, str], int]]:
     return {x: (k, i) for k, v in GIVEN.items() for i, x in enumerate(v)}
 
 
+def country_digits(digits: str) -> int:
+    """Length of the country code that an international number begins with. No code is the start of another, so
+    a number and its surrogate have the same one, however they are written."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in COUNTRIES else 3
+
+
 def _refill(template: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isdigit() else c for c in template)
@@ -215,8 +224,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     """The surrogate of one entity."""
     if kind in ("phone", "ssn"):
         digits = "".join(c for c in text if c.isdigit())
-        country = len(re.match(r"\+?(\d*)", text)[1]) if text.startswith("+") else 0
-        lead = min(country, 3) if country < len(digits) else 1
+        lead = min(country_digits(digits), len(digits) - 1) if text.startswith("+") else 0
         return _refill(text, encipher(key, f"{kind}{len(digits)}", digits, fixed=lead))
     if kind == "card":
         digits = "".join(c for c in text if c.isdigit())
@@ -286,22 +294,39 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, entities: str | None = None)
     return docs.mapInArrow(run, schema + (f", `{entities}` {_ENTITIES_SQL}" if entities else ""))
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, surrogate, n) of surrogates that stand for more than one entity: has no rows if all is well.
-    Entities are compared by a keyed digest; partial aggregation keeps an entity of a million mentions small."""
+def plain(kind: str, text: str) -> str:
+    """What mentions of one entity have in common: no separators (a leading plus is none), for email no case."""
+    if kind == "phone":
+        return re.sub(r"(?!^\+)\D", "", text)
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", text)
+    return text.replace(" ", "") if kind == "iban" else text.lower() if kind == "email" else text
+
+
+def _pairs(docs: DataFrame, key: bytes) -> DataFrame:
+    """Distinct (kind, surrogate, entity). Entities are compared by a keyed digest; partial aggregation keeps an
+    entity of a million mentions small."""
 
     def run(batches):
         for b in parts(batches):
             out = []
             for t in b.column(0).to_pylist():
                 for e, s in replace(t, key)[1]:
-                    plain = (lambda x: re.sub(r"\D", "", x)) if e.kind in ("phone", "card", "ssn") else (lambda x: x.lower() if e.kind == "email" else x)
-                    out.append((e.kind, plain(s), hashlib.blake2b(plain(e.text).encode(), key=key[:64]).hexdigest()))
+                    out.append((e.kind, plain(e.kind, s), hashlib.blake2b(plain(e.kind, e.text).encode(), key=key[:64]).hexdigest()))
             k, s, o = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (k, s, o)], names=["kind", "surrogate", "entity"])
 
-    found = docs.select("text").mapInArrow(run, "kind string, surrogate string, entity string").distinct()
-    return found.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+    return docs.select("text").mapInArrow(run, "kind string, surrogate string, entity string").distinct()
+
+
+def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, surrogate, n) of surrogates that stand for more than one entity: has no rows if all is well."""
+    return _pairs(docs, key).groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def splits(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, entity, n) of entities, by their digests, with more than one surrogate: has no rows if all is well."""
+    return _pairs(docs, key).groupBy("kind", "entity").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def op2(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -123,6 +123,22 @@ def test_pii_query(spark):
     assert pii.op2(table.limit(0)).count() == 0
 
 
+def test_one_number_has_one_surrogate(spark):
+    ways = ["+49 30 1234567", "+49301234567", "+4930 1234567", "+49-30-123-4567", "+49 (30) 1234567"]
+    more = ["+380441234567", "+380 44 1234567", "+3804 41234567", "+7 495 1234567", "+74951234567", "+1 (649) 555-1648", "+16495551648"]
+    plain = lambda x: re.sub(r"[ ().-]", "", x)
+    got = {}
+    for w in ways + more:
+        got.setdefault(plain(w), set()).add(plain(pii.surrogate("phone", w)))
+    assert len(got) == 4 and all(len(x) == 1 for x in got.values())
+    assert all(s != w and s[: 1 + n] == w[: 1 + n] for (w, (s,)), n in zip(got.items(), (2, 3, 1, 1)))
+    rng = random.Random(8)
+    numbers = {f"+49{rng.randrange(100):02}{i:03}" for i in range(300)}
+    assert len({plain(pii.surrogate("phone", f"+{x[1:k]} {x[k:]}")) for x in numbers for k in (3, 4, 5)}) == len(numbers)
+    table = docs(spark, [f"call {w}, now" for w in ways + more])
+    assert pii.op2(table).where("n_entities = 1").count() == len(ways + more)
+    assert pii.splits(table).count() == 0 and pii.collisions(table).count() == 0
+
 # ---- 3 ------------------------------------------------------------------------------------------------
 
 
