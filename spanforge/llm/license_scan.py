@@ -94,6 +94,19 @@ def places(norm: bytes, phrases=PHRASES) -> list[tuple[str, int]]:
     return out
 
 
+def _matches(pattern, zone: str):
+    """Matches that don't overlap, in order: the best of the zone, and likewise what lies before and behind it. What
+    lies before holds only worse ones, so that this is as many levels deep as there are numbers of errors."""
+    left = [(0, len(zone), None)]
+    while left:
+        start, end, done = left.pop()
+        if done is not None:
+            yield done
+        elif m := pattern.search(zone, start, end):
+            if m.end() > m.start():
+                left += [(m.end(), end, None), (0, 0, m), (start, m.start(), None)]
+
+
 def fuzzy(norm: bytes, notices: tuple[Notice, ...] = NOTICES) -> list[Span]:
     """Verified matches of the notices, best for each label and place, in order of their places."""
     out: list[Span] = []
@@ -117,7 +130,7 @@ def fuzzy(norm: bytes, notices: tuple[Notice, ...] = NOTICES) -> list[Span]:
             a = norm.rfind(b" ", 0, a + 1) + 1 if a else 0
             b = norm.find(b" ", min(b, len(norm)))
             zone = norm[a : b if b >= 0 else len(norm)].decode("utf-8", "replace")
-            for m in pattern.finditer(zone, overlapped=False):
+            for m in _matches(pattern, zone):
                 found = m[0].strip(" ")
                 start = m.start() + len(m[0]) - len(m[0].lstrip(" "))
                 if breaks is None:

@@ -70,6 +70,21 @@ def test_license_finds_every_notice_within_its_errors():
             assert any(x.label == notice.label for x in license_scan.fuzzy(norm)), text
 
 
+def test_license_finds_adjacent_notices():
+    f = lambda t: [(s.label, s.first_word, s.errors) for s in license_scan.fuzzy(license_scan.normalise(t))]
+    assert f("under the mit licence or under the mit license or undr the mit license") == [("mit", 0, 1), ("mit", 5, 0), ("mit", 10, 1)]
+    assert f("gnu general public licence version 3 and gnu general public license version 3") == [("gpl-3", 0, 1), ("gpl-3", 7, 0)]
+    forms = {"mit": {"under the mit license": 0, "under the mit licence": 1, "undr the mit lisense": 2}, "lgpl": {"gnu lesser general public license": 0, "gnu leser general public licence": 2, "gmu leser gneral public licence": 4}}
+    rng = random.Random(12)
+    for _ in range(150):
+        words, want = [], []
+        for _ in range(rng.randint(2, 6)):
+            label = rng.choice(sorted(forms))
+            form, errors = rng.choice(sorted(forms[label].items()))
+            want.append((label, len(words), errors))
+            words += [*form.split(), *rng.choice([["or"], ["and", "also"], ["q"], ["xyzzy"] * 9])]
+        assert f(" ".join(words)) == want, words
+
 # ---- 2 ------------------------------------------------------------------------------------------------
 
 
