@@ -1,16 +1,24 @@
 """Token counts by a compiled finite-state transducer.
 
-Two deterministic transducers in a cascade count what the tokenizer library would emit. The first reads
-character classes and marks where pieces begin (letter runs, single numbers, symbol runs, contractions).
-Its transition monoid - every function on its states that some string induces - is enumerated once, so
-that the state map of a chunk is one small integer and composing two maps is one table look-up; chunk
-maps compose by a parallel prefix scan, after which every chunk knows its entry state and is run
-independently. The second reads whole pieces: the transition that accepts a piece is annotated with the
-number of tokens it emits. It is compiled on demand, each distinct piece once per worker, from the
-vocabulary file by the tokenizer library; its accepting states are 64-bit hashes and at most
-`MAX_STATES` are kept at a time.
-
-Texts with code points that this Python's Unicode version doesn't know are given to the library whole.
+Two deterministic transducers in a cascade count what the tokenizer library would emit.
+
+The first reads character classes and marks where pieces begin (letter runs, single numbers, symbol runs,
+contractions). Its transition monoid - every function on its states that some string induces - is
+enumerated once, so that the state map of a chunk is one small integer and composing two maps is one table
+look-up; chunk maps compose by a parallel prefix scan, after which every chunk knows its entry state and
+is run independently.
+
+The second reads the bytes of the pieces, from its start state at each piece, so that the map of whatever
+holds a piece's beginning is a constant and all pieces run side by side. Its states say what of a byte
+pair encoding the next bytes can still change: for every suffix of the piece that begins some token, the
+trie node of the suffix, the last token before it and how many tokens that is fewer than now. A prefix's
+encoding ends with the one token that may follow the encoding before it (two neighbours are final if no
+earlier merge crosses them), so each transition knows the change of the number of tokens and is annotated
+with it; a piece's count is the sum along its path. Transitions are compiled from the merges when a path
+first needs them; at most about `MAX_TRANSITIONS` are kept between batches, what is dropped is compiled again.
+
+The library counts nothing. Its normaliser and splitter are asked, when compiling, about single code points
+on which their Unicode version and this Python's may differ.
 
 Edge cases: null text counts as empty (0 bytes, 0 tokens); empty table: no rows; special strings inside
 a text are one token each, as the library does by default; extra columns are ignored; repeated rows
@@ -19,6 +27,8 @@ each get a row; texts of any length are read whole.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from functools import cache
 
@@ -27,9 +37,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from spanforge.llm.common import mix, parts, powers
+from spanforge.llm.common import parts
 
-MAX_STATES = 1_000_000
+MAX_TRANSITIONS = 400_000
+#: With fewer pieces than this left, each is run to its end by itself.
+FEW = 24
 CHUNK, BATCH_CHARS = 128, 2 << 20
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -87,14 +99,11 @@ def tables():
 
 @cache
 def class_table() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point that this Python's Unicode version assigns."""
+    kinds = np.fromiter((ord(unicodedata.category(chr(cp))[0]) for cp in range(0x110000)), np.uint8, 0x110000)
     out = np.full(0x110000, SYMBOL, dtype=np.uint8)
-    for cp in range(0x110000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind == "L":
-            out[cp] = LETTER
-        elif kind == "N":
-            out[cp] = NUMBER
+    out[kinds == ord("L")] = LETTER
+    out[kinds == ord("N")] = NUMBER
     # Code points with the property White_Space.
     for a, b in ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
         out[a : b + 1] = SPACE
@@ -105,12 +114,6 @@ def class_table() -> np.ndarray:
     return out
 
 
-@cache
-def unassigned() -> np.ndarray:
-    """Code points that this Python's Unicode version doesn't assign; the library may know them."""
-    return np.fromiter((unicodedata.category(chr(cp)) == "Cn" for cp in range(0x110000)), bool, 0x110000)
-
-
 def states_before(classes: np.ndarray) -> np.ndarray:
     """State before each character, the first in NONE: chunk maps, prefix scan, then all chunks at once."""
     nxt, _, product, gens, at_none = tables()
@@ -139,9 +142,8 @@ def states_before(classes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
-def piece_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the pieces of a text that ends in white space."""
-    classes = class_table()[codes]
+def piece_spans(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of a text, given by its classes, that ends in white space."""
     mark = tables()[1].ravel()[states_before(classes).astype(np.intp) * N_CLASSES + classes]
     begins = (mark & HERE).astype(bool)
     begins[:-1] |= (mark[1:] & BEFORE).astype(bool)
@@ -150,26 +152,235 @@ def piece_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, cuts[np.searchsorted(cuts, starts, side="right")]
 
 
+class Alphabet:
+    """Code points as the library's normaliser and splitter see them."""
+
+    def __init__(self, normaliser, splitter):
+        self.normaliser, self.splitter = normaliser, splitter
+        self.classes, self.lower, self.seen = class_table().copy(), {ord("Σ"): "σ"}, set()  # lower() has a rule for a final sigma, the library hasn't
+        # Marks and compositions that are newer than the library's tables: nothing is reordered or composed across them.
+        every = [chr(cp) for cp in range(0x110000)]
+        bars = [c for c in every if unicodedata.combining(c) and normaliser.normalize_str(f"b{c}\u0334") != unicodedata.normalize("NFC", f"b{c}\u0334") and c != "\u0334"]
+        split = [unicodedata.normalize("NFD", c) for c in every if (d := unicodedata.decomposition(c)) and d[0] != "<" and unicodedata.normalize("NFC", c) == c]
+        bars += [d[-1] for d in split if normaliser.normalize_str(d) != unicodedata.normalize("NFC", d).replace("Σ", "σ").lower()]
+        self.bars = re.compile("([" + "".join(map(re.escape, sorted(set(bars)))) + "])") if bars else None
+
+    def learn(self, text: str) -> None:
+        """Code points that this Python's Unicode version doesn't assign: the library may know them."""
+        for c in set(text) - self.seen:
+            if ord(c) > 0x7F and unicodedata.category(c) == "Cn":
+                if (low := self.normaliser.normalize_str(c)) != c:
+                    self.lower[ord(c)] = low
+                for x in {c, *low}:
+                    alone, joined = (len(self.splitter.pre_tokenize_str(y + x)) for y in ("!", "x"))
+                    self.classes[ord(x)] = LETTER if joined == 1 else SYMBOL if alone == 1 else NUMBER
+            self.seen.add(c)
+
+    def normalise(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        self.learn(text)
+        if not unicodedata.is_normalized("NFC", text):
+            text = "".join(unicodedata.normalize("NFC", x) for x in (self.bars.split(text) if self.bars else [text]))
+        return text.translate(self.lower).lower()
+
+
+NO_LIMIT = 1 << 62
+
+
+class Merges:
+    """The byte pair encoding: tokens 0 to 255 are bytes, 256 to 511 bytes that end a piece, then one per merge in order."""
+
+    def __init__(self, merges, end: str = "</w>"):
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        names = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        number = names | {c + end: 256 + b for c, b in names.items()}
+        self.left, self.right, self.merged = list(range(512)), list(range(512)), {}
+        spelled = [bytes([b]) for b in range(256)] * 2
+        closing = [False] * 256 + [True] * 256
+        for m in merges:
+            x, y = m.split(" ") if isinstance(m, str) else m
+            a, b = number[x], number[y]
+            t = number[x + y] = len(self.left)
+            self.left.append(a)
+            self.right.append(b)
+            self.merged.setdefault((a, b), t)
+            spelled.append(spelled[a] + spelled[b])
+            closing.append(closing[b])
+        # a trie of all tokens; the token that ends at a node, inside a piece and at its end
+        self.child, self.inner, self.last = {}, [-1], [-1]
+        for t, s in enumerate(spelled):
+            node = 0
+            for byte in s:
+                key = node << 8 | byte
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.inner)
+                    self.inner.append(-1)
+                    self.last.append(-1)
+            (self.last if closing[t] else self.inner)[node] = t
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def apart(self, a: int, b: int, limit: int = NO_LIMIT) -> bool:
+        """Whether a and b side by side, each made by its own merges, are never joined across their border by a merge
+        before `limit`. Merges are undone from the last: what then stands at the border could have been joined if that
+        merge comes before the one that was undone; of equal ones the left one comes first."""
+        while True:
+            if self.merged.get((a, b), NO_LIMIT) < limit:
+                return False
+            if max(a, b) < 512:
+                return True
+            if a > b:
+                limit, a = a, self.right[a]
+            else:
+                limit, b = b + 1, self.left[b]
+
+    def whole(self, t: int) -> bool:
+        """Whether a token's own bytes are encoded as it."""
+        key = (-1, t)
+        if key not in self.known:
+            a, b = self.left[t], self.right[t]
+            self.known[key] = t < 512 or self.whole(a) and self.whole(b) and self.merged[a, b] == t and self.apart(a, b, t)
+        return self.known[key]
+
+    def follows(self, a: int, b: int) -> bool:
+        """Whether token b may stand after token a, or at a piece's start (a = -1)."""
+        found = self.known.get((a, b))
+        if found is None:
+            found = self.known[a, b] = self.whole(b) and (a < 0 or self.apart(a, b))
+        return found
+
+
+class Transducer:
+    """The second transducer: transitions by state and symbol (a byte, plus 256 where it ends its piece)."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.forget()
+
+    def forget(self) -> None:
+        start = ((0, -1, 0),)
+        self.states, self.number = [start], {start: 0}
+        self.moves: dict[int, int] = {}
+        self._sized(1 << 16)
+        self.merges.known.clear()
+
+    def _sized(self, size: int) -> None:
+        self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
+        self.keys, self.values = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        if self.moves:
+            n = len(self.moves)
+            self._enter(np.fromiter(self.moves.keys(), np.int64, n), np.fromiter(self.moves.values(), np.int64, n))
+
+    def _home(self, keys):
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _enter(self, keys, values) -> None:
+        at = self._home(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several, the last one stays
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & self.mask
+
+    def move(self, key: int) -> int:
+        """Next state << 8 | change of the number of tokens + 128; compiled at its first use."""
+        found = self.moves.get(key)
+        if found is None:
+            found = self.moves[key] = self._compile(self.states[key >> 9], key & 255, bool(key & 256))
+        return found
+
+    def _compile(self, state, byte: int, ends: bool) -> int:
+        m = self.merges
+        tokens, token, change, kept = m.last if ends else m.inner, None, 0, []
+        for node, before, fewer in state:
+            n = m.child.get(node << 8 | byte)
+            if n is not None:
+                if token is None and tokens[n] >= 0 and m.follows(before, tokens[n]):
+                    token, change = tokens[n], fewer + 1
+                kept.append((n, before, fewer))
+        if ends:
+            return change + 128
+        after = (*((n, before, fewer - change) for n, before, fewer in kept), (0, token, 0))
+        i = self.number.setdefault(after, len(self.states))
+        if i == len(self.states):
+            self.states.append(after)
+        return i << 8 | change + 128
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        have = self.keys[at]
+        out = self.values[at]
+        left = np.flatnonzero(have != keys)
+        if not len(left):
+            return out
+        at, have, missing = at[left], have[left], []
+        while len(left):
+            gone = have < 0
+            missing.append(left[gone])
+            left, at = left[~gone], (at[~gone] + 1) & self.mask
+            have = self.keys[at]
+            hit = have == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, at, have = left[~hit], at[~hit], have[~hit]
+        missing = np.concatenate(missing)
+        if len(missing):
+            new, inverse = np.unique(keys[missing], return_inverse=True)
+            values = np.fromiter(map(self.move, new.tolist()), np.int64, len(new))
+            out[missing] = values[inverse]
+            if len(self.moves) * 2 > self.mask:
+                self._sized((self.mask + 1) * 4)
+            else:
+                self._enter(new, values)
+        return out
+
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each piece."""
+        if len(self.moves) > MAX_TRANSITIONS:
+            self.forget()
+        size = ends - starts
+        order = np.argsort(-size, kind="stable")
+        starts, size = starts[order], size[order]
+        longest = int(size[0])
+        alive = len(size) - np.searchsorted(size[::-1], np.arange(longest + 1), side="right")  # pieces longer than j
+        state, total = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        for j in range(longest):
+            n = int(alive[j])
+            if n < FEW:
+                for i in range(n):
+                    self._alone(data, int(starts[i]) + j, int(starts[i] + size[i]), state, total, i)
+                break
+            symbol = data[starts[:n] + j].astype(np.int64)
+            symbol[alive[j + 1] :] += 256
+            found = self.look_up(state[:n] << 9 | symbol)
+            total[:n] += (found & 255) - 128
+            state[:n] = found >> 8
+        out = np.empty(len(total), np.int64)
+        out[order] = total
+        return out
+
+    def _alone(self, data, at: int, end: int, state, total, i: int) -> None:
+        s, n, move = int(state[i]), 0, self.move
+        for a in range(at, end - 1, 1 << 16):
+            for byte in data[a : min(end - 1, a + (1 << 16))].tolist():
+                found = move(s << 9 | byte)
+                s, n = found >> 8, n + (found & 255) - 128
+        total[i] += n + (move(s << 9 | 256 | int(data[end - 1])) & 255) - 128
+
+
 class Counter:
-    """The second transducer, for one vocabulary file."""
+    """The cascade for one vocabulary file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        vocab = self.library.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.closes[i] = token.endswith("</w>")
-        self.emits: dict[int, int] = {}
-
-    def compile(self, pieces: list[str]) -> list[int]:
-        """Tokens that each piece emits. All are encoded at once; a token that closes a word ends a piece."""
-        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, dtype=np.int64)
-        ends = np.flatnonzero(self.closes[ids])
-        if len(ends) != len(pieces):
-            return [len(self.library.encode(p, add_special_tokens=False).ids) for p in pieces]
-        return np.diff(ends, prepend=-1).tolist()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        library = Tokenizer.from_file(path)
+        self.alphabet = Alphabet(library.normalizer, library.pre_tokenizer)
+        self.transducer = Transducer(Merges(model["merges"], model["end_of_word_suffix"]))
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         total = np.zeros(len(texts), dtype=np.int64)
@@ -180,14 +391,7 @@ class Counter:
                 for s in SPECIAL:
                     total[i] += t.count(s)
                     t = t.replace(s, "\n")
-            if not t.isascii():
-                if unassigned()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].any():
-                    total[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
-                    t = ""
-                if not unicodedata.is_normalized("NFC", t):
-                    t = "\n".join(unicodedata.normalize("NFC", x) for x in t.split("\n"))
-                t = t.replace("Σ", "σ")  # lower() has a rule for a final sigma, the library hasn't
-            t = t.lower()
+            t = self.alphabet.normalise(t)
             held.append(t)
             lens.append(len(t) + 1)
             size += len(t)
@@ -200,26 +404,23 @@ class Counter:
 
     def _count(self, texts: list[str], lens: list[int]) -> np.ndarray:
         joined = "\n".join(texts) + "\n"
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        starts, ends = piece_spans(codes)
+        data = np.frombuffer(joined.encode(), dtype=np.uint8)
+        if plain := len(data) == len(joined):
+            codes = data
+        else:
+            codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        starts, ends = piece_spans(self.alphabet.classes[codes])
         if not len(starts):
             return np.zeros(len(texts), dtype=np.int64)
-        pw, ipw = powers(0xD6E8FEB86659FD93, len(codes))
-        c = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * pw[: len(codes)], out=c[1:])
-        h = mix((c[ends] - c[starts]) * ipw[starts])
-        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        known = list(map(self.emits.get, keys.tolist()))
-        new = [i for i, x in enumerate(known) if x is None]
-        if new:
-            where = at[new]
-            pieces = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-            if len(self.emits) + len(new) > MAX_STATES:
-                self.emits.clear()
-            for i, n in zip(new, self.compile(pieces)):
-                known[i] = n
-                self.emits[int(keys[i])] = n
-        emitted = np.concatenate([[0], np.cumsum(np.array(known, dtype=np.int64)[inverse])])
+        if plain:
+            emitted = self.transducer.run(data, starts, ends)
+        else:
+            width = np.ones(len(codes), dtype=np.int8)
+            for least in (0x80, 0x800, 0x10000):
+                width += codes >= least
+            place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+            emitted = self.transducer.run(data, place[starts], place[ends])
+        emitted = np.concatenate([[0], np.cumsum(emitted)])
         edge = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)]))
         return np.diff(emitted[edge])
 

@@ -494,23 +494,48 @@ def test_transition_monoid_is_sound():
         assert token_count.states_before(np.array(cs, dtype=np.uint8)).tolist() == want
 
 
+def library_counts(texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [len(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def test_token_counts(spark):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    library = token_count.counter(path).library
     rng = random.Random(7)
     letters = "abst'rvelmd  \n.,!'1２³Ⅷ éÉΣσİßЖ中́ ̈　\x85\x1c<|>"
-    texts = corpus() + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["a<|endoftext|>b <|startoftext|>", "'re'll've're'r'v'l", "x" * 9000, "'" * 500 + "s", " " * 3000, "a\U00013808a \U00013808\U00013808'\U00013808"]
+    texts = corpus() + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["a<|endoftext|>b <|startoftext|>", "'re'll've're'r'v'l", "x" * 9000, "'" * 500 + "s", " " * 3000, "a\U00013808a \U00013808\U00013808'\U00013808", "İ\u0591", "dİ\u0591Ç", "中文" * 900]
     rows = token_count.op9(docs(spark, texts)).orderBy("doc_id").collect()
-    assert [r.n_tokens for r in rows] == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r.n_tokens for r in rows] == library_counts(texts)
     assert [r.n_bytes for r in rows] == [len((t or "").encode()) for t in texts] and all(r.over_limit == (r.n_tokens > 2048) for r in rows)
     assert token_count.op9(docs(spark, texts).limit(0)).count() == 0
 
 
+#: Letters of random texts: words, case rules, combining marks (also ones newer than the library's tables), Hangul
+#: parts, special strings, numbers and symbols, code points of all kinds, and such as this Python doesn't know.
+ALPHABETS = {
+    "letters": "abcdefghijklmnopqrstuvwxyz", "words": "etaoin shrdlu'", "case": "ΑΣσςİıſKÅÇ\u05b0\u0591\u05c7\u0308\u0334\u0345 a",
+    "marks": [*map(chr, range(0x300, 0x370)), *"aeiou bcdİÇ"], "new marks": [*map(chr, [*range(0x898, 0x8A0), *range(0x8CA, 0x8E4), *range(0x1ABF, 0x1ACF), 0x11935, 0x11930, 0x9FE])] + [*"abİ \u0334\u0301"],
+    "hangul": [*map(chr, range(0x1100, 0x1200)), "가", "각", " "], "special": "<|endoftext|>startof ", "symbols": "0123456789abcdef-_/.'!?", "ascii": [*map(chr, range(32, 127))],
+    "any": [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000], "unknown": [*map(chr, [0x1C89, 0xA7CB, 0xA7DC, 0x10D4A, 0x10D50, 0x16EA0, 0x13808, 0x88F, 0x378])] + [*"aB1 '!"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ALPHABETS))
+def test_random_texts_have_the_librarys_counts(name):
+    rng = random.Random(name)
+    texts = ["".join(rng.choice(ALPHABETS[name]) for _ in range(rng.randint(1, 40))) for _ in range(10_000)]
+    got = token_count.counter(public_tokenizers.path("word_bpe_49k.json")).count(texts)
+    assert [(t, int(a)) for t, a, b in zip(texts, got, library_counts(texts)) if a != b] == []
+
+
 def test_emissions_survive_a_full_table(monkeypatch):
-    monkeypatch.setattr(token_count, "MAX_STATES", 5)
+    monkeypatch.setattr(token_count, "MAX_TRANSITIONS", 5)
+    monkeypatch.setattr(token_count, "BATCH_CHARS", 10)
     c = token_count.Counter(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["alpha beta gamma delta", "beta epsilon zeta", "alpha"] * 3
-    assert c.count(texts).tolist() == [len(c.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    texts = ["alpha beta gamma delta", "beta epsilon zeta", "alpha", "z" * 2000] * 3
+    assert c.count(texts).tolist() == library_counts(texts)
 
 
 # ---- 10 -----------------------------------------------------------------------------------------------
