@@ -116,7 +116,9 @@ def sanitize_model_name(name: Column) -> Column:
 
 def script_count(text: Column, script: str) -> Column:
     """Characters of a script (Latin, Arabic, Han)."""
-    return F.regexp_count(text, F.lit(rf"\p{{Is{script}}}")).cast("bigint")
+    # whole runs are taken away at once, and ASCII letters without looking their script up
+    of = r"[a-zA-Z\p{IsLatin}]+" if script == "Latin" else rf"\p{{Is{script}}}+"
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, of, ""))).cast("bigint")
 
 
 def json_string(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.operators import ranking
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,10 @@ class Language:
 
 
 def _words(script: str, joined: bool) -> str:
-    one = rf"[\p{{Is{script}}}\p{{M}}]"
-    return rf"(?<!{one}){one}+" + (rf"(?:[’'-]{one}+)*" if joined else "") + rf"(?!{one})"
+    # a match begins at the first character of its run and ends with the last, so no look at its neighbours is needed;
+    # ASCII letters stand first because a script look-up is slow
+    one = r"[a-zA-Z\p{IsLatin}\p{M}]" if script == "Latin" else rf"[\p{{Is{script}}}\p{{M}}]"
+    return rf"{one}+" + (rf"(?:[’'-]{one}+)*" if joined else "")
 
 
 # The languages' limits and ratios.
@@ -77,27 +80,93 @@ def usable(fragment: Column, spec: Language) -> Column:
     n = F.char_length(fragment)
     return (
         (n >= spec.min_fragment) & (F.regexp_count(fragment, F.lit(r"https?://|www\.")) <= 1) & ~fragment.rlike(r"[<>{}\[\]|]{3,}")
-        & (T.script_count(fragment, spec.script) >= spec.min_span) & (F.regexp_count(fragment, F.lit(r"\p{P}")) / F.greatest(F.lit(1), n) <= 0.35)
+        & (T.script_count(fragment, spec.script) >= spec.min_span) & ((n - F.char_length(F.regexp_replace(fragment, r"\p{P}+", ""))) / F.greatest(F.lit(1), n) <= 0.35)
     )
 
 
-def spans(frags: DataFrame, spec: Language) -> DataFrame:
-    """frags with span and its offset (characters from 0). Long Han runs are cut in windows at half-window steps.
-    Offsets come from the lengths of what lies between matches: the fragment is split at the spans."""
-    found = frags.withColumns({"__s": F.regexp_extract_all("fragment", F.lit(f"({spec.span})"), 1), "__gap": F.split("fragment", spec.span)})
-    running = F.aggregate(
-        F.sequence(F.lit(0), F.size("__s") - 1), F.array().cast("array<int>"),
-        lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.char_length(F.get("__s", i - 1)), F.lit(0)) + F.char_length(F.get("__gap", i)))),
-    )
-    found = found.where(F.size("__s") > 0).withColumn("__at", running)
-    out = found.select(*frags.columns, F.explode(F.arrays_zip(F.col("__s").alias("span"), F.col("__at").alias("offset"))).alias("x")).select(*frags.columns, "x.span", "x.offset")
-    if spec.lang != "zh":
-        return out
-    step, n = max(1, spec.max_span // 2), F.char_length("span")
-    starts = F.when(n <= spec.max_span, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - spec.min_span, F.lit(0)), F.lit(step)))
-    out = out.withColumn("w", F.explode(starts))
-    piece = F.when(n <= spec.max_span, F.col("span")).otherwise(F.substring("span", F.col("w") + 1, F.lit(spec.max_span)))
-    return out.withColumns({"offset": F.col("offset") + F.col("w"), "span": piece}).drop("w").where(F.char_length("span") >= spec.min_span)
+# White space as the patterns of words mean it, and what isn't, written as ranges because that is fast.
+_WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NOT_WS = (
+    r"[!-~\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}"
+    r"\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}]"
+)
+_WORD = rf"(\A{_WS}*{_NOT_WS}+{_WS}*|{_NOT_WS}+{_WS}*)"
+#: Entries of an array that a running sum takes at a time.
+_RUN = 128
+
+
+def _running(sizes: str) -> Column:
+    """Sums of what stands before each entry of an array column. Appending to an array copies it, so sums run over blocks.
+    The column must be there: an expression in its place would be evaluated for each block."""
+
+    def scan(x: Column, base: Column) -> Column:
+        start = F.struct(base.cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+        return F.aggregate(x, start, step, lambda acc: acc["out"])
+
+    count = F.ceil(F.size(sizes) / _RUN).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(sizes, (i - 1) * _RUN + 1, _RUN))
+    bases = scan(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, n: acc + n)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, bases, scan))
+
+
+def _sizes(x: str) -> Column:
+    return F.transform(x, lambda s: F.char_length(s).cast("bigint"))
+
+
+def _runs(rows: DataFrame, text: str, pattern: str) -> DataFrame:
+    """rows with __s, the matches of a pattern, and __at, their places; rows without a match go."""
+    found = rows.withColumns({"__s": F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), "__gap": F.split(text, pattern)}).where(F.size("__s") > 0)
+    found = found.withColumn("__gap", F.slice("__gap", F.lit(1), F.size("__s"))).withColumn("__n", F.zip_with("__gap", "__s", lambda g, x: (F.char_length(g) + F.char_length(x)).cast("bigint")))
+    many = F.zip_with(_running("__n"), "__gap", lambda at, g: at + F.char_length(g))
+    one = F.array(F.char_length(F.get("__gap", F.lit(0))).cast("bigint"))
+    return found.withColumn("__at", F.when(F.size("__s") == 1, one).otherwise(many)).drop("__gap", "__n")
+
+
+def spans(frags: DataFrame, spec: Language, least: int = 1) -> DataFrame:
+    """frags with span, its offset (characters from 0) and its left context. Every step is linear in the fragment's
+    length: words, or blocks of characters, are taken with their neighbours before the spans in them are. Spans of fewer
+    than `least` characters may be left out."""
+    return _spans_by_block(frags, spec) if spec.context_words <= 0 else _spans_by_word(frags, spec, least)
+
+
+def _spans_by_word(frags: DataFrame, spec: Language, least: int) -> DataFrame:
+    """A span lies in one word; its context is the words before that, and the word's beginning, which counts as one."""
+    k = spec.context_words
+    words = frags.withColumn("__w", F.regexp_extract_all("fragment", F.lit(_WORD), 1)).withColumn("__m", _sizes("__w")).withColumn("__from", _running("__m"))
+    last = lambda i, n: F.array_join(F.slice("__w", F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n))), "")
+    long = F.filter(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: F.get("__m", i) >= least)
+    each = F.transform(long, lambda i: F.struct(F.get("__w", i).alias("w"), F.get("__from", i).alias("at"), last(i, k).alias("all"), last(i, k - 1).alias("less")))
+    words = words.withColumn("__x", F.explode(each)).drop("__w", "__m", "__from").withColumn("__word", F.col("__x.w"))
+    out = _runs(words, "__word", spec.span).withColumn("__l", F.explode(F.zip_with("__s", "__at", lambda x, at: F.struct(x.alias("span"), at.alias("at")))))
+    head = F.substring("__x.w", F.lit(1), F.col("__l.at").cast("int"))
+    context = F.concat(F.when(head.rlike(_NOT_WS), F.col("__x.less")).otherwise(F.col("__x.all")), head)
+    return out.select(*frags.columns, F.col("__l.span").alias("span"), (F.col("__x.at") + F.col("__l.at")).cast("int").alias("offset"), context.alias("context"))
+
+
+def _spans_by_block(frags: DataFrame, spec: Language) -> DataFrame:
+    """Runs of a script without spaces; long ones are cut in windows at half-window steps. The context of `context_chars`
+    characters lies in two neighbouring blocks of as many."""
+    c, step = spec.context_chars, max(1, spec.max_span // 2)
+    found = _runs(frags, "fragment", spec.span).withColumn("__b", F.regexp_extract_all("fragment", F.lit(rf"((?s).{{1,{c}}})"), 1))
+
+    def cut(s: Column, at: Column) -> Column:
+        n = F.char_length(s)
+        first = F.when(n <= spec.max_span, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - spec.min_span, F.lit(0)), F.lit(step)))
+        whole = F.when(n <= spec.max_span, n).otherwise(F.lit(spec.max_span))
+        return F.transform(first, lambda i: F.struct(F.substring(s, i + 1, whole).alias("span"), (at + i).alias("at")))
+
+    each = F.flatten(F.zip_with("__s", "__at", cut))
+
+    def with_context(x: Column) -> Column:
+        start = F.greatest(x["at"] - c, F.lit(0).cast("bigint"))
+        block = F.floor(start / c).cast("int")
+        both = F.concat(F.coalesce(F.get("__b", block), F.lit("")), F.coalesce(F.get("__b", block + 1), F.lit("")))
+        return F.struct(x["span"].alias("span"), x["at"].cast("int").alias("at"), F.substring(both, (start % c + 1).cast("int"), (x["at"] - start).cast("int")).alias("context"))
+
+    keep = F.filter(each, lambda x: F.char_length(x["span"]) >= spec.min_span)
+    out = found.withColumn("__x", F.explode(F.transform(keep, with_context)))
+    return out.select(*frags.columns, F.col("__x.span").alias("span"), F.col("__x.at").alias("offset"), F.col("__x.context").alias("context"))
 
 
 def cuts(found: DataFrame, spec: Language) -> DataFrame:
@@ -114,35 +183,31 @@ def prefix(span: Column, cut: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.substring(span, F.lit(1), cut), "[-'’]+\\z", ""), r"\p{M}+\z", "")
 
 
-def left_context(fragment: Column, offset: Column, spec: Language) -> Column:
-    """The last words (or characters) before a span."""
-    before = F.substring(fragment, F.lit(1), offset)
-    if spec.context_words <= 0:
-        return F.when(offset > spec.context_chars, F.substring(before, offset - spec.context_chars + 1, F.lit(spec.context_chars))).otherwise(before)
-    return F.regexp_extract(before, rf"((?:\S+\s+){{0,{spec.context_words - 1}}}\S*\s*)\z", 1)
-
-
-def candidates(docs: DataFrame, spec: Language, text: str = "text") -> DataFrame:
-    """Prompts that end inside a word or run of the language's script; docs should be normalized."""
+def candidates(docs: DataFrame, spec: Language, text: str = "text", category: Column | None = None) -> DataFrame:
+    """Prompts that end inside a word or run of the language's script; docs should be normalized. category: where one
+    pass cuts several languages, the category of a row."""
     frags = fragments(docs, spec, text).where(usable(F.col("fragment"), spec))
-    found = spans(frags, spec)
+    found = spans(frags, spec, spec.min_span)
     found = found.where(T.script_count(F.col("span"), spec.script).between(spec.min_span, spec.max_span))
     rows = cuts(found, spec).withColumn("prefix", prefix(F.col("span"), F.col("cut")))
     ends = lambda c: F.col(c).rlike(rf"\p{{Is{spec.script}}}\z")
     rows = rows.where((T.script_count(F.col("prefix"), spec.script) >= spec.min_prefix) & ends("prefix"))
-    rows = rows.withColumn("probe_text", T.strip(F.concat(left_context(F.col("fragment"), F.col("offset"), spec), F.col("prefix"))))
+    rows = rows.withColumn("probe_text", T.strip(F.concat("context", "prefix")))
     rows = rows.where(F.char_length("probe_text").between(spec.min_chars, spec.max_chars) & ends("probe_text"))
-    return rows.withColumns({"category": F.lit(spec.category), "probe_id": T.stable_id(F.lit(spec.category), F.col("probe_text"))})
+    of = F.lit(spec.category) if category is None else category
+    return rows.withColumns({"category": of, "probe_id": T.stable_id(of, F.col("probe_text"))})
 
 
 def sample(rows: DataFrame, count: int, seed: int, key: str = "probe_text") -> DataFrame:
-    """A uniform sample of distinct texts: the least hashes, a top-k that merges partial top-ks."""
-    return rows.dropDuplicates([key]).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(count)
+    """A uniform sample of distinct texts: the least digests, a top-k that merges partial top-ks."""
+    return rows.dropDuplicates([key]).orderBy(ranking.digest(F.col(key), seed), key).limit(count)
 
 
-def candidate_stats(rows: DataFrame) -> DataFrame:
+def candidate_stats(rows: DataFrame, row: str | None = None) -> DataFrame:
+    """Candidates, distinct texts, duplicates and, with the column that numbers source rows from 0, rows scanned."""
     n, unique = F.count("*"), F.count_distinct("probe_text")
-    return rows.agg(n.alias("candidates"), unique.alias("unique_texts"), (n - unique).alias("duplicates"))
+    scanned = [(F.coalesce(F.max(row), F.lit(-1)) + 1).cast("bigint").alias("rows_scanned")] if row else []
+    return rows.agg(n.alias("candidates"), unique.alias("unique_texts"), (n - unique).alias("duplicates"), *scanned)
 
 
 def distinct_first_n(samples: DataFrame, n: int) -> DataFrame:
@@ -163,9 +228,10 @@ def allocate(total: int, weights: dict[str, float]) -> dict[str, int]:
 def draw(pool: DataFrame, total: int, weights: dict[str, float], seed: int) -> DataFrame:
     """Probes by category from a pool (category, text), drawn with replacement, ids unique by occurrence."""
     spark = pool.sparkSession
-    quota = spark.createDataFrame([(k, i) for k, n in allocate(total, weights).items() for i in range(n)], "category string, i int")
-    ranked = pool.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy("text")) - 1)
+    quota = spark.createDataFrame(list(allocate(total, weights).items()), "category string, n int")
+    quota = quota.select("category", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    ranked = ranking.by_digest(pool, ["category"], ranking.digest(F.col("text"), seed), [F.col("text")], "k")
     size = pool.groupBy("category").agg(F.count("*").alias("size"))
-    pick = quota.join(size, "category").withColumn("k", F.pmod(F.xxhash64("category", "i", F.lit(seed)), F.col("size")).cast("int"))
+    pick = quota.join(size, "category").withColumn("k", ranking.draw(ranking.digest("category", F.col("i").cast("string"), seed), F.col("size")) + 1)
     out = pick.join(ranked, ["category", "k"]).withColumn("occurrence", F.row_number().over(Window.partitionBy("category", "text").orderBy("i")))
-    return out.select(F.concat(T.stable_id(F.col("category"), F.col("text")), F.lit("_"), F.col("occurrence")).alias("probe_id"), "category", "text").orderBy(F.xxhash64("probe_id", F.lit(seed)))
+    return out.select(F.concat(T.stable_id(F.col("category"), F.col("text")), F.lit("_"), F.col("occurrence")).alias("probe_id"), "category", "text").orderBy(ranking.digest("probe_id", seed))

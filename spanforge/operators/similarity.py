@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators.observations import first_results, valid
+from spanforge.operators import ranking
+from spanforge.operators.observations import valid
 
 # Soft weights, bank rule, decision cut-offs.
 SOFT_WEIGHTS = {"exact": 0.60, "char": 0.07, "byte": 0.07, "type": 0.16, "prefix": 0.07, "empty": 0.03}
@@ -179,12 +180,8 @@ def compare(obs: DataFrame, model_a: str, model_b: str, method: str = "strict")
 
 
 def stability_sample(obs: DataFrame, ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Probes to repeat: max(1, int(n ratio)) of each model's, in order of a hash."""
+    """Probes to repeat: max(1, int(n ratio)) of each model's, in the order of a digest."""
     ids = obs.select("model_name", "probe_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("model_name").orderBy(F.xxhash64("probe_id", F.lit(seed)), "probe_id"))
-    n = F.count("*").over(Window.partitionBy("model_name"))
-    return ids.withColumns({"r": rank, "n": n}).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * ratio))).select("model_name", "probe_id")
-
-
-def first(obs: DataFrame) -> DataFrame:
-    return first_results(obs)
+    size = ids.groupBy("model_name").agg(F.greatest(F.lit(1), F.floor(F.count("*") * ratio)).alias("quota"))
+    ranked = ranking.by_digest(ids, ["model_name"], ranking.digest("probe_id", seed), [F.col("probe_id")], "k")
+    return ranked.join(size, "model_name").where("k <= quota").select("model_name", "probe_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import features, lineage, observations, probes, similarity, vocabulary
-from spanforge.sources import synthetic
+from spanforge.sources import synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,10 +223,15 @@ def pending_probes(spark, d):
     return observations.pending(required, obs, "m0").withColumn("attempt", F.col("attempt").cast("bigint"))
 
 
-@query("with u as (select cast(doc_id % 700 as varchar) as probe_id, text, doc_id as seq, 0 as part from documents where doc_id % 2 = 0 union all select cast(doc_id % 700 as varchar), text, doc_id, 1 from documents) select probe_id, text, seq, part from u qualify row_number() over (partition by probe_id order by part, seq) = 1")
+_BOTH = "select sha1(text) as probe_id, text, doc_id as seq, 0 as part from documents where doc_id in (select doc_id from labels) union all select sha1(text), text, doc_id, 1 from documents"
+
+
+@query(f"with u as ({_BOTH}) select probe_id, text, seq, part from u qualify row_number() over (partition by probe_id order by part, seq) = 1")
 def merge_probes(spark, d):
-    docs = _table(spark, d, "documents").select((F.col("doc_id") % 700).cast("string").alias("probe_id"), "text", F.col("doc_id").alias("seq"))
-    return observations.merge(docs.where("seq % 2 = 0"), docs)
+    """The labelled documents, then all: two sets that overlap, with a probe id for each text."""
+    docs = _table(spark, d, "documents").select(F.sha1(F.col("text").cast("binary")).alias("probe_id"), "text", F.col("doc_id").alias("seq"))
+    known = _table(spark, d, "labels").select(F.col("doc_id").alias("seq")).distinct()
+    return observations.merge(docs.join(known, "seq", "left_semi").select(*docs.columns), docs)
 
 
 @query(f"with {_O}, per as (select model_name, probe_id, count(*) as n, count(*) filter (error is not null) as bad, count(*) filter (error is null and output_text = '') as void from obs group by all) select model_name, sum(n)::bigint as total_rows, sum(n - bad)::bigint as usable_rows, sum(bad)::bigint as failed_rows, sum(void)::bigint as empty_rows, count(*) filter (n > bad) as usable_probes, count(*) filter (n = bad) as failed_only_probes from per group by 1")
@@ -362,7 +367,7 @@ def decision(spark, d):
     return similarity.decide(similarity.pair_scores(_obs(spark, d)), "m4").drop("diagnosis")
 
 
-@query()
+@query(f"with {_O}, i as (select distinct model_name, probe_id from obs), r as (select *, row_number() over (partition by model_name order by md5(probe_id || '|42'), probe_id) as k, count(*) over (partition by model_name) as n from i) select model_name, probe_id from r where k <= greatest(1, floor(n * 0.1e0))")
 def stability_sample(spark, d):
     return similarity.stability_sample(_obs(spark, d))
 
@@ -493,54 +498,116 @@ def manifest_duplicates(spark, d):
 
 # ---- probe construction -----------------------------------------------------------------------------------------
 
-_GERMAN = probes.LANGUAGES["de"]
+#: Languages that differ in nothing but name and category are cut in one pass.
+_SPECS = {"latin": (probes.LANGUAGES["de"], ("de", "en", "es", "fr")), "arabic": (probes.LANGUAGES["ar"], ("ar",)), "han": (probes.LANGUAGES["zh"], ("zh",))}
+
+
+def _docs(spark, d, normal: bool = False):
+    docs = tables.spread(_table(spark, d, "documents")).select("doc_id", "lang", "text")
+    return docs.withColumn("text", probes.normalize(F.col("text"))) if normal else docs
+
+
+def _per_language(docs, f):
+    """f(rows, spec) over the documents of each kind of language."""
+    parts = [f(docs.where(F.col("lang").isin(*langs)), spec) for spec, langs in _SPECS.values()]
+    return parts[0].union(parts[1]).union(parts[2])
+
 
+def _category(lang):
+    return F.create_map(*(F.lit(x) for k, v in probes.LANGUAGES.items() for x in (k, v.category)))[lang]
 
-def _german(spark, d):
-    return _table(spark, d, "documents").where("lang = 'de'").select("doc_id", "text")
 
+_SP = r"[\t\n\x0b\f\r ]"
+_W = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NW = r"[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ONE = r"[\p{Latin}\p{M}]"
+_LATIN_SPAN = rf"{_ONE}+(?:[’'-]{_ONE}+)*"
+_BYLANG = lambda latin, arabic, han: f"case when lang in ('de', 'en', 'es', 'fr') then {latin} when lang = 'ar' then {arabic} when lang = 'zh' then {han} end"
+# DuckDB has NFC only, which is the same where no compatibility character occurs, as in these tables.
+_NORM = lambda c: f"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(nfc_normalize({c}), chr(160), ' '), chr(8203), ''), chr(8204), ''), chr(8205), ''), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\p{{Cf}}]+', ' ', 'g'), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), {_q(T.STRIP)}, '', 'g')"
+_FRAG = lambda source: f"""docs as ({source}), para as (select doc_id, lang, unnest(string_split_regex(text, '\\n+')) as p, generate_subscripts(string_split_regex(text, '\\n+'), 1) - 1 as paragraph from docs where lang in ('de', 'en', 'es', 'fr', 'ar', 'zh')),
+cut as (select doc_id, lang, paragraph, string_split({_BYLANG(f"regexp_replace(p, '([.!?;:]){_SP}+', '\\1' || chr(1), 'g')", f"regexp_replace(p, '([.!?؟؛;:]){_SP}+', '\\1' || chr(1), 'g')", f"regexp_replace(p, '([。！？；：.!?;:]){_SP}*', '\\1' || chr(1), 'g')")}, chr(1)) as f from (select * replace (regexp_replace(p, {_q(T.STRIP)}, '', 'g') as p) from para)),
+frag as (select doc_id, lang, paragraph::int as paragraph, (generate_subscripts(f, 1) - 1)::int as position, regexp_replace(unnest(f), '\\A[ \\t]+|[ \\t]+\\z', '', 'g') as fragment from cut), frags as (select * from frag where fragment <> '')"""
+_USABLE = r"length(fragment) >= 12 and len(regexp_extract_all(fragment, 'https?://|www\.')) <= 1 and not regexp_matches(fragment, '[<>{}\[\]|]{3,}') and length(regexp_replace(fragment, '\P{Latin}', '', 'g')) >= 8 and length(regexp_replace(fragment, '\P{P}', '', 'g')) / greatest(1, length(fragment))::double <= 0.35e0"
+_SPANS = lambda source: f"""arr as (select *, regexp_extract_all(fragment, {_q(_LATIN_SPAN)}) as s, string_split_regex(fragment, {_q(_LATIN_SPAN)}) as g from {source} where lang in ('de', 'en', 'es', 'fr')),
+each as (select doc_id, lang, paragraph, position, fragment, unnest(s) as span, unnest(g[1:len(s)]) as gap, generate_subscripts(s, 1) as i from arr where len(s) > 0),
+placed as (select *, (sum(length(gap) + length(span)) over (partition by doc_id, paragraph, position order by i) - length(span))::int as "offset" from each),
+spans as (select *, left(fragment, "offset") as before from placed),
+ctx as (select *, case when len(regexp_extract_all(before, '{_NW}+')) <= 6 then before else regexp_extract(before, '(?:{_NW}+{_W}+){{5}}{_NW}+{_W}*\\z') end as context from spans)"""
 
-@query("with p as (select doc_id, unnest(string_split_regex(text, '\\n+')) as p, generate_subscripts(string_split_regex(text, '\\n+'), 1) - 1 as paragraph from documents where lang = 'de') select doc_id, paragraph::int as paragraph, p as fragment from p where p <> ''")
+
+@query("with p as (select doc_id, unnest(string_split_regex(text, '\\n+')) as p, generate_subscripts(string_split_regex(text, '\\n+'), 1) - 1 as paragraph from documents) select doc_id, paragraph::int as paragraph, p as fragment from p where p <> ''")
 def split_paragraphs(spark, d):
-    rows = _german(spark, d).select("doc_id", F.posexplode(F.split("text", r"\n+")).alias("paragraph", "fragment"))
+    rows = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", r"\n+")).alias("paragraph", "fragment"))
     return rows.where("fragment <> ''")
 
 
-@query()
+@query(f"with {_FRAG('select doc_id, lang, text from documents')} select doc_id, lang, paragraph, position, fragment from frags")
 def split_fragments(spark, d):
-    return probes.fragments(_german(spark, d), _GERMAN).drop("text")
+    return _per_language(_docs(spark, d), lambda rows, spec: probes.fragments(rows, spec).drop("text"))
 
 
-@query("select doc_id, length(text) >= 12 and len(regexp_extract_all(text, 'https?://|www\\.')) <= 1 and not regexp_matches(text, '[<>{}\\[\\]|]{3,}') and length(regexp_replace(text, '\\P{Latin}', '', 'g')) >= 8 and length(regexp_replace(text, '\\P{P}', '', 'g')) / greatest(1, length(text))::double <= 0.35e0 as usable from documents")
+@query(f"select doc_id, {_USABLE.replace('fragment', 'text')} as usable from documents")
 def usable_fragments(spark, d):
-    return _table(spark, d, "documents").select("doc_id", probes.usable(F.col("text"), _GERMAN).alias("usable"))
+    return _docs(spark, d).select("doc_id", probes.usable(F.col("text"), _SPECS["latin"][0]).alias("usable"))
 
 
-@query()
+def _spans(spark, d):
+    return _per_language(_docs(spark, d), lambda rows, spec: probes.spans(probes.fragments(rows, spec).drop("text"), spec))
+
+
+@query(f"with {_FRAG('select doc_id, lang, text from documents')}, {_SPANS('frags')} select doc_id, paragraph, position, span, \"offset\" from placed")
 def span_windows(spark, d):
-    return probes.spans(probes.fragments(_german(spark, d), _GERMAN), _GERMAN).select("doc_id", "paragraph", "position", "span", "offset")
+    return _spans(spark, d).select("doc_id", "paragraph", "position", "span", "offset")
+
+
+@query(f"with {_FRAG('select doc_id, lang, text from documents')}, {_SPANS('frags')} select doc_id, paragraph, position, \"offset\", context from ctx")
+def left_context(spark, d):
+    return _spans(spark, d).select("doc_id", "paragraph", "position", "offset", "context")
 
 
-@query("with s as (select distinct lower(regexp_extract(text, '[A-Za-z]{8,}')) as span from documents), r as (select span, ratio, greatest(4, least(length(span) - 1, cast(floor(length(span) * ratio) as int))) as cut from s, (values (0.55e0), (0.65e0), (0.75e0)) v(ratio) where span <> '') select span, min(ratio) as ratio, cut::int as cut from r where cut < length(span) group by span, cut")
+_CUTS = "(select *, unnest([0.55e0, 0.65e0, 0.75e0]) as ratio from {0})"
+
+
+@query(f"with s as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{{8,}}')) as span from documents), r as (select span, ratio, greatest(4, least(length(span) - 1, cast(floor(length(span) * ratio) as int))) as cut from {_CUTS.format('s')}) select span, min(ratio) as ratio, cut::int as cut from r where cut < length(span) group by span, cut")
 def cut_lengths(spark, d):
-    s = _table(spark, d, "documents").select(F.lower(F.regexp_extract("text", "[A-Za-z]{8,}", 0)).alias("span")).where("span <> ''").distinct()
-    return probes.cuts(s, _GERMAN)
+    s = _docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})"), 1)).alias("span")).distinct()
+    return probes.cuts(s, _SPECS["latin"][0])
 
 
-@query("select doc_id, regexp_extract(substring(text, 1, 50), '((?:\\S+\\s+){0,5}\\S*\\s*)$', 1) as context from documents where not contains(text, chr(10))")
-def left_context(spark, d):
-    docs = _table(spark, d, "documents").where(~F.contains("text", F.lit("\n")))
-    return docs.select("doc_id", probes.left_context(F.col("text"), F.least(F.char_length("text"), F.lit(50)), _GERMAN).alias("context"))
+@query(r"with s as (select distinct unnest(regexp_extract_all(text, '[\p{Latin}''-]+')) as span from documents) select span, regexp_replace(regexp_replace(left(span, 5), '[-''’]+\z', ''), '\p{M}+\z', '') as prefix from s")
+def safe_prefix(spark, d):
+    s = _docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{IsLatin}'-]+)"), 1)).alias("span")).distinct()
+    return s.select("span", probes.prefix(F.col("span"), F.lit(5)).alias("prefix"))
 
 
-@query()
+_LATIN = lambda c: f"length(regexp_replace({c}, '\\P{{Latin}}', '', 'g'))"
+_CAND = f"""{_FRAG(f"select doc_id, lang, {_NORM('text')} as text from documents")}, good as (select * from frags where {_USABLE}), {_SPANS('good')},
+ok as (select * from ctx where {_LATIN('span')} between 8 and 40),
+cuts as (select * exclude (cut), greatest(4, least(length(span) - 1, cast(floor(length(span) * ratio) as int))) as cut from (select *, 0 as cut from {_CUTS.format('ok')})),
+once as (select doc_id, lang, paragraph, position, span, "offset", context, min(ratio) as ratio, cut::int as cut from cuts where cut < length(span) group by all),
+pre as (select *, regexp_replace(regexp_replace(left(span, cut), '[-''’]+\\z', ''), '\\p{{M}}+\\z', '') as prefix from once),
+txt as (select *, regexp_replace(context || prefix, {_q(T.STRIP)}, '', 'g') as probe_text, case lang when 'de' then 'german' when 'en' then 'english' when 'es' then 'spanish' else 'french' end || '_partial' as category from pre where {_LATIN('prefix')} >= 4 and regexp_matches(prefix, '\\p{{Latin}}\\z')),
+cand as (select *, category || '_' || substr(sha1(category || chr(0) || probe_text), 1, 12) as probe_id from txt where length(probe_text) between 4 and 140 and regexp_matches(probe_text, '\\p{{Latin}}\\z'))"""
+
+
+def _candidates(spark, d):
+    return _per_language(_docs(spark, d, normal=True), lambda rows, spec: probes.candidates(rows, spec, category=_category(F.col("lang"))).drop("text"))
+
+
+@query(f"with {_CAND} select doc_id, probe_id, probe_text, span, \"offset\", ratio, cut from cand")
 def probe_candidates(spark, d):
-    return probes.candidates(_german(spark, d), _GERMAN).select("doc_id", "probe_id", "probe_text", "span", "offset", "ratio", "cut")
+    return _candidates(spark, d).select("doc_id", "probe_id", "probe_text", "span", "offset", "ratio", "cut")
 
 
-@query("select count(*) as candidates, count(distinct text) as unique_texts, count(*) - count(distinct text) as duplicates from documents")
+@query(f"with {_CAND} select count(*) as candidates, count(distinct probe_text) as unique_texts, count(*) - count(distinct probe_text) as duplicates, max(doc_id) + 1 as rows_scanned from cand")
 def candidate_stats(spark, d):
-    return probes.candidate_stats(_table(spark, d, "documents").withColumnRenamed("text", "probe_text"))
+    return probes.candidate_stats(_candidates(spark, d), "doc_id")
+
+
+@query(f"with {_CAND} select category, count(*) as n from cand group by 1")
+def probe_category_counts(spark, d):
+    return _candidates(spark, d).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query("select text, min(doc_id) as seq from documents group by 1 order by 2 limit 128")
@@ -548,31 +615,35 @@ def distinct_first_n(spark, d):
     return probes.distinct_first_n(_table(spark, d, "documents").select("text", F.col("doc_id").alias("seq")), 128)
 
 
-@query("select lang as category, count(*) as n from documents group by 1")
-def probe_category_counts(spark, d):
-    return _table(spark, d, "documents").groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n"))
+_WEIGHTS = {"de": 1.0, "en": 5.0, "es": 0.5, "fr": 1.0}
+_QUOTA = """w as (select * from (values ('de', 1e0, 0), ('en', 5e0, 1), ('es', 0.5e0, 2), ('fr', 1e0, 3)) v(category, weight, o)), c as (select count(*) as total from documents),
+a as (select category, o, greatest(1, cast(floor(total * weight / (select sum(weight) from w)) as int)) as n from w, c), q as (select category, (n + case when o = 0 then greatest(0, (select total from c) - (select sum(n) from a)) else 0 end)::int as n from a)"""
 
 
-@query("select * from (values ('de', 14), ('en', 71), ('fr', 14), ('es', 1)) v(category, n)")
+@query(f"with {_QUOTA} select * from q")
 def probe_allocation(spark, d):
-    rows = probes.allocate(100, {"de": 1.0, "en": 5.0, "fr": 1.0, "es": 0.001})
-    return spark.createDataFrame([(k, v) for k, v in rows.items()], "category string, n int")
+    total = _table(spark, d, "documents").count()
+    return spark.createDataFrame(list(probes.allocate(total, _WEIGHTS).items()), "category string, n int")
 
 
-@query()
+@query(f"""with {_QUOTA}, pool as (select distinct lang as category, text from documents), k as (select *, row_number() over (partition by category order by md5(text || '|42'), text) as k from pool),
+s as (select category, count(*) as size from pool group by 1), p as (select category, unnest(range(0, n)) as i from q), pick as (select category, i, ('0x' || substr(md5(category || '|' || i || '|42'), 1, 8))::bigint % size + 1 as k from p join s using (category))
+select category || '_' || substr(sha1(category || chr(0) || text), 1, 12) || '_' || row_number() over (partition by category, text order by i) as probe_id, category, text from pick join k using (category, k)""")
 def probe_draw(spark, d):
-    pool = _table(spark, d, "documents").select(F.col("lang").alias("category"), "text").distinct()
-    return probes.draw(pool, 100, {"de": 1.0, "en": 5.0, "fr": 1.0, "es": 0.5}, 42)
+    docs = _table(spark, d, "documents")
+    pool = docs.select(F.col("lang").alias("category"), "text").distinct()
+    return probes.draw(pool, docs.count(), _WEIGHTS, 42)
 
 
-@query()
+@query(f"select doc_id, {_NORM('text')} as text from documents")
 def normalize_text(spark, d):
-    return _table(spark, d, "documents").select("doc_id", probes.normalize(F.col("text")).alias("text"))
+    return _docs(spark, d, normal=True).select("doc_id", "text")
 
 
-@query()
+@query("with u as (select text as probe_text, min(doc_id) as doc_id from documents group by 1) select doc_id, probe_text from u order by md5(probe_text || '|20260704'), probe_text limit 100")
 def reservoir_sample(spark, d):
-    return probes.sample(_table(spark, d, "documents").select("doc_id", F.col("text").alias("probe_text")), 100, 20260704)
+    rows = _table(spark, d, "documents").groupBy(F.col("text").alias("probe_text")).agg(F.min("doc_id").alias("doc_id"))
+    return probes.sample(rows.select("doc_id", "probe_text"), 100, 20260704)
 
 
 def queries() -> dict[str, Query]:
