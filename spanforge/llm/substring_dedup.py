@@ -1,24 +1,26 @@
 """Repeated passages: every word covered by a 35-word window that also starts elsewhere is removed.
 
 Equal texts are found first, by a 128-bit hash: each of them is covered wholly, and one of them stands
-for all in what follows. Then two passes over the texts, both vectorised over Arrow buffers:
-
-1. Each partition counts its windows in a sketch (one row of saturating counters, addressed by the
-   window's hash) and sends the cells it touched, in shards of the sketch; a merging task per shard adds
-   them up. A cell reached at least twice is "repeated": counts are over-estimated by collisions, never
-   under-estimated, so no repeated window is lost.
-2. Only windows in repeated cells go on. They are grouped by a 128-bit hash of their word sequence -
-   first inside the partition, so that a passage copied a million times leaves a partition as one row,
-   then across partitions - and groups of one are dropped.
-
-The sketch is sized from the input's bytes up to 2**MAX_BITS cells. A filter of its repeated cells, at most
-2**(MAX_BITS - 2) bits or 32 MB, is the only thing broadcast; beyond that size it lets more unrepeated windows through to the exact grouping, which does not
-depend on it for correctness. Texts are shuffled once, together with their covered ranges.
+for all in what follows. The texts are then dealt, once, into groups of some megabytes, and the groups are
+gone through three times, vectorised over Arrow buffers:
+
+1. Each group counts its windows in a partial count-min sketch of `ROWS` rows and sends the cells that it
+   touched to the shards of the sketch. A task per shard merges them: a cell that was reached twice or more
+   is "repeated". Counts are over-estimated by collisions, never under-estimated, so no repeated window is
+   lost. The shard answers every group with one bit for each cell that the group sent.
+2. With these answers a group knows the estimate of each of its windows, the least of its rows' cells. Only windows
+   that are repeated in all rows go on. They are grouped by a 96-bit hash of their word sequence - first inside
+   the group, so that a passage copied a million times leaves a group as one row, then across groups - and
+   groups of one are dropped.
+3. Covered ranges come back to their texts.
+
+The sketch's cells, its shards and the groups grow with the input's bytes, so that a task's share and the rate of
+windows that pass without being repeated stay the same; nothing is broadcast or sent to the driver.
 
 Edge cases: null text has no words; fewer than 35 words: no window, nothing is removed; repeated rows
 count as places of their own; a null doc_id is kept as null; rows that share a doc_id but not a text are
-told apart by a hash of the text; words are bytes between ASCII white space, unchanged; an empty table
-gives no rows.
+told apart by a hash of the text; words are bytes between ASCII white space, unchanged; doc_id may be of any
+type; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,16 +29,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import chunks, give_back, mix, powers, small, stored, text_buffer, word_hashes, word_spans
 
-WINDOW = 35
-#: Repeated cells of a shard are kept as a filter of 2**FILTER_BITS bits with two hashes.
-MIN_BITS, MAX_BITS, SHARD_BITS, FILTER_BITS = 21, 30, 20, 18
-#: Windows, and repeated windows, that a task holds at a time.
-COUNTED, HELD = 3 << 20, 1 << 20
+WINDOW, ROWS = 35, 2
+#: Text of a group, text that one shard counts the windows of (about one window in six bytes), and cells a shard and row.
+GROUP_BYTES, SHARD_BYTES, SHARD_BITS = 8 << 20, 24 << 20, 24
 
 
 def windows(col: pa.Array, width: int, rows: int):
@@ -71,99 +72,86 @@ def _cells(b: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def sketch_bits(docs: DataFrame, most: int = MAX_BITS) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(most, max(MIN_BITS, int(8 * size / 6).bit_length()))
-
-
-def _places(low: np.ndarray, r: int) -> np.ndarray:
-    """Place of a cell, given by its low SHARD_BITS bits, in its shard's filter under hash r."""
-    return (mix(low + np.uint64((r + 1) << 40)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def passes(filter_: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Indices of the cells that may be repeated."""
-    at = np.arange(len(cell))
-    for r in (0, 1):
-        c = cell[at]
-        i = (c >> np.uint64(SHARD_BITS)).astype(np.int64) << FILTER_BITS | _places(c & np.uint64((1 << SHARD_BITS) - 1), r)
-        at = at[((filter_[i >> 3] >> (i & 7).astype(np.uint8)) & 1).astype(bool)]
-    return at
-
-
-def repeated_cells(docs: DataFrame, bits: int, width: int = WINDOW) -> bytes:
-    """A filter of the merged sketch's cells that counted at least two windows; it passes all of them, and
-    about one in fifty others. docs: as of with_keys()."""
-
-    def flush(held):
-        cells = np.sort(np.concatenate(held))
-        new = np.concatenate([[True], cells[1:] != cells[:-1]])
-        again = np.unique(cells[1:][~new[1:]])
-        cells = cells[new]
-        shard = cells >> np.uint32(SHARD_BITS)
-        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        cut2 = np.searchsorted(again >> np.uint32(SHARD_BITS), shard[cut[:-1]], side="left"), np.searchsorted(again >> np.uint32(SHARD_BITS), shard[cut[:-1]], side="right")
-        low = np.uint32((1 << SHARD_BITS) - 1)
-        for a, b, c, d in zip(cut[:-1], cut[1:], *cut2):
-            yield int(shard[a]), _planes(cells[a:b] & low), _planes(again[c:d] & low)
-
-    def count(batches):
-        held, n = [], 0
-        for b in batches:
-            copied = b.column(1).to_numpy() > 0
-            for first, (h,), doc, _ in windows(b.column(0), width, 1):
-                cell = (h >> np.uint64(64 - bits)).astype(np.uint32)
-                held += [cell, cell[copied[first + doc]]]
-                n += len(h)
-                if n >= COUNTED:
-                    yield batch(flush(held))
-                    held, n = [], 0
-        if n:
-            yield batch(flush(held))
+def shards_for(size: int) -> int:
+    """log2 of the number of shards of a row, for so many bytes of text."""
+    return max(0, -(-size // SHARD_BYTES) - 1).bit_length()
+
+
+def _touched(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits)
+
+
+def _by_shard(cells: np.ndarray):
+    """(shard, slice) of sorted cells."""
+    shard = cells >> np.uint64(SHARD_BITS)
+    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(cells) else np.zeros(1, int)
+    return [(int(shard[a]), slice(a, b)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+_LOW = np.uint64((1 << SHARD_BITS) - 1)
+
+
+def answers(texts: DataFrame, shards: int, width: int = WINDOW) -> DataFrame:
+    """(group, row, shard, bits): whether the merged sketch counted two or more windows, a bit for each distinct cell that
+    the group's windows touch in the shard, in order. texts: as of in_groups()."""
+    bits = SHARD_BITS + shards
+
+    def count(table):
+        group = table.column("group")[0].as_py() if table.num_rows else 0
+        column, copied = table.column("text").combine_chunks(), table.column("copies").to_numpy() > 0
+        held = [[[], []] for _ in range(ROWS)]
+        for first, hashes, doc, _ in windows(column, width, ROWS):
+            for r, h in enumerate(hashes):
+                cell = _touched(h, bits)
+                held[r][0].append(cell)
+                held[r][1].append(cell[copied[first + doc]])  # stands for two texts or more
+        out = []
+        for r in range(ROWS):
+            if not held[r][0]:
+                continue
+            cells = np.sort(np.concatenate(held[r][0] + held[r][1]))
+            new = np.concatenate([[True], cells[1:] != cells[:-1]])
+            again, cells = np.unique(cells[1:][~new[1:]]), cells[new]
+            twice = dict(_by_shard(again))
+            for s, part in _by_shard(cells):
+                more = again[twice[s]] if s in twice else again[:0]
+                out.append((r, s, group, _planes((cells[part] & _LOW).astype(np.uint32)), _planes((more & _LOW).astype(np.uint32))))
         give_back()
+        cols = list(zip(*out)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["row", "shard", "group", "once", "twice"])
+
+    def merge(table):
+        seen, many = np.zeros(1 << SHARD_BITS, bool), np.zeros(1 << SHARD_BITS, bool)
+        once = table.column("once").to_pylist()
+        for a, b in zip(once, table.column("twice").to_pylist()):
+            x = _cells(a)
+            many[x] |= seen[x]
+            seen[x] = True
+            many[_cells(b)] = True
+        found = [np.packbits(many[_cells(a)]).tobytes() for a in once]
+        give_back()
+        return pa.table([table.column("group"), table.column("row"), table.column("shard"), pa.array(found, pa.binary())], names=["group", "row", "shard", "bits"])
 
-    def batch(rows):
-        s, once, twice = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["shard", "once", "twice"])
+    cells = texts.groupBy("group").applyInArrow(count, "row int, shard bigint, group bigint, once binary, twice binary")
+    return cells.groupBy("row", "shard").applyInArrow(merge, "group bigint, row int, shard bigint, bits binary")
 
-    def merge(batches):
-        shard, seen, many = None, None, None
-        for b in batches:
-            for s, once, twice in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if s != shard:
-                    if shard is not None:
-                        yield packed(shard, many)
-                    shard, seen, many = s, np.zeros(1 << SHARD_BITS, bool), np.zeros(1 << SHARD_BITS, bool)
-                x = _cells(once)
-                many[x] |= seen[x]
-                seen[x] = True
-                many[_cells(twice)] = True
-        if shard is not None:
-            yield packed(shard, many)
-
-    def packed(shard, many):
-        bits_set = np.zeros(1 << FILTER_BITS, bool)
-        cells = np.flatnonzero(many).astype(np.uint64)
-        for r in (0, 1):
-            bits_set[_places(cells, r)] = True
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(bits_set, bitorder="little").tobytes()], pa.binary())], names=["shard", "many"])
-
-    parts = docs.where("copies < 2").select("text", "copies").mapInArrow(count, "shard int, once binary, twice binary")
-    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, many binary")
-    step = 1 << (FILTER_BITS - 3)
-    out = np.zeros(step << (bits - SHARD_BITS), dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        out[r.shard * step : (r.shard + 1) * step] = np.frombuffer(r.many, dtype=np.uint8)
-    return out.tobytes()
-
-
-def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WINDOW) -> DataFrame:
-    """(k1, k2, a, b): words a..b-1 of the text with key (k1, k2) are covered by repeated windows."""
-    shared = keyed.sparkSession.sparkContext.broadcast(sketch)
+
+def estimated(hashes: np.ndarray, bits: int, replies: dict[int, bytes]) -> np.ndarray:
+    """Whether each window's cell in one row is repeated. replies: a row's bits by shard."""
+    cells, at = np.unique(_touched(hashes, bits), return_inverse=True)
+    many = np.zeros(len(cells), bool)
+    for s, part in _by_shard(cells):
+        many[part] = np.unpackbits(np.frombuffer(replies[s], np.uint8), count=part.stop - part.start)
+    return many[at]
+
+
+def covered_ranges(texts: DataFrame, shards: int, width: int = WINDOW) -> DataFrame:
+    """(k1, k2a, size): words a..a+size-1 of the text with key (k1, k2) are covered by repeated windows; k2a holds k2 above 32
+    bits of a."""
+    bits = SHARD_BITS + shards
     names = ["h1", "h2", "k1", "k2"]  # h2 with the place, k2 with the count: dense rows shuffle smaller
 
-    def flush(held):
-        h1, h2, k1, k2, pos, weight = (np.concatenate(x) for x in zip(*held))
+    def flush(h1, h2, k1, k2, pos, weight):
         order = np.lexsort((h2, h1))
         s1, s2 = h1[order], h2[order]
         cut = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]), [True]]))
@@ -180,26 +168,27 @@ def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WIND
             b = at[np.concatenate([breaks[1:], [True]])]
             out.append((mix(k1[a].view(np.uint64)), (pos[b] - pos[a] + width).astype(np.uint64), k1[a], k2[a], pos[a], np.full(len(a), 3)))
         h1, h2, k1, k2, pos, n = (np.concatenate(x) for x in zip(*out))
-        packed = (h2 << np.uint64(32) | pos.astype(np.uint64)).view(np.int64), k2.astype(np.int64) << 2 | n
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), packed[0], k1, packed[1])], names=names)
-
-    def candidates(batches):
-        many = np.frombuffer(shared.value, dtype=np.uint8)
-        held, n = [], 0
-        for b in batches:
-            k1, k2, weight = b.column("k1").to_numpy(), b.column("k2").to_numpy(), b.column("copies").to_numpy().astype(np.int64) + 1
-            for first, (h1, h2), doc, pos in windows(b.column("text"), width, 2):
-                at = passes(many, h1 >> np.uint64(64 - bits))
-                if len(at):
-                    row = first + doc[at]
-                    held.append((h1[at], h2[at], k1[row], k2[row], pos[at], weight[row]))
-                    n += len(at)
-                if n >= HELD:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
+        return h1.view(np.int64), (h2 << np.uint64(32) | pos.astype(np.uint64)).view(np.int64), k1, k2.astype(np.int64) << 2 | n
+
+    def candidates(table, replies):
+        known = [{} for _ in range(ROWS)]
+        for r, s, b in zip(*(replies.column(c).to_pylist() for c in ("row", "shard", "bits"))):
+            known[r][s] = b
+        k1, k2, weight = (table.column(c).to_numpy() for c in ("k1", "k2", "copies"))
+        rows, held = [[] for _ in range(ROWS)], []
+        for first, hashes, doc, pos in windows(table.column("text").combine_chunks(), width, ROWS) if table.num_rows else ():
+            for r, h in enumerate(hashes):
+                rows[r].append(h)
+            held.append((first + doc, pos))
+        found = [np.zeros(0, np.int64)] * 4
+        if held:
+            h = [np.concatenate(x) for x in rows]
+            at = np.flatnonzero(np.logical_and.reduce([estimated(x, bits, y) for x, y in zip(h, known)]))
+            row, pos = (np.concatenate(x)[at] for x in zip(*held))
+            if len(at):
+                found = flush(h[0][at], h[1][at], k1[row], k2[row], pos, weight[row].astype(np.int64) + 1)
         give_back()
+        return pa.table([pa.array(x) for x in found], names=names)
 
     def verify(batches):
         rest = None
@@ -225,93 +214,87 @@ def covered_ranges(keyed: DataFrame, sketch: bytes, bits: int, width: int = WIND
         edge = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (s3[1:] != s3[:-1]), [True]]))
         total = np.empty(len(h1), np.int64)
         total[order] = np.repeat(np.add.reduceat(n[order], edge[:-1]), np.diff(edge))
+        # what is known in its group comes as a range; here, windows that were alone in theirs are found
         out = known | (lone & (total > 1))
         size = np.where(known, h2, width)
         return pa.RecordBatch.from_arrays([pa.array(k1[out]), pa.array(k2[out] << 32 | a[out]), pa.array(size[out].astype(np.int32))], names=["k1", "k2a", "size"])
 
-    found = keyed.where("copies < 2").select("k1", "k2", "copies", "text").mapInArrow(candidates, "h1 bigint, h2 bigint, k1 bigint, k2 bigint")
-    found = found.repartition("h1").sortWithinPartitions("h1").mapInArrow(verify, "k1 bigint, k2a bigint, size int")
-    return found.select("k1", F.shiftright("k2a", 32).cast("int").alias("k2"), F.col("k2a").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("a"), "size", "k2a")
+    found = texts.groupBy("group").cogroup(answers(texts, shards, width).groupBy("group")).applyInArrow(candidates, "h1 bigint, h2 bigint, k1 bigint, k2 bigint")
+    return found.repartition("h1").sortWithinPartitions("h1").mapInArrow(verify, "k1 bigint, k2a bigint, size int")
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
     """doc_id, text, a key (k1, k2) of both, and copies: 0 for a text that stands alone, 1 for the one that
     stands for all equal texts, 2 for the others."""
-    keyed = docs.select("doc_id", "text").withColumns(
-        {"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "k2": F.hash("text"), "x1": F.xxhash64("text"), "x2": F.xxhash64(F.lit(35), "text")}
-    )
+    keyed = docs.select("doc_id", "text").withColumns({"k1": F.xxhash64("doc_id"), "k2": F.hash("text"), "x1": F.xxhash64("text"), "x2": F.xxhash64(F.lit(35), "text")})
     equal = stored(keyed.groupBy("x1", "x2").agg(F.count("*").alias("n"), F.min("k1").alias("k0")).where("n > 1").select("x1", "x2", "k0"))
     copies = F.when(F.col("k0").isNull(), 0).when(F.col("k0") == F.col("k1"), 1).otherwise(2)
     return keyed.join(small(equal), ["x1", "x2"], "left").select("doc_id", "text", "k1", "k2", copies.alias("copies"))
 
 
+def _group(groups: int):
+    return F.pmod(F.xxhash64("k1", "k2"), F.lit(groups))
+
+
+def in_groups(keyed: DataFrame, groups: int) -> DataFrame:
+    """The texts that stand for themselves or for their copies, dealt by group. All passes read this one exchange."""
+    rows = keyed.where("copies < 2").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select("doc_id", "text", "k1", "k2", "copies", _group(groups).alias("group")).repartition("group")
+
+
 def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text of every row."""
     keyed = with_keys(docs)
-    bits = sketch_bits(docs)
-    ranges = covered_ranges(keyed, repeated_cells(keyed, bits, width), bits, width)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    alone = keyed.where("copies = 0")
-    both = alone.select("k1", F.shiftleft(F.col("k2").cast("bigint"), 32).alias("k2a"), F.lit(-1).alias("size"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = both.union(ranges.select("k1", "k2a", "size", F.lit(None).cast(kind), F.lit(None).cast("string")))
-    # a text and its ranges meet by (k1, k2); the text comes first
-    both = both.repartition("k1", F.shiftright("k2a", 32)).sortWithinPartitions("k1", F.shiftright("k2a", 32), "size")
-
-    def one(doc_id, text, a, b):
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    texts = in_groups(keyed, groups)
+    ranges = covered_ranges(texts, shards_for(size), width)
+    ranges = ranges.select("k1", F.shiftright("k2a", 32).cast("int").alias("k2"), "k2a", "size").select(_group(groups).alias("group"), "k1", "k2a", "size")
+
+    def one(text, a, b):
         words = text.encode("utf-8", "surrogatepass").split()
         n = len(words)
         if not len(a):
-            return doc_id, n, 0, b" ".join(words).decode("utf-8", "surrogatepass")
+            return n, 0, b" ".join(words).decode("utf-8", "surrogatepass")
         depth = np.zeros(n + 1, np.int64)
         np.add.at(depth, a, 1)
         np.add.at(depth, b, -1)
         keep = np.cumsum(depth)[:n] == 0
-        return doc_id, n, n - int(keep.sum()), b" ".join(compress(words, keep.tolist())).decode("utf-8", "surrogatepass")
-
-    def run(batches):
-        key, texts, spans = None, [], []
-
-        def done():
-            a, b = (np.concatenate(x) for x in zip(*spans)) if spans else ([], [])
-            return [one(*t, a, b) for t in texts]
-
-        for batch in batches:
-            k1, k2a, size = (batch.column(i).to_numpy() for i in range(3))
-            k2, a, b = k2a >> 32, k2a & 0xFFFFFFFF, (k2a & 0xFFFFFFFF) + size
-            ids, text = batch.column(3), batch.column(4)
-            cut = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), [True]])).tolist() if len(k1) else [0]
-            out = []
-            for x, y in zip(cut, cut[1:]):
-                if (k1[x], k2[x]) != key:
-                    out += done()
-                    key, texts, spans = (k1[x], k2[x]), [], []
-                m = x + int(np.searchsorted(size[x:y], 0))
-                if m > x:
-                    texts += zip(ids[x:m].to_pylist(), text[x:m].to_pylist())
-                if y > m:
-                    spans.append((a[m:y], b[m:y]))
-            if out:
-                yield rows(out)
-        if texts:
-            yield rows(done())
-
-    def rows(out):
-        cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa_kind), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
-
-    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    schema = f"doc_id {kind}, n_words bigint, n_removed bigint, text string"
+        return n, n - int(keep.sum()), b" ".join(compress(words, keep.tolist())).decode("utf-8", "surrogatepass")
+
+    def table(ids, out):
+        cols = list(zip(*out)) or [()] * 3
+        return [ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
+
+    names = ["doc_id", "n_words", "n_removed", "text"]
+
+    def cut(texts, ranges):
+        alone = texts.filter(pa.compute.equal(texts.column("copies"), 0))
+        k1, k2a, size = (ranges.column(c).to_numpy() for c in ("k1", "k2a", "size"))
+        order = np.lexsort((k2a, k1))
+        k1, k2, a, size = k1[order], (k2a >> 32)[order], (k2a & 0xFFFFFFFF)[order], size[order]
+        edge = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), [True]])).tolist() if len(k1) else [0]
+        where = {(int(k1[x]), int(k2[x])): slice(x, y) for x, y in zip(edge, edge[1:])}
+        none = slice(0, 0)
+        out = []
+        for text, key in zip(alone.column("text").to_pylist(), zip(alone.column("k1").to_pylist(), alone.column("k2").to_pylist())):
+            part = where.get(key, none)
+            out.append(one(text, a[part], a[part] + size[part]))
+        give_back()
+        return pa.table(table(alone.column("doc_id"), out), names=names)
 
     def whole(batches):
         for batch in batches:
             out = []
-            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+            for text in batch.column(1).to_pylist():
                 n = len((text or "").encode("utf-8", "surrogatepass").split())
-                out.append((doc_id, n, n, "") if n >= width else one(doc_id, text or "", (), ()))
+                out.append((n, n, "") if n >= width else one(text or "", (), ()))
             if out:
-                yield rows(out)
+                yield pa.RecordBatch.from_arrays(table(batch.column(0), out), names=names)
 
-    return both.mapInArrow(run, schema).union(keyed.where("copies > 0").select("doc_id", "text").mapInArrow(whole, schema))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, text string"
+    kept = texts.groupBy("group").cogroup(ranges.groupBy("group")).applyInArrow(cut, schema)
+    return kept.union(keyed.where("copies > 0").select("doc_id", "text").mapInArrow(whole, schema))
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -225,10 +225,10 @@ def kept_by_force(texts, width):
     return out
 
 
-@pytest.mark.parametrize("held", [50, 1 << 20])
+@pytest.mark.parametrize("held", [500, 8 << 20])
 def test_substring_dedup(spark, monkeypatch, held):
-    monkeypatch.setattr(substring_dedup, "HELD", held)
-    monkeypatch.setattr(substring_dedup, "COUNTED", held)
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", held)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", held)
     texts = corpus()
     texts += ["r " * 80, "q z " * 60 + "end"]  # a passage that repeats within its document
     rows = substring_dedup.op4(docs(spark, texts)).orderBy("doc_id").collect()
@@ -239,6 +239,24 @@ def test_substring_dedup_edges(spark):
     table = docs(spark, ["a " * 50, "a " * 50, None, None], [1, 1, None, None])
     assert sorted(((r.doc_id or -1, r.n_removed) for r in substring_dedup.op4(table).collect())) == [(-1, 0), (-1, 0), (1, 50), (1, 50)]
     assert substring_dedup.op4(table.limit(0)).count() == 0
+    named = spark.createDataFrame([("x", "b " * 40, 1), ("y", "c d", 2), (None, None, 3)], "doc_id string, text string, group int")
+    assert sorted((r.doc_id or "", r.n_words, r.n_removed) for r in substring_dedup.op4(named).collect()) == [("", 0, 0), ("x", 40, 40), ("y", 2, 0)]
+
+
+@pytest.mark.parametrize("bits", [10, 13, 24])
+def test_the_sketch_lets_few_windows_pass_and_all_repeated_ones(spark, monkeypatch, bits):
+    """Loads of about 12, 1.5 and 0 windows a cell: the rows' minimum decides, and no repeated window is lost."""
+    monkeypatch.setattr(substring_dedup, "SHARD_BITS", bits)
+    monkeypatch.setattr(substring_dedup, "_LOW", np.uint64((1 << bits) - 1))
+    rng = random.Random(3)
+    texts = [" ".join("w%d" % rng.randrange(5000) for _ in range(335)) for _ in range(40)]
+    texts.append(" ".join(texts[0].split()[100:140]))
+    keyed = substring_dedup.with_keys(docs(spark, texts))
+    found = substring_dedup.answers(substring_dedup.in_groups(keyed, 3), 0).collect()
+    share = np.concatenate([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in found]).mean()
+    assert {10: 0.95 < share, 13: 0.2 < share < 0.9, 24: share < 0.02}[bits]
+    rows = substring_dedup.op4(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in rows] == kept_by_force(texts, 35)
 
 
 # ---- 5 ------------------------------------------------------------------------------------------------
