@@ -25,15 +25,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or, where that is unset
-    (tests, one machine), a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir of the session. On one machine, where it may be unset as in
+    tests, a folder of our own; on a cluster a local folder would lose rows, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def aliased(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with all but the needed columns under names of their place, so that names inside an operator can't clash with
+    the table's own; restored() gives them back."""
+    return docs.toDF(*(c if c in needed else f"own_{i}" for i, c in enumerate(docs.columns)))
+
+
+def restored(rows: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of own = aliased(docs), which rows has besides others, as docs names them."""
+    return rows.select(*own.columns).toDF(*docs.columns)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import ascii_lower, small, stored
+from spanforge.llm.common import aliased, ascii_lower, restored, small, stored
 
 WIDTH, MIN_ITEMS = 8, 2
 #: Anything that isn't a word character once A-Z are lower-cased.
@@ -133,8 +133,9 @@ def proximity(docs: DataFrame, windows: DataFrame, span: int) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int = MIN_ITEMS) -> DataFrame:
     """The rows that don't hold windows of min_items items, columns as given."""
-    bad = stored(contamination(docs, items, width, min_items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
-    return docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")
+    bad = stored(contamination(docs, items, width, min_items).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct())
+    own = aliased(docs, "doc_id", "text")
+    return restored(own.join(small(bad), F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_th")), "left_anti"), own, docs)
 
 
 def op10(docs: DataFrame, items: DataFrame) -> DataFrame:

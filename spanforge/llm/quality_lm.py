@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import chunks, give_back, small, stored, text_buffer
+from spanforge.llm.common import aliased, chunks, give_back, restored, small, stored, text_buffer
 
 ORDER = 5
 PRIOR, QUANTILE, SLACK = 200, 0.995, 1.02
@@ -290,4 +290,5 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that aren't rejected, columns as given."""
-    return judged(docs, labels, **options).where("__keep").select(*docs.columns)
+    own = aliased(docs, "doc_id", "lang", "text")
+    return restored(judged(own, labels, **options).where("__keep"), own, docs)

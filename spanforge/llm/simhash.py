@@ -21,10 +21,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import mix, parts, small, stored
+from spanforge.llm.common import aliased, mix, parts, restored, small, stored
 
 SHINGLE, RADIUS = 4, 4
 
@@ -228,6 +228,8 @@ def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int | N
 #: from the shingles' 64-bit hashes. Candidates agree in all five minima of one of 24 bands of a MinHash of the same
 #: sets, which a pair of similarity s misses with probability (1 - s^5)^24: 0.00007 at 0.8, less above.
 SIMILAR_SHINGLE, BANDS, BAND = 5, 24, 5
+#: Nodes that one task compares with each other.
+BLOCK = 128
 SIMILAR = (4, 5)  # as a fraction, so that no rounding decides
 _mixers = np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**64, size=(2, BANDS * BAND), dtype=np.uint64)
 
@@ -288,14 +290,9 @@ def _similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes of a bucket (`bucket`, `node`) whose components equal those of all pairs in one
-    bucket with a similarity of SIMILAR or more. Only the texts of nodes in a bucket are read again."""
-
-    def sets(batches):
-        for b in parts(batches):
-            rows = [shingles(t).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "kinds"])
+def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components equal those of all pairs in one bucket with a similarity of SIMILAR or more. members:
+    (bucket, node), distinct, a bounded number in a bucket; sets: (node, kinds)."""
 
     def verify(group):
         nodes = group.column("node").to_numpy()
@@ -304,12 +301,53 @@ def similar_links(docs: DataFrame, marked: DataFrame, buckets: DataFrame) -> Dat
         e = np.array(_similar_forest([column[int(i)].values.to_numpy().view(np.uint64) for i in order]), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[order][e[:, 0]], "b": nodes[order][e[:, 1]]})
 
-    wanted = buckets.select("node").distinct()
-    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    one = stored(one.select("node", F.col("r.doc_id").alias("one_id"), F.col("r.th").alias("one_th")))
-    same = (F.xxhash64(docs["text"]) == F.col("one_th")) & docs["doc_id"].eqNullSafe(F.col("one_id"))
-    found = docs.select("doc_id", "text").join(small(one), same).select("node", "text").mapInArrow(sets, "node bigint, kinds array<bigint>").dropDuplicates(["node"])
-    return buckets.join(stored(found), "node").groupBy("bucket").applyInArrow(verify, "a bigint, b bigint").distinct()
+    return members.join(sets, "node").select("bucket", "node", "kinds").groupBy("bucket").applyInArrow(verify, "a bigint, b bigint").distinct()
+
+
+def _blocks(node: str, n: Column, seed: int) -> Column:
+    """The block of a node where n nodes are dealt into blocks of about BLOCK."""
+    return F.pmod(F.xxhash64(F.lit(seed), node), F.greatest(F.lit(1), F.ceil(n / BLOCK)))
+
+
+def similar_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components equal those of all pairs with a common key and a similarity of SIMILAR or more.
+    entries: (k, node), distinct; sets: (node, kinds) of the nodes that share a key with another.
+
+    Keys of few nodes are buckets. The nodes of a frequent key are dealt into blocks, each with the key's least node, the
+    centre: a group of copies is joined by its links to the centre, whatever its size. Where that leaves a frequent key's nodes in
+    several components, the nodes outside the largest one meet all the others, block by block."""
+    counts = stored(entries.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"))
+    frequent = stored(counts.where(F.col("n") > BLOCK))
+    rest = entries.join(small(counts.where(F.col("n") <= BLOCK).select("k")) if frequent.isEmpty() else counts.where(F.col("n") <= BLOCK).select("k"), "k", "left_semi")
+    few = rest.groupBy("k").agg(F.array_sort(F.collect_set("node")).alias("members")).select("members").distinct()  # at most BLOCK
+    buckets = few.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node")).distinct()
+    if frequent.isEmpty():
+        return stored(_verified(buckets, sets))
+    many = stored(entries.join(small(frequent), "k"))
+    # most keys of a group of copies have the same centre: a node meets each centre once
+    spokes = many.where("node <> centre").select("centre", "node").distinct()
+    spokes = stored(spokes)
+    each = spokes.groupBy("centre").agg(F.count("*").alias("n"))
+    spokes = spokes.join(each, "centre").select("centre", "node", _blocks("node", F.col("n"), 1).alias("block"))
+    bucket = F.xxhash64(F.lit("spokes"), "centre", "block").alias("bucket")
+    spokes = spokes.select(bucket, "node").union(spokes.select("centre", "block").distinct().select(bucket, F.col("centre").alias("node")))
+    edges = stored(_verified(buckets.union(spokes).distinct(), sets))
+
+    # what the centres didn't join
+    roots = components(edges).select(F.col("node").alias("of"), "root")
+    placed = stored(many.join(roots, many["node"] == F.col("of"), "left").select("k", "n", "node", F.coalesce("root", "node").alias("root")))
+    parts = stored(placed.groupBy("k", "root").agg(F.count("*").alias("size")))
+    split = parts.groupBy("k").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("outside")).where("parts > 1")
+    split = stored(split.select("k", "largest", "outside"))
+    if split.isEmpty():
+        return edges
+    placed = placed.join(small(split), "k")
+    s_blocks, m_blocks = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("outside", "n"))
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outer = placed.where("root <> largest").select("k", "node", _blocks("node", F.col("outside"), 2).alias("x"), to(m_blocks).alias("y"))
+    other = placed.select("k", "node", _blocks("node", F.col("n"), 3).alias("y"), to(s_blocks).alias("x"))
+    pairs = outer.union(other.select("k", "node", "x", "y")).select(F.xxhash64(F.lit("pairs"), "k", "x", "y").alias("bucket"), "node").distinct()
+    return edges.union(stored(_verified(pairs, sets)))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -322,12 +360,24 @@ def similar_components(docs: DataFrame) -> DataFrame:
             keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids), keys], names=["doc_id", "th", "node", "keys"])
 
+    def hashed(batches):
+        for b in parts(batches):
+            rows = [shingles(t).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "kinds"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th bigint, node bigint, keys array<bigint>"))
-    entries = marked.dropDuplicates(["node"]).select("node", F.explode("keys").alias("k"))
-    many = entries.groupBy("k").agg(F.array_sort(F.collect_set("node")).alias("members")).where("size(members) > 1").select("members").distinct()
-    buckets = stored(many.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node")).distinct())
-    roots = stored(components(similar_links(docs, marked, buckets))).withColumnRenamed("node", "n")
+    entries = marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("k"))
+    shared = entries.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    entries = stored(entries.join(shared, "k", "left_semi"))
+    # one text of each node that shares a key
+    wanted = entries.select("node").distinct()
+    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+    one = stored(one.select("node", F.col("r.doc_id").alias("one_id"), F.col("r.th").alias("one_th")))
+    same = (F.col("th") == F.col("one_th")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(small(one), same).select("node", "text")
+    sets = stored(texts.mapInArrow(hashed, "node bigint, kinds array<bigint>").dropDuplicates(["node"]))
+    roots = stored(components(similar_links(entries, sets))).withColumnRenamed("node", "n")
     return marked.join(roots, marked["node"] == F.col("n"), "left").select("doc_id", "th", "node", F.coalesce("root", "node").alias("component"))
 
 
@@ -335,18 +385,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id (ties: smallest hash of the
     text, then one of the equal rows). Columns as given. Rows with a null doc_id always stay."""
     found = similar_components(docs).where("doc_id is not null")
-    first = F.min(F.struct("doc_id", "th")).alias("r")
-    keep = found.groupBy("component").agg(first).select(F.col("r.doc_id").alias("keep_id"), F.col("r.th").alias("keep_th"))
+    keep = found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("keep_id"), F.col("r.th").alias("keep_th"))
     times = found.groupBy("doc_id", "th").agg(F.count("*").alias("keep_n"))
     same = (keep["keep_id"] == times["doc_id"]) & (keep["keep_th"] == times["th"])
     keep = stored(keep.join(times, same).select("keep_id", "keep_th", "keep_n"))
-    mine = (docs["doc_id"] == F.col("keep_id")) & (F.xxhash64(docs["text"]) == F.col("keep_th"))
-    out = docs.join(small(keep.where("keep_n = 1")), mine, "left_semi").union(docs.where("doc_id is null"))
+    own = aliased(docs, "doc_id", "text")
+    mine = (F.col("doc_id") == F.col("keep_id")) & (F.xxhash64("text") == F.col("keep_th"))
+    out = restored(own.join(small(keep.where("keep_n = 1")), mine, "left_semi"), own, docs).union(docs.where(docs["doc_id"].isNull()))
     if keep.where("keep_n > 1").isEmpty():
         return out
-    again = docs.join(small(keep.where("keep_n > 1")), mine, "left_semi").withColumn("__th", F.xxhash64("text"))
-    one = again.withColumn("__n", F.expr("row_number() over (partition by doc_id, __th order by doc_id)")).where("__n = 1")
-    return out.union(one.select(*docs.columns))
+    again = own.join(small(keep.where("keep_n > 1")), mine, "left_semi").withColumn("th", F.xxhash64("text"))
+    order = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("doc_id"))
+    return out.union(restored(again.withColumn("nth", order).where("nth = 1"), own, docs))
 
 
 def op7(docs: DataFrame) -> DataFrame:

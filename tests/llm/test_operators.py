@@ -464,6 +464,57 @@ def test_deduplicate_verifies_every_link(spark):
     got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
     assert got == set(low.values()) and 25 < len(got) < len(texts)
 
+
+@pytest.mark.parametrize("block", [3, 8, 128])
+def test_frequent_keys_are_verified_in_blocks(spark, monkeypatch, block):
+    """Groups of copies larger than a block, with outsiders that share keys with them but few shingles."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(12)
+    words = lambda n: ["w%d" % rng.randrange(4000) for _ in range(n)]
+    texts = []
+    for size in (40, 25):
+        base = words(200)
+        for i in range(size):
+            texts.append(" ".join(base[: rng.randint(150, 200)] + words(rng.randint(0, 8))))
+        for share in (0.5, 0.6, 0.7):
+            texts += [" ".join(base[: int(200 * share)] + words(int(200 * (1 - share)))) for _ in range(6)]
+    low = components_by_force(range(len(texts)), lambda a, b: similarity_by_force(texts[a], texts[b]) >= 0.8)
+    got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
+    assert got == set(low.values())
+
+
+CLASHES = "doc_id bigint, text string, lang string, keep_id string, keep_th string, keep_n string, __id string, __th string, __n string, __good string, __keep string, __lang string, bad_id string, own_0 string, th string, node string"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(2)
+    texts = [" ".join("w%d" % rng.randrange(300) for _ in range(60)) for _ in range(12)]
+    texts += [texts[0], None, "", "long " * 30_000]
+    table = spark.createDataFrame([(i, t, "en" if i % 2 else None, *(f"{c}{i}" for c in range(13))) for i, t in enumerate(texts)], CLASHES)
+    items = spark.createDataFrame([("a", " ".join(texts[3].split()[5:20]))], "item_id string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    for out, gone in ((simhash.deduplicate(table), {12, 14}), (decontaminate.remove_contaminated(table, items, min_items=1), {3}), (quality_lm.filter_quality(table, labels), None)):
+        rows = out.collect()
+        assert out.columns == table.columns and all(tuple(r)[3:] == tuple(f"{c}{r.doc_id}" for c in range(13)) for r in rows)
+        if gone is not None:
+            assert {r.doc_id for r in rows} == set(range(16)) - gone
+    empty = table.limit(0)
+    for out in (simhash.deduplicate(empty), decontaminate.remove_contaminated(empty, items, min_items=1), quality_lm.filter_quality(empty, labels)):
+        assert out.columns == table.columns and out.count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
 def test_deduplicate_finds_appended_and_cut_copies(spark):
     rng = random.Random(10)
     words = lambda n: ["w%d" % rng.randrange(4000) for _ in range(n)]
