@@ -4,8 +4,9 @@ The model is over bytes (order `ORDER`), so that no vocabulary has to be fixed.
 (labelled quality 1, not toxic) are counted: partitions count their n-grams, a shuffle by n-gram adds
 the counts up. Discounts come from counts of counts; lower orders use continuation counts; every table
 (probability of each n-gram, back-off weight of each context) is a join of count tables sharded by their
-n-gram. Scoring looks n-grams up in a broadcast copy if the tables' row count, checked
-first, is below `BROADCAST_ROWS`; else documents' distinct n-grams are joined with the sharded tables.
+n-gram. Log probabilities are kept as whole numbers of 2**-`POINT`, so that sums don't depend on their order:
+scoring looks n-grams up in a broadcast copy if the tables' row count, checked first, is below `BROADCAST_ROWS`,
+and joins documents' distinct n-grams with the sharded tables otherwise, and both give the same numbers to the last bit.
 
 Trusted documents fall into two folds by a hash of their text; each fold has a model, and every document
 is scored by the model of the fold that it isn't in, so that trusted and other documents are judged alike.
@@ -36,6 +37,8 @@ from spanforge.llm.common import aliased, chunks, give_back, restored, small, st
 ORDER = 5
 PRIOR, QUANTILE, SLACK = 200, 0.995, 1.02
 BROADCAST_ROWS = 6_000_000
+#: Binary places of a log probability; 32 bits hold it.
+POINT = 24
 HELD = 4 << 20
 
 
@@ -91,8 +94,17 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 class Model(NamedTuple):
     order: int
-    probs: list[DataFrame]  #: probs[k-1]: (gram, lp) for k-grams
-    backs: list[DataFrame]  #: backs[k-1]: (gram, lb) for contexts of k-grams
+    probs: list[DataFrame]  #: probs[k-1]: (fold, gram, lp) for k-grams, lp in units of 2**-POINT
+    backs: list[DataFrame]  #: backs[k-1]: (fold, gram, lb) for contexts of k-grams
+
+
+def fixed(x):
+    """A log probability in units of 2**-POINT."""
+    return F.round(x * F.lit(float(1 << POINT))).cast("int")
+
+
+#: log(1/256), of a byte about which nothing is known, in units of 2**-POINT
+UNKNOWN = round(log(1 / 256) * (1 << POINT))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -111,33 +123,32 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         counts[k] = stored(shorter.groupBy("fold", "gram").agg(F.count("*").alias("n")))
     probs, backs, lower = [], [], None
     for k in range(1, order + 1):
-        off = F.lit(None).cast("double")
-        for fold, *found in counts[k].groupBy("fold").agg(*(F.count_if(F.col("n") == i) for i in range(1, 5))).collect():
-            d = discounts(*found)
-            own = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-            off = F.when(F.col("fold") == fold, own).otherwise(off)
-        t = counts[k].withColumns({"ctx": F.shiftright("gram", 8), "off": off})
-        ctx = t.groupBy("fold", "ctx").agg(F.sum("n").alias("total"), F.sum("off").alias("mass"))
-        ctx = ctx.select("fold", "ctx", "total", (F.col("mass") / F.col("total")).alias("gamma"))
+        one = [F.lit(None).cast("double")] * 3  # discounts of counts 1, 2 and 3 or more, by fold
+        for fold, *found in counts[k].groupBy("fold").agg(*(F.count_if(F.col("n") == i) for i in range(1, 5))).collect():  # two rows
+            one = [F.when(F.col("fold") == fold, d).otherwise(x) for d, x in zip(discounts(*found), one)]
+        t = counts[k].withColumns({"ctx": F.shiftright("gram", 8), "off": F.when(F.col("n") == 1, one[0]).when(F.col("n") == 2, one[1]).otherwise(one[2])})
+        # from whole numbers, so that the result doesn't depend on the order of a sum
+        ctx = t.groupBy("fold", "ctx").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
+        ctx = ctx.select("fold", "ctx", "total", ((F.col("n1") * one[0] + F.col("n2") * one[1] + F.col("n3") * one[2]) / F.col("total")).alias("gamma"))
         p = t.join(ctx, ["fold", "ctx"]).withColumn("own", (F.col("n") - F.col("off")) / F.col("total"))
         if lower is None:
             p = p.withColumn("low", F.lit(1 / 256))
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-            p = p.withColumn("suffix", suffix).join(lower.select("fold", F.col("gram").alias("suffix"), F.exp("lp").alias("low")), ["fold", "suffix"])
-        lower = stored(p.select("fold", "gram", F.log(F.col("own") + F.col("gamma") * F.col("low")).alias("lp")))
-        probs.append(lower)
-        backs.append(stored(ctx.select("fold", F.col("ctx").alias("gram"), F.log("gamma").alias("lb"))))
+            p = p.withColumn("suffix", suffix).join(lower.select("fold", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["fold", "suffix"])
+        lower = stored(p.select("fold", "gram", (F.col("own") + F.col("gamma") * F.col("low")).alias("p")).withColumn("lp", fixed(F.log("p"))))
+        probs.append(lower.select("fold", "gram", "lp"))
+        backs.append(stored(ctx.select("fold", F.col("ctx").alias("gram"), fixed(F.log("gamma")).alias("lb"))))
     return Model(order, probs, backs)
 
 
 class Table:
-    """A read-only hash table from unsigned 64-bit keys to floats, looked up by whole arrays."""
+    """A read-only hash table from unsigned 64-bit keys to 32-bit numbers, looked up by whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(8, (4 * len(keys)).bit_length()))
         size = 1 << (64 - int(self.shift))
-        self.keys, self.values, self.mask = keys, values.astype(np.float32), size - 1
+        self.keys, self.values, self.mask = keys, values.astype(np.int32), size - 1
         self.slots = np.full(size, -1, dtype=np.int32)
         left, at, self.probes = np.arange(len(keys), dtype=np.int32), self._home(keys), 0
         while len(left):
@@ -152,7 +163,7 @@ class Table:
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where missing), and whether each key is present."""
-        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        out, found = np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
         if not len(self.keys):
             return out, found
         at = self._home(keys)
@@ -174,8 +185,8 @@ class Table:
 
 
 def log_probs(tables, keys: np.ndarray) -> np.ndarray:
-    """log p of each n-gram, backing off through the orders."""
-    out = np.zeros(len(keys), dtype=np.float64)
+    """log p of each n-gram in units of 2**-POINT, backing off through the orders."""
+    out = np.zeros(len(keys), dtype=np.int64)
     left = np.arange(len(keys))
     for k in range(len(tables), 0, -1):
         probs, backs = tables[k - 1]
@@ -187,7 +198,7 @@ def log_probs(tables, keys: np.ndarray) -> np.ndarray:
         lb, _ = backs.get(keys >> np.uint64(8))
         out[left] += lb
         keys = keys & np.uint64((1 << 8 * (k - 1)) - 1)
-    out[left] += log(1 / 256)
+    out[left] += UNKNOWN
     return out
 
 
@@ -207,15 +218,15 @@ def score(docs: DataFrame, model: Model, most_rows: int = BROADCAST_ROWS) -> Dat
     def run(batches):
         tables = [[(Table(*p), Table(*b)) for p, b in fold] for fold in shared.value]
         for b in batches:
-            n, nll, fold = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), b.column("__fold").to_numpy()
+            n, nll, fold = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), b.column("__fold").to_numpy()
             for first, keys, off in grams(b.column("text"), order):
                 last = first + len(off) - 1
                 of = np.repeat(fold[first:last], np.diff(off))
-                lp = np.empty(len(keys))
+                lp = np.empty(len(keys), np.int64)
                 for f in (0, 1):
                     lp[of == f] = log_probs(tables[1 - f], keys[of == f])
-                n[first:last], nll[first:last] = np.diff(off), -np.diff(np.concatenate([[0.0], np.cumsum(lp)])[off])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(nll)], names=[*b.schema.names, "__n", "__nll"])
+                n[first:last], nll[first:last] = np.diff(off), -np.diff(np.concatenate([[0], np.cumsum(lp)])[off])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(nll / (1 << POINT))], names=[*b.schema.names, "__n", "__nll"])
         del tables
         give_back()
 
@@ -241,7 +252,7 @@ def _score_sharded(docs: DataFrame, model: Model) -> DataFrame:
 
     own = keyed.dropDuplicates(["__k", "__j"]).select("__k", "__j", use.cast("int").alias("fold"), "text").mapInArrow(run, "__k bigint, __j bigint, fold int, gram bigint, n bigint")
     distinct = stored(own.select("fold", "gram").distinct())
-    open_ = distinct.select("fold", F.col("gram").alias("g0"), "gram", F.lit(0.0).alias("acc"))
+    open_ = distinct.select("fold", F.col("gram").alias("g0"), "gram", F.lit(0).cast("bigint").alias("acc"))
     done = None
     for k in range(order, 0, -1):
         x = stored(open_.join(model.probs[k - 1], ["fold", "gram"], "left"))
@@ -249,9 +260,9 @@ def _score_sharded(docs: DataFrame, model: Model) -> DataFrame:
         done = hit if done is None else done.union(hit)
         x = x.where("lp is null").withColumn("ctx", F.shiftright("gram", 8))
         x = x.join(model.backs[k - 1].withColumnRenamed("gram", "ctx"), ["fold", "ctx"], "left")
-        open_ = x.select("fold", "g0", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram"), (F.col("acc") + F.coalesce("lb", F.lit(0.0))).alias("acc"))
-    done = stored(done.union(open_.select("fold", "g0", F.col("acc") + F.lit(log(1 / 256)))))
-    sums = own.join(done.withColumnRenamed("g0", "gram"), ["fold", "gram"]).groupBy("__k", "__j").agg(F.sum("n").alias("__n"), (-F.sum(F.col("n") * F.col("lp"))).alias("__nll"))
+        open_ = x.select("fold", "g0", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram"), (F.col("acc") + F.coalesce("lb", F.lit(0))).alias("acc"))
+    done = stored(done.union(open_.select("fold", "g0", (F.col("acc") + F.lit(UNKNOWN)).alias("lp"))))
+    sums = own.join(done.withColumnRenamed("g0", "gram"), ["fold", "gram"]).groupBy("__k", "__j").agg(F.sum("n").alias("__n"), (-F.sum(F.col("n") * F.col("lp")) / F.lit(float(1 << POINT))).alias("__nll"))
     out = keyed.join(sums, ["__k", "__j"], "left")
     return out.select(*docs.columns, F.coalesce("__n", F.lit(0)).alias("__n"), F.coalesce("__nll", F.lit(0.0)).alias("__nll"))
 

@@ -313,8 +313,59 @@ def test_quality_classifier(spark):
 
 def test_sharded_scores_are_the_same(spark):
     table, labels = quality_tables(spark)
-    a, b = ({r.doc_id: r.perplexity for r in quality_lm.classify(table, labels, most_rows=n).collect()} for n in (10**9, 0))
-    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-3 * a[i] for i in a)
+    a, b = ({r.doc_id: (r.perplexity, r.threshold, r.keep) for r in quality_lm.classify(table, labels, most_rows=n).collect()} for n in (10**9, 0))
+    assert a == b
+
+
+def kneser_ney_by_force(texts, order):
+    """log p of every n-gram by the textbook: counts at the highest order, kinds of left neighbours below it, one discount
+    each for counts of 1, 2 and more, interpolated down to 1/256."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = b"\n" * (order - 1) + t.encode()
+        for i in range(order, len(padded) + 1):
+            counts[order][padded[i - order : i]] += 1
+    for k in range(order - 1, 0, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] += 1
+    off = [None]
+    for k in range(1, order + 1):
+        n = [sum(1 for c in counts[k].values() if c == i) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        off.append([min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) if n[i] else 0.5 * (i + 1) for i in range(3)])
+    context = [Counter() for _ in range(order + 1)]
+    mass = [Counter() for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for gram, c in counts[k].items():
+            context[k][gram[:-1]] += c
+            mass[k][gram[:-1]] += off[k][min(c, 3) - 1]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        low = p(gram[1:])
+        if gram[:-1] not in context[k]:
+            return low
+        c = counts[k][gram]
+        own = (c - off[k][min(c, 3) - 1]) / context[k][gram[:-1]] if c else 0.0
+        return own + mass[k][gram[:-1]] / context[k][gram[:-1]] * low
+
+    return p
+
+
+@pytest.mark.parametrize("most_rows", [10**9, 0])
+def test_perplexity_is_kneser_neys(spark, most_rows):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("the cat sat on a mat with another hat bat rat".split()) for _ in range(rng.randint(1, 30))) for _ in range(40)] + ["Zebra! über", "\n\n", "x"]
+    table = quality_lm.with_fold(docs(spark, texts))
+    fold = {r.doc_id: r["__fold"] for r in table.collect()}
+    model = quality_lm.train(table.where("doc_id < 30"), 4)
+    p = [kneser_ney_by_force([texts[i] for i in range(30) if fold[i] == f], 4) for f in (0, 1)]
+    for r in quality_lm.score(table, model, most_rows).collect():
+        padded = b"\n" * 3 + texts[r.doc_id].encode()
+        want = -sum(np.log(p[1 - fold[r.doc_id]](padded[i - 4 : i])) for i in range(4, len(padded) + 1))
+        assert r["__n"] == len(padded) - 3 and r["__nll"] == pytest.approx(want, abs=1e-4)
 
 
 def test_quality_edges(spark):
@@ -337,10 +388,11 @@ def test_probabilities_sum_to_one(spark):
             if k == 0:
                 return 1 / 256
             low = gram & ((1 << 8 * (k - 1)) - 1)
-            return np.exp(probs[k - 1][gram]) if gram in probs[k - 1] else np.exp(backs[k - 1].get(gram >> 8, 0.0)) * p(low, k - 1)
+            log_p = lambda x: np.exp(x / (1 << quality_lm.POINT))
+            return log_p(probs[k - 1][gram]) if gram in probs[k - 1] else log_p(backs[k - 1].get(gram >> 8, 0)) * p(low, k - 1)
 
         for ctx in list(backs[2])[:8]:
-            assert abs(sum(p(ctx << 8 | w, 3) for w in range(256)) - 1) < 1e-9
+            assert abs(sum(p(ctx << 8 | w, 3) for w in range(256)) - 1) < 1e-5
 
 
 # ---- 7 ------------------------------------------------------------------------------------------------
