@@ -7,7 +7,8 @@ anti-joined away, equal conversations keep the smallest conv_id, and what remain
 The hash of a prefix is the running exclusive-or of two 64-bit hashes of (position, role, text), so it
 depends on order, needs no collected arrays, and a window gives it for all prefixes in one sort.
 Prefix hashes are made distinct before the anti-join: a first turn shared by a third of all
-conversations is one row there.
+conversations is one row there. Turns are shuffled once, by conversation; finding the maximal conversations and
+rendering them read the same exchange.
 
 Edge cases: turns are ordered by turn, ties by role then text; positions count from 0, so gaps in turn
 don't matter; a null role renders as "user", a null text as empty, and for the comparison null differs
@@ -24,41 +25,47 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """Each turn with its position and the two hashes of the prefix that ends with it."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    here = turns.select("conv_id", "turn", "role", "text").withColumn("pos", F.row_number().over(order) - 1)
+def by_conversation(turns: DataFrame) -> DataFrame:
+    """The turns dealt by conversation; k holds conv_id, so that a null one is a key like any other."""
+    return turns.select(F.struct("conv_id").alias("k"), "turn", "role", "text").repartition("k")
+
+
+def prefixes(dealt: DataFrame) -> DataFrame:
+    """Each turn's position, the two hashes of the prefix that ends with it, and the position of its conversation's end."""
+    whole = Window.partitionBy("k")
+    order = whole.orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    here = dealt.withColumn("pos", F.row_number().over(order) - 1)
     term = lambda seed: F.xxhash64(F.lit(seed), "pos", F.coalesce(F.xxhash64(F.lit(seed + 1), "role"), F.lit(0)), F.col("role").isNull(), F.col("text").isNull(), "text")
     here = here.withColumn("t1", term(11)).withColumn("t2", term(23))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return here.withColumn("h1", F.bit_xor("t1").over(so_far)).withColumn("h2", F.bit_xor("t2").over(so_far)).drop("t1", "t2")
+    here = here.withColumn("h1", F.bit_xor("t1").over(so_far)).withColumn("h2", F.bit_xor("t2").over(so_far))
+    return here.select("k", "pos", "h1", "h2", F.max("pos").over(whole).alias("end"))
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_copies, n_prefixed) of the maximal conversations."""
-    p = prefixes(turns)
-    whole = p.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("last"))
-    whole = whole.select("conv_id", (F.col("last.pos") + 1).cast("bigint").alias("n_turns"), "last.h1", "last.h2")
-    size = p.groupBy("conv_id").agg(F.max("pos").alias("end"))
-    proper = p.join(size, p["conv_id"].eqNullSafe(size["conv_id"])).where("pos < end").select("h1", "h2").distinct()
-    finals = whole.groupBy("h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.max("n_turns").alias("n_turns"), F.count("*").alias("n_copies"))
+def maximal(turns: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
+    """(conv_id, n_turns, n_copies) of the maximal conversations."""
+    p = prefixes(by_conversation(turns) if dealt is None else dealt)
+    proper = p.where("pos < end").select("h1", "h2").distinct()
+    n_turns = (F.col("pos") + 1).cast("bigint")
+    finals = p.where("pos = end").groupBy("h1", "h2").agg(F.min("k.conv_id").alias("conv_id"), F.max(n_turns).alias("n_turns"), F.count("*").alias("n_copies"))
     return finals.join(proper, ["h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
-def render(turns: DataFrame, keep: DataFrame) -> DataFrame:
+def render(turns: DataFrame, keep: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
     """One row for each conversation in keep, with its turns rendered in order."""
-    own = turns.select("conv_id", "turn", "role", "text")
-    own = own.join(keep.select(F.col("conv_id").alias("__k")), own["conv_id"].eqNullSafe(F.col("__k")), "left_semi")
+    dealt = by_conversation(turns) if dealt is None else dealt
+    wanted = keep.select(F.struct("conv_id").alias("k"), F.struct("n_turns", "n_copies").alias("about"))
     one = F.struct(
         F.col("turn"), F.col("role"), F.col("text"),
         F.concat(F.lit(START), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(END), F.lit("\n")).alias("r"),
     )
-    texts = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("x")).select("conv_id", F.concat_ws("", "x.r").alias("text"))
-    return keep.join(texts, keep["conv_id"].eqNullSafe(texts["conv_id"])).select(keep["conv_id"], "n_turns", "n_copies", "text")
+    rows = dealt.join(wanted, "k").groupBy("k").agg(F.first("about").alias("about"), F.array_sort(F.collect_list(one)).alias("x"))
+    return rows.select("k.conv_id", "about.n_turns", "about.n_copies", F.concat_ws("", "x.r").alias("text"))
 
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:
-    return render(turns, maximal(turns))
+    dealt = by_conversation(turns)
+    return render(turns, maximal(turns, dealt), dealt)
 
 
 ORACLE_SQL = """
