@@ -1,14 +1,22 @@
 """Personal data: detection and keyed surrogates of the same kind and format.
 
+Detected are secrets, keys, e-mail and IP addresses, account, card, social-security and telephone numbers, dates of
+birth, street addresses and names of persons. A name is found by its form - a title, a cue such as "my name is", or a
+known given name, followed by capitalised words, particles and initials - and its parts are then found wherever
+else they stand in the document, so that "Dr. Anna Petrov", "Petrov" and "Anna" stay one person.
+
 A surrogate is a keyed permutation of the entity's own domain: strings of the same shape (digits stay
 digits, letters stay letters of the same case and script), numbers with the same check-digit state,
-addresses of the same class, given names of the same gender and script. A permutation can't map two
+addresses of the same class, known given names of the same gender and script, known surnames. A permutation can't map two
 entities to one surrogate and needs no table of entities, so distinctness and coreference hold over any
 number of documents without a shuffle; mentions that differ only in separators or case are one entity.
 The permutation is  P^-1(P(x) + 1)  for a keyed Feistel permutation P: one cycle through the domain, so
-no entity is its own surrogate. Subsets of a domain (address classes, names outside the known list) are
-kept by walking the cycle until it is back in the subset. collisions() and splits() check over a table that no surrogate
-stands for two entities and no entity has two surrogates.
+no entity is its own surrogate. Subsets of a domain (names outside the known lists, public addresses) are
+kept by walking the cycle until it is back in the subset; they are most of their domains. checked() looks over a whole
+table whether any surrogate stands for two entities or any entity has two surrogates, and fails if so.
+
+The key is a secret: whoever has it can undo the surrogates. session_key() takes it from the session's setting
+`spanforge.pii.key`, or draws one at random for the session.
 
 Edge cases: null text stays null and has no entities; overlapping detections go to the earlier, then the
 longer one; equal starts and lengths to the kind that is listed first; repeated rows get equal results; extra
@@ -17,32 +25,46 @@ columns are kept by pseudonymise(); an empty table gives no rows; texts are read
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
-from functools import cache
+import secrets
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import parts
-
-KEY = b"a key for tests; give your own"
+from spanforge.llm.common import aliased, parts, restored, stored
 
-# Given names by (script, gender), and titles by gender.
+# Given names by (script, gender), surnames by script, titles by gender, words that stand before a name.
 GIVEN = {
-    ("latin", "f"): "Alice Amelia Anna Camille Carmen Chloe Clara Elena Elizabeth Emily Emma Eva Hannah Ingrid Isabel Jane Julia Karen Laura Linda Lucia Maria Marie Mary Nina Olivia Patricia Sarah Sofia Susan".split(),
-    ("latin", "m"): "Andrew Anthony Antonio Carlos Charles Daniel David Diego Edward Felix Francisco George Hans Henry Jack James John Jorge Joseph Klaus Louis Luis Michael Paul Peter Pierre Robert Stefan Thomas William".split(),
+    ("latin", "f"): "Aisha Alice Amelia Anna Camille Carmen Charlotte Chloe Clara Elena Elizabeth Emily Emma Eva Fatima Giulia Hannah Ingrid Isabel Jane Jennifer Jessica Julia Karen Katarzyna Laura Leila Linda Lucia Margaret Maria Marie Mary Mei Nina Olivia Patricia Priya Sarah Sofia Susan Yuki".split(),
+    ("latin", "m"): "Ahmed Andrew Anthony Antonio Carlos Charles Chen Daniel David Diego Edward Felix Francisco George Giovanni Hans Henry Hiroshi Jack James John Jorge Joseph Klaus Louis Luis Michael Mohammed Omar Paul Peter Pierre Rahul Richard Robert Stefan Thomas Wei William".split(),
     ("cyrillic", "f"): "Анна Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Александр Андрей Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora".split(), "m": "Mr Herr Monsieur Sr Señor".split(), "": "Dr Prof".split()}
+SURNAMES = {
+    "latin": "Anderson Bauer Becker Bernard Brown Clark Davis Dubois Durand Evans Fischer Garcia Gonzalez Hall Harris Hoffmann Jackson Johnson Jones Keller Lambert Lewis Lopez Martin Martinez Meyer Miller Moore Moreau Müller Nguyen Novak Patel Petit Richter Rodriguez Rossi Sanchez Schmidt Schneider Schulz Smith Taylor Thompson Wagner Walker Weber White Williams Wilson Wright Young".split(),
+    "cyrillic": "Васильев Волков Иванов Козлов Кузнецов Лебедев Морозов Новиков Петров Попов Смирнов Соколов".split(),
+}
+TITLES = {"f": "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora".split(), "m": "Mr Herr Monsieur Sr Señor Sir".split(), "": "Dr Prof Professor Doctor".split()}
+CUES = ("my name is", "name:", "signed by", "signed,", "sincerely,", "regards,", "dear", "author:", "contact:", "ich heiße", "mein name ist", "je m'appelle", "me llamo", "mi nombre es")
+PARTICLES = "van von der den de del della di la le bin ibn al el".split()
+#: Endings of surnames that carry the gender; the longest one that leaves three letters stays.
+ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ová", "ova", "eva", "ska", "ski")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+_NAME = rf"(?:(?:O'|Mc|Mac|D')?[{_UP}][{_LOW}]+(?:['’-][{_UP}]?[{_LOW}]+)*)"
+_SURNAME = rf"(?:(?:(?:{'|'.join(PARTICLES)})[ ]){{0,2}}{_NAME})"
+_FULL = rf"(?:{_NAME}|[{_UP}]\.)(?:[ ][{_UP}]\.)?(?:[ ]{_SURNAME}){{0,2}}"
 _GIVEN = "|".join(sorted((x for v in GIVEN.values() for x in v), key=len, reverse=True))
 _TITLE = "|".join(sorted((x for v in TITLES.values() for x in v), key=len, reverse=True))
+_CUE = "|".join(re.escape(x) for x in sorted(CUES, key=len, reverse=True))
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 _digits = re.compile("[0-9]").search
 
@@ -66,6 +88,11 @@ def _names(text: str) -> bool:
     return False
 
 
+_cues = re.compile(rf"(?i:{_CUE})").search
+_born = re.compile(r"(?i)\b(?:born|birth|dob|geboren|geburtsdatum|née?e? le|nacid[oa])\b").search
+_street = re.compile(r"(?i)street|\bst\b|avenue|\bave\b|road|\brd\b|boulevard|blvd|lane|drive|straße|strasse|\brue\b|\bcalle\b|allee|platz").search
+_social = re.compile(r"(?i)\bssn\b|social security").search
+
 #: kind -> (cheap test that a text must pass, pattern); group 1, if any, is the entity. Order breaks ties.
 PATTERNS = {
     "secret": (lambda t: "=" in t or ":" in t, re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\b)[\"']?\s{0,4}[=:]\s{0,4}[\"']?([^\s\"'<>,;]{6,})")),
@@ -73,12 +100,19 @@ PATTERNS = {
     "aws_key": (lambda t: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![0-9A-Za-z])A[KS]IA([0-9A-Z]{16})(?![0-9A-Za-z])")),
     "email": (lambda t: "@" in t, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")),
     "ipv4": (_digits, re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)")),
+    "ipv6": (lambda t: "::" in t or t.count(":") >= 7, re.compile(rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{{3,4}}:|(?:{_GROUP}:){{7}})(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{2,7}}:)(?![0-9A-Za-z:.])")),
     "iban": (_digits, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     "card": (_digits, re.compile(r"(?<![\d.,+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d]|[.,-]\d)")),
     "ssn": (_digits, re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
-    "phone": (_digits, re.compile(r"(?<![\d.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d|[.-]\d)")),
-    "name": (_names, re.compile(rf"\b(?:(?:{_TITLE})\.?[ ]((?:{_NAME})(?:[ ]{_NAME}){{0,2}})|((?:{_GIVEN})[ ]{_NAME}))(?!\w)")),
+    "ssn_plain": (_social, re.compile(r"(?i:\bssn|social security(?: number| no\.?)?)[^\d\n]{0,12}(\d{9}|\d{3} \d{2} \d{4})(?!\d)")),
+    "phone": (_digits, re.compile(r"(?<![\d.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|\(0\d{2,4}\)[ /-]?\d{3,4}[ -]?\d{3,5}|0[1-9]\d{1,3}[ /-]\d{3,4}[ -]?\d{3,5})(?!\d|[.-]\d)")),
+    "birth_date": (_born, re.compile(rf"(?i:\b(?:born(?: on)?|date of birth|birth ?date|dob|geboren am|geburtsdatum|née? le|nacid[oa] el)\b)[: ]{{1,3}}(\d{{4}}-\d\d-\d\d|\d\d[./]\d\d[./]\d{{4}}|\d{{1,2}} (?:{_MONTH}) \d{{4}}|(?:{_MONTH}) \d{{1,2}}, \d{{4}})(?!\d)")),
+    "address": (_street, re.compile(rf"(?<![\w.,-])(\d{{1,5}} (?:{_NAME} ){{1,2}}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Drive)\b|{_NAME}(?:straße|strasse|str\.|allee|platz) \d{{1,4}}[a-z]?\b|\d{{1,4}},? rue (?:de |du |des )?{_NAME}|[Cc]alle (?:de )?{_NAME},? \d{{1,4}}\b)")),
+    "name": (_names, re.compile(rf"\b(?:(?:{_TITLE})\.?[ ]((?:{_TITLE}\.?[ ])?{_FULL})|((?:{_GIVEN})(?:[ ][{_UP}]\.)?[ ]{_SURNAME}))(?!\w)")),
+    "cued_name": (_cues, re.compile(rf"(?i:\b(?:{_CUE}))[ \n]{{1,2}}({_NAME}(?:[ ][{_UP}]\.)?[ ]{_SURNAME})(?!\w)")),
 }
+#: Kinds that are handled as another one.
+SAME = {"ssn_plain": "ssn", "cued_name": "name"}
 
 
 class Entity(NamedTuple):
@@ -88,16 +122,25 @@ class Entity(NamedTuple):
     text: str
 
 
-def detect(text: str | None) -> list[Entity]:
-    """Entities that don't overlap, in order."""
-    found = []
-    if text:
-        for rank, (kind, (hint, pattern)) in enumerate(PATTERNS.items()):
-            if not hint(text):
-                continue
+def _spans(text: str):
+    for rank, (kind, (hint, pattern)) in enumerate(PATTERNS.items()):
+        if hint(text):
             for m in pattern.finditer(text):
                 g = next((i for i in range(1, (m.re.groups or 0) + 1) if m[i] is not None and kind != "card"), 0)
-                found.append((m.start(g), -m.end(g), rank, kind, m[g]))
+                if kind == "phone" and m[g][0] in "(0" and len(re.sub(r"\D", "", m[g])) < 9:
+                    continue
+                yield m.start(g), -m.end(g), rank, SAME.get(kind, kind), m[g]
+
+
+def detect(text: str | None) -> list[Entity]:
+    """Entities that don't overlap, in order."""
+    if not text:
+        return []
+    found = list(_spans(text))
+    people = {w for *_, kind, s in found if kind == "name" for w in _WORD.findall(s) if len(w) > 2 and w[0].isupper() and w not in _TITLES}
+    if people:  # the parts of a person's name, wherever else they stand
+        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(people, key=len, reverse=True))) + r")(?!\w)")
+        found += [(m.start(), -m.end(), len(PATTERNS), "name", m[0]) for m in again.finditer(text)]
     out, at = [], 0
     for start, end, _, kind, s in sorted(found):
         if start >= at:
@@ -106,6 +149,10 @@ def detect(text: str | None) -> list[Entity]:
     return out
 
 
+_WORD = re.compile(rf"[{_UP}{_LOW}]+")
+_TITLES = {x for v in TITLES.values() for x in v}
+
+
 # ---- permutations -----------------------------------------------------------------------------------
 
 
@@ -161,7 +208,7 @@ def encipher(key: bytes, kind: str, s: str, classes: dict[str, str] = _SHAPE, fi
     for i in where:
         group = classes[s[i]]
         x, m = x * len(group) + group.index(s[i]), m * len(group)
-    if m < 2:
+    if m < 2 or ok is not None and not ok(s):
         return s
     while True:
         x = shift(key, f"{kind}|{shape}", m, x)
@@ -183,15 +230,84 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-def _address_class(a: tuple[int, ...]) -> str:
-    if a[0] in (0, 10, 127) or a[0] >= 224:
-        return str(min(a[0], 224))
-    return "192.168" if a[:2] == (192, 168) else "172.16" if a[0] == 172 and 16 <= a[1] < 32 else "169.254" if a[:2] == (169, 254) else "public"
+#: Address blocks that stay apart, by their first bits; the last entry that holds an address decides.
+BLOCKS = [(0, 0, "public"), (0, 8, "this network"), (10 << 24, 8, "private"), (127 << 24, 8, "loopback"), (0xA9FE0000, 16, "link"), (0xAC100000, 12, "private"), (0xC0A80000, 16, "private"), (0xE0000000, 3, "special")]
+
+
+def _block(x: int) -> tuple[int, int, str]:
+    return next(b for b in reversed(BLOCKS) if b[1] == 0 or x >> 32 - b[1] == b[0] >> 32 - b[1])
+
+
+def _ipv4(key: bytes, text: str) -> str:
+    x = int.from_bytes(bytes(map(int, text.split("."))), "big")
+    base, bits, _ = block = _block(x)
+    size = 1 << 32 - bits
+    x -= base
+    while True:  # only the public addresses, six in seven of all, have others among them
+        x = shift(key, f"ipv4|{base}|{bits}", size, x)
+        if _block(base + x) == block:
+            return ".".join(map(str, (base + x).to_bytes(4, "big")))
+
+
+def _ipv6(key: bytes, text: str) -> str:
+    """The groups that are written are permuted with their lengths; the first one, which tells the kind of address, stays."""
+    at = text.index(":")
+    digits = "".join(c for c in text[at:].lower() if c != ":")
+    new = iter(encipher(key, "ipv6" + text[:at].lower() + "".join("x" if c != ":" else c for c in text[at:]), digits, {c: HEX for c in HEX}))
+    return text[:at] + "".join(c if c == ":" else next(new).upper() if c.isupper() else next(new) for c in text[at:])
+
+
+_EPOCH = datetime.date(1900, 1, 1)
+_DAYS = (datetime.date(2030, 1, 1) - _EPOCH).days
+_MONTHS = _MONTH.split("|")
+
+
+def _day(text: str) -> tuple[int | None, bool]:
+    """Days since 1900 of a date, None if it is none between 1900 and 2029, and whether its month stands first."""
+    numbers = list(map(int, re.findall(r"\d+", text)))
+    month = next((i + 1 for i, m in enumerate(_MONTHS) if m.lower() in text.lower()), None)
+    if text[:4].isdigit():
+        y, m, d = numbers
+    elif month:
+        (d, y), m = numbers, month
+    else:
+        d, m, y = numbers
+    swapped = m > 12 >= d and "/" in text
+    if swapped:
+        d, m = m, d
+    try:
+        x = (datetime.date(y, m, d) - _EPOCH).days
+    except ValueError:
+        return None, swapped
+    return (x if 0 <= x < _DAYS else None), swapped
+
+
+def _date(key: bytes, text: str) -> str:
+    """Another day between 1900 and 2029, written alike; what is no such day stays none."""
+    x, swapped = _day(text)
+    if x is None:
+        return encipher(key, "no_date", text, dict.fromkeys(DIGITS, DIGITS), ok=lambda z: _day(z)[0] is None)
+    new = _EPOCH + datetime.timedelta(shift(key, "birth_date", _DAYS, x))
+    if text[:4].isdigit():
+        return new.isoformat()
+    if not text[2:3] or text[2] not in "./":
+        name = _MONTHS[new.month - 1]
+        return f"{name} {new.day}, {new.year}" if text[0].isalpha() else f"{new.day} {name} {new.year}"
+    a, b = (new.month, new.day) if swapped else (new.day, new.month)
+    return f"{a:02}{text[2]}{b:02}{text[2]}{new.year}"
 
 
 @cache
-def _given() -> dict[str, tuple[tuple[str, str], int]]:
-    return {x: (k, i) for k, v in GIVEN.items() for i, x in enumerate(v)}
+def _known() -> dict[str, tuple[str, list[str]]]:
+    """Known name -> (its pool's name, its pool). A name of two pools belongs to the first."""
+    pools = {"given|" + "|".join(k): v for k, v in GIVEN.items()} | {"surname|" + k: v for k, v in SURNAMES.items()}
+    out: dict[str, tuple[str, list[str]]] = {}
+    taken: set[str] = set()
+    for name, pool in pools.items():
+        own = [x for x in pool if x not in taken]
+        taken |= set(own)
+        out |= {x: (name, own) for x in own}
+    return out
 
 
 def country_digits(digits: str) -> int:
@@ -206,38 +322,50 @@ def _refill(template: str, digits: str) -> str:
 
 
 def _name_token(key: bytes, token: str) -> str:
-    known = _given().get(token)
+    known = _known().get(token)
     if known:
-        pool = GIVEN[known[0]]
-        return pool[shift(key, "given|" + "|".join(known[0]), len(pool), known[1])]
-    keep = token[-1:] if len(token) > 3 else ""  # endings often carry the gender
+        name, pool = known
+        return pool[shift(key, name, len(pool), pool.index(token))]
+    keep = next((e for e in ENDINGS if token.endswith(e) and len(token) >= len(e) + 3), token[-1:] if len(token) > 3 else "")
     head = token[: len(token) - len(keep)]
-    return encipher(key, "name" + keep, head, _SPOKEN, ok=lambda x: x + keep not in _given()) + keep
+    return encipher(key, "name" + keep, head, _SPOKEN, ok=lambda x: x + keep not in _known() and x + keep not in _TITLES) + keep
 
 
-@cache
+@lru_cache(65536)
 def _cased(key: bytes, kind: str, lower: str) -> str:
     return encipher(key, kind, lower)
 
 
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+@lru_cache(65536)
+def _person(key: bytes, text: str) -> str:
+    """Each word of a name by itself, so that any part of it has the same surrogate wherever it stands; titles, particles
+    and initials stay."""
+    word = lambda m: m[0] if m[0] in _TITLES or m[0] in PARTICLES or len(m[0]) < 2 else _name_token(key, m[0])
+    return _WORD.sub(word, text)
+
+
+_STREET = re.compile(rf"(?<![{_LOW}{_UP}'’-])(?!(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Drive|Calle)\b)[{_UP}][{_LOW}]+?(?=straße|strasse|str\.|allee|platz|[^{_LOW}]|$)")
+
+
+def surrogate(kind: str, text: str, key: bytes) -> str:
     """The surrogate of one entity."""
     if kind in ("phone", "ssn"):
         digits = "".join(c for c in text if c.isdigit())
-        lead = min(country_digits(digits), len(digits) - 1) if text.startswith("+") else 0
-        return _refill(text, encipher(key, f"{kind}{len(digits)}", digits, fixed=lead))
+        lead = min(country_digits(digits), len(digits) - 1) if text.startswith("+") else int(kind == "phone" and digits[0] == "0")
+        same = None if lead or kind == "ssn" else lambda x: x[0] != "0"  # a number with a leading zero stays one, and no other becomes one
+        return _refill(text, encipher(key, f"{kind}{len(digits)}", digits, fixed=lead, ok=same))
     if kind == "card":
         digits = "".join(c for c in text if c.isdigit())
         body = encipher(key, f"card{len(digits)}", digits[:-1], fixed=1)
         return _refill(text, body + str((luhn(body) + int(digits[-1]) - luhn(digits[:-1])) % 10))
     if kind == "ipv4":
-        a = tuple(map(int, text.split(".")))
-        x = int.from_bytes(bytes(a), "big")
-        while True:
-            x = shift(key, "ipv4", 1 << 32, x)
-            b = tuple(x.to_bytes(4, "big"))
-            if _address_class(b) == _address_class(a):
-                return ".".join(map(str, b))
+        return _ipv4(key, text)
+    if kind == "ipv6":
+        return _ipv6(key, text)
+    if kind == "birth_date":
+        return _date(key, text)
+    if kind == "address":  # the number, and the words that aren't common to all addresses
+        return re.sub(r"\d+", lambda m: encipher(key, f"number{len(m[0])}", m[0]), _STREET.sub(lambda m: _name_token(key, m[0]), text))
     if kind == "email":
         local, _, domain = text.rpartition("@")
         labels = domain.lower().split(".")
@@ -245,7 +373,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
         new = _cased(key, "local", local.lower())
         return "".join(c.upper() if o.isupper() else c for c, o in zip(new, local)) + "@" + "".join(c.upper() if o.isupper() else c for c, o in zip(names, domain))
     if kind == "name":
-        return " ".join("-".join(_name_token(key, p) for p in t.split("-")) for t in text.split(" "))
+        return _person(key, text)
     if kind == "iban":
         flat = text.replace(" ", "")
         body = encipher(key, "iban" + flat[:2], flat[4:])
@@ -259,7 +387,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return encipher(key, kind, text)
 
 
-def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[Entity, str]]]:
+def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[Entity, str]]]:
     """The text with surrogates, and what was replaced by what."""
     found = [(e, surrogate(e.kind, e.text, key)) for e in detect(text)]
     if not found:
@@ -271,13 +399,27 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
     return "".join([*out, text[at:]]), found
 
 
-_ENTITIES = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())]))
-_ENTITIES_SQL = "array<struct<kind: string, start: bigint, end: bigint, surrogate: string>>"
+_ENTITIES = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string()), ("entity", pa.string())]))
+_ENTITIES_SQL = "array<struct<kind: string, start: bigint, end: bigint, surrogate: string, entity: string>>"
+
 
+def plain(kind: str, text: str) -> str:
+    """What mentions of one entity have in common: no separators (a leading plus is none), for email and IPv6 no case."""
+    if kind == "phone":
+        return re.sub(r"(?!^\+)\D", "", text)
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", text)
+    return text.replace(" ", "") if kind == "iban" else text.lower() if kind in ("email", "ipv6") else text
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, entities: str | None = None) -> DataFrame:
+
+def digest(kind: str, text: str, key: bytes) -> str:
+    """A keyed name of an entity, the same for all its mentions."""
+    return hashlib.blake2b(f"{kind}|{plain(kind, text)}".encode(), key=hashlib.sha256(key).digest(), digest_size=16).hexdigest()
+
+
+def pseudonymise(docs: DataFrame, key: bytes, entities: str | None = None) -> DataFrame:
     """docs with surrogates in text; with `entities`, a column of that name lists kind, place in the
-    original text (code points) and surrogate."""
+    original text (code points), surrogate, and a keyed digest of the entity."""
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -287,48 +429,61 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, entities: str | None = None)
             for t in b.column("text").to_pylist():
                 new, found = replace(t, key)
                 texts.append(new)
-                lists.append([{"kind": e.kind, "start": e.start, "end": e.end, "surrogate": s} for e, s in found])
+                lists.append([{"kind": e.kind, "start": e.start, "end": e.end, "surrogate": s, "entity": digest(e.kind, e.text, key)} for e, s in found] if entities else None)
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(lists, _ENTITIES)] if entities else [])], names=[*columns, *([entities] if entities else [])])
 
     return docs.mapInArrow(run, schema + (f", `{entities}` {_ENTITIES_SQL}" if entities else ""))
 
 
-def plain(kind: str, text: str) -> str:
-    """What mentions of one entity have in common: no separators (a leading plus is none), for email no case."""
-    if kind == "phone":
-        return re.sub(r"(?!^\+)\D", "", text)
-    if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", text)
-    return text.replace(" ", "") if kind == "iban" else text.lower() if kind == "email" else text
+def _plain(kind: Column, text: Column) -> Column:
+    """plain() of columns."""
+    return (
+        F.when(kind == "phone", F.regexp_replace(text, r"(?!^\+)[^0-9]", "")).when(kind.isin("card", "ssn"), F.regexp_replace(text, "[^0-9]", ""))
+        .when(kind == "iban", F.replace(text, F.lit(" "), F.lit(""))).when(kind.isin("email", "ipv6"), F.lower(text)).otherwise(text)
+    )
 
 
-def _pairs(docs: DataFrame, key: bytes) -> DataFrame:
-    """Distinct (kind, surrogate, entity). Entities are compared by a keyed digest; partial aggregation keeps an
-    entity of a million mentions small."""
+def _pairs(rows: DataFrame, entities: str) -> DataFrame:
+    """Distinct (kind, surrogate, entity); partial aggregation keeps an entity of a million mentions small."""
+    each = rows.select(F.explode(entities).alias("e")).select("e.kind", "e.surrogate", "e.entity").distinct()
+    return each.select("kind", _plain(F.col("kind"), F.col("surrogate")).alias("surrogate"), "entity").distinct()
 
-    def run(batches):
-        for b in parts(batches):
-            out = []
-            for t in b.column(0).to_pylist():
-                for e, s in replace(t, key)[1]:
-                    out.append((e.kind, plain(e.kind, s), hashlib.blake2b(plain(e.kind, e.text).encode(), key=key[:64]).hexdigest()))
-            k, s, o = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (k, s, o)], names=["kind", "surrogate", "entity"])
 
-    return docs.select("text").mapInArrow(run, "kind string, surrogate string, entity string").distinct()
+def collisions(rows: DataFrame, entities: str = "entities") -> DataFrame:
+    """(kind, surrogate, n) of surrogates that stand for more than one entity, in rows of pseudonymise() with entities."""
+    return _pairs(rows, entities).groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, surrogate, n) of surrogates that stand for more than one entity: has no rows if all is well."""
-    return _pairs(docs, key).groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+def splits(rows: DataFrame, entities: str = "entities") -> DataFrame:
+    """(kind, entity, n) of entities, by their digests, with more than one surrogate."""
+    return _pairs(rows, entities).groupBy("kind", "entity").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def checked(docs: DataFrame, key: bytes, entities: str = "entities") -> DataFrame:
+    """pseudonymise() over the whole table, once that no surrogate stands for two entities and no entity has two."""
+    rows = stored(pseudonymise(docs, key, entities))
+    bad = collisions(rows, entities).select("kind").union(splits(rows, entities).select("kind")).groupBy("kind").count().collect()  # a row per kind
+    if bad:
+        raise ValueError("surrogates that aren't one to one: " + ", ".join(f"{r['count']} of kind {r['kind']}" for r in bad))
+    return rows
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's secret: its setting `spanforge.pii.key`, else 32 random bytes that stay for the session."""
+    found = spark.conf.get("spanforge.pii.key", None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set("spanforge.pii.key", found)
+    return found.encode()
 
 
-def splits(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, entity, n) of entities, by their digests, with more than one surrogate: has no rows if all is well."""
-    return _pairs(docs, key).groupBy("kind", "entity").agg(F.count("*").alias("n")).where("n > 1")
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """The rows of docs, columns as given, with surrogates in text; checked."""
+    own = aliased(docs, "text")
+    return restored(checked(own, key, "found"), own, docs)
 
 
-def op2(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    out = pseudonymise(docs.select("doc_id", "text"), key, "entities")
+def op2(docs: DataFrame, key: bytes) -> DataFrame:
+    out = checked(docs.select("doc_id", "text"), key)
     return out.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"), "entities")

@@ -15,7 +15,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.op2(documents(spark, sf_dir))
+    return pii.op2(documents(spark, sf_dir), pii.session_key(spark))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
