@@ -38,6 +38,7 @@ from spanforge.llm.common import chunks, give_back, mix, powers, small, stored,
 WINDOW, ROWS = 35, 2
 #: Text of a group, text that one shard counts the windows of (about one window in six bytes), and cells a shard and row.
 GROUP_BYTES, SHARD_BYTES, SHARD_BITS = 8 << 20, 24 << 20, 24
+GROUPS_PER_TASK = 8
 
 
 def windows(col: pa.Array, width: int, rows: int):
@@ -239,7 +240,8 @@ def _group(groups: int):
 def in_groups(keyed: DataFrame, groups: int) -> DataFrame:
     """The texts that stand for themselves or for their copies, dealt by group. All passes read this one exchange."""
     rows = keyed.where("copies < 2").withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select("doc_id", "text", "k1", "k2", "copies", _group(groups).alias("group")).repartition("group")
+    partitions = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_PER_TASK))
+    return rows.select("doc_id", "text", "k1", "k2", "copies", _group(groups).alias("group")).repartition(partitions, "group")
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
