@@ -77,10 +77,15 @@ def stored_bytes(df: DataFrame) -> int:
     return total
 
 
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES, expand: int = 8) -> bool:
+    """Whether a stored() table is small enough to be broadcast, even when it grows `expand` times in memory."""
+    return stored_bytes(df) * expand <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES, expand: int = 8) -> DataFrame:
-    """Hint a broadcast of a stored() table if its size, checked here, allows it even when it grows
-    `expand` times in memory; otherwise leave the choice of a shuffle join to Spark."""
-    return F.broadcast(df) if stored_bytes(df) * expand <= limit else df
+    """Hint a broadcast of a stored() table if its size, checked here, allows it; otherwise leave the choice of a shuffle join
+    to Spark."""
+    return F.broadcast(df) if fits(df, limit, expand) else df
 
 
 def ascii_lower(col):

@@ -772,13 +772,43 @@ def test_decontamination_random(spark):
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "red fox jumps high")], "item_id bigint, text string")
     table = docs(spark, ["jumps high over the red fox", "red fox " + "x " * 30 + "jumps high", "red fox only"])
-    rows = decontaminate.proximity(table, decontaminate.windows_of(items), 10).collect()
-    assert [(r.doc_id, r["first"], r["last"]) for r in rows] == [(0, 0, 4)]
+    windows = decontaminate.windows_of(items)
+    index = decontaminate.index_of(table, windows)
+    assert [(r.doc_id, r["first"], r["last"]) for r in decontaminate.near(index, 10).collect()] == [(0, 0, 4)]
+    assert decontaminate.find(index).count() == 0
+    assert {r.doc_id: (r.n_items, r.n_near) for r in decontaminate.op10(table, items).collect()} == {0: (0, 1), 1: (0, 0), 2: (0, 0)}
+
+
+def near_by_force(texts, items, span=decontaminate.SPAN, width=8):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    out = []
+    for t in texts:
+        w, n = split(t), 0
+        for _, item in items:
+            x = split(item)
+            for k in range(max(1, len(x) - width + 1)) if x else ():
+                win = x[k : k + width]
+                terms = {tuple(win)} if len(win) == 1 else {tuple(win[min(i, len(win) - 2) :][:2]) for i in range(0, len(win), 2)}
+                at = [i for i in range(len(w)) if any(tuple(w[i : i + len(q)]) == q for q in terms)]
+                if any({q for q in terms for j in at if i - span < j <= i and tuple(w[j : j + len(q)]) == q} == terms for i in at):
+                    n += 1
+                    break
+        out.append(n)
+    return out
+
+
+def test_proximity_random(spark):
+    rng = random.Random(19)
+    words = ["a", "b", "C", "d", "é", "f", "g"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    rows = decontaminate.op10(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.n_near for r in rows] == near_by_force(texts, items)
 
 
 def test_large_sides_are_joined_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(common.small, "__defaults__", (0, 8))
+    monkeypatch.setattr(common.fits, "__defaults__", (0, 8))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         texts = corpus(n=20)
