@@ -10,16 +10,17 @@ ln a and the sample's 20 bits are packed in one long, so that a sample is a plai
 all samples of a document are one hash aggregation in generated code, without sorting and without lambdas.
 
 Each document's text is compared with an edited one that needs the next document's text, and with the
-next document. Documents are cut into ranges of doc_id (their bounds are quantiles; their number is set by the
-session's shuffle partitions), and the first document of a range also goes, as a guest, to the range
-before. So one shuffle brings every document next to its successor, and everything after it - windows, term counts,
-samples - stays in that partitioning.
+next document. Documents are cut into ranges of (doc_id, hash of the text), and the first document of a range also
+goes, as a guest, to the range before. So one shuffle brings every document next to its successor, and everything after
+it - windows, term counts, samples - stays in that partitioning. The number of ranges is set by the session's shuffle
+partitions; their bounds are quantiles of `PER_RANGE` hash-sampled documents a range, which decides the load of the tasks and
+nothing else, and are a table that the plan reads, as are the first documents.
 
 Edge cases: null text is empty; a text without words has only zeros as fingerprint, likeness 1 to another
 one without words and 0 to the rest; order is by doc_id (null first), then a hash of the text; the last
 document's next is the first one, a lone document's is itself; repeated rows each get a row, and the
 next of one is the other; an empty table gives no rows; extra columns are ignored; words are separated by ASCII
-white space, unchanged; texts are read whole.
+white space, unchanged; doc_id may be of any type that has an order; texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,40 +30,52 @@ from math import isqrt, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import small, stored
+
 SAMPLES, ID_BITS = 64, 20
-RANGES_PER_PARTITION = 4
+RANGES_PER_PARTITION, PER_RANGE = 4, 40
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def range_number(col: Column, bounds: list[int]) -> Column:
-    """Number of bounds <= col, by two levels of short array searches."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, isqrt(len(bounds)))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    below = lambda array: F.size(F.filter(array, lambda x: x <= col))
-    first = F.array(*(F.lit(int(g[0])).cast("bigint") for g in groups))
-    nested = F.array(*(F.array(*(F.lit(int(x)).cast("bigint") for x in g)) for g in groups))
-    at = F.greatest(below(first) - 1, F.lit(0))
-    return F.coalesce(at * step + below(F.get(nested, at)), F.lit(0))
+def place(id_: Column, th: Column) -> Column:
+    """What the order of documents compares; null ids come first."""
+    return F.struct(id_.isNotNull().alias("some"), id_.alias("id"), th.alias("th"))
+
+
+def bounds(places: DataFrame, parts: int) -> DataFrame:
+    """One row: `nested`, the bounds of the ranges in groups, and `firsts`, the first one of each group."""
+    every = max(1, places.count() // (parts * PER_RANGE))
+    some = places.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).distinct()
+    step = max(1, isqrt(parts))
+    rank = F.row_number().over(Window.orderBy("place")) - 1  # about parts * PER_RANGE rows
+    some = some.withColumn("rank", rank).where((F.col("rank") > 0) & (F.col("rank") % PER_RANGE == 0))
+    groups = some.groupBy(F.floor(F.col("rank") / (PER_RANGE * step)).alias("g")).agg(F.array_sort(F.collect_list("place")).alias("part"))
+    groups = groups.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "part"))), lambda x: x["part"]).alias("nested"))  # of few documents, empty
+    return stored(groups.select("nested", F.transform("nested", lambda x: x[0]).alias("firsts")))
+
+
+def with_range(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with pid, the range that their place lies in, by two levels of short searches in the bounds."""
+    rows = rows.withColumns({"firsts": table.select("firsts").scalar(), "nested": table.select("nested").scalar()})
+    group = F.size(F.filter("firsts", lambda x: x <= F.col("place"))) - 1
+    inside = F.size(F.filter(F.get("nested", group), lambda x: x <= F.col("place")))
+    pid = F.when(F.size("firsts") > 0, F.struct(group.alias("group"), F.coalesce(inside, F.lit(0)).alias("n"))).otherwise(F.struct(F.lit(-1).alias("group"), F.lit(0).alias("n")))
+    return rows.withColumn("pid", pid).drop("firsts", "nested")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(pid, rid, guest, doc_id, text, next_text), one row per document and one per guest."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION
-    cuts = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = sorted({int(x) for x in cuts or []})
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    own = own.withColumn("pid", range_number(F.col("doc_id").cast("bigint"), bounds))
-    # one row per range: its first document
-    place = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id"), F.col("th"))
-    heads = own.groupBy("pid").agg(F.min(place).alias("head")).orderBy("pid").collect()
-    guests = [(r["head"]["id"], r["head"]["th"], heads[i - 1]["pid"]) for i, r in enumerate(heads)]
-    if not guests:
-        guests = [(None, None, None)]
-    spec = spark.createDataFrame(guests, f"g_id {docs.schema['doc_id'].dataType.simpleString()}, g_th bigint, g_pid int")
-    own = own.join(F.broadcast(spec), own["doc_id"].eqNullSafe(F.col("g_id")) & (own["th"] == F.col("g_th")), "left")
+    own = own.withColumn("place", place(F.col("doc_id"), F.col("th")))
+    places = stored(own.select("place"))
+    cuts = bounds(places, parts)
+    own = with_range(own, cuts)
+    # one row per range: its first document, and the range before
+    heads = with_range(places, cuts).groupBy("pid").agg(F.min("place").alias("head"))
+    order = Window.orderBy("pid")  # as many rows as ranges
+    spec = heads.select("head", F.coalesce(F.lag("pid").over(order), F.last("pid").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("g_pid"))
+    own = own.join(small(stored(spec)), F.col("place") == F.col("head"), "left")
     both = F.when(F.col("g_pid").isNull(), F.array(F.struct(F.col("pid").alias("pid"), F.lit(False).alias("guest")))).otherwise(
         F.array(F.struct(F.col("pid").alias("pid"), F.lit(False).alias("guest")), F.struct(F.col("g_pid").alias("pid"), F.lit(True).alias("guest")))
     )

@@ -267,6 +267,29 @@ def test_packing(spark):
     assert packing.op3(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["ascii", "below", "across"])
+def test_both_token_libraries_give_the_same_ids(name):
+    """Texts on both sides of SAME_BELOW, and every code point below it among letters, numbers, symbols and spaces."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(name)
+    letters = {"ascii": range(0x80), "below": range(packing.SAME_BELOW), "across": range(packing.SAME_BELOW - 16, packing.SAME_BELOW + 16)}[name]
+    pool = [*map(chr, letters), *"  \n'ab1"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 50))) for _ in range(5000)]
+    texts += [f"a{c}b 1{c}2 !{c}? {c} {c}{c}\n{c}'s" for c in map(chr, range(packing.SAME_BELOW + 16))] + ["<|endoftext|>", "a<|endoftext|>b<|endoftext|>"]
+    assert packing.encoder(path)(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_few_sequences_are_wasted(seed):
+    """Against the least number that any packing could reach: the sum over the capacity, and the pieces over half of it."""
+    rng = np.random.default_rng(seed)
+    counts = np.bincount(np.clip(rng.lognormal(5.5, 1.2, 4000).astype(int), 1, 2048), minlength=2049)
+    need = max(-(-int((np.arange(2049) * counts).sum()) // 2048), int(counts[1025:].sum()))
+    assert packing.places(packing.plan(counts, 2048), 2048)[1] <= need + 2
+
+
 def test_packing_numbers_a_length_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 7)
     rows = packing.op3(docs(spark, ["same words here"] * 90 + [None] * 20)).collect()
@@ -350,6 +373,28 @@ def test_weighted_sampling_edges(spark):
     rows = weighted_minhash.op5(docs(spark, ["a b c d", "a b c d", None, "x y"], [7, 7, None, 9])).collect()
     assert len(rows) == 4 and len({r.fingerprint for r in rows if r.doc_id == 7}) == 1
     assert {r.fingerprint for r in rows if r.doc_id is None} == {"0" * (64 * 5)}
+    named = spark.createDataFrame([("b", "x y z w"), ("a", "x y z w q r s t"), (None, "p q")], "doc_id string, text string")
+    got = {r.doc_id: r.edited_sha256 for r in weighted_minhash.op5(named).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in {"a": "x y z w q r x y", "b": "x y z p", None: "p q"}.items()}
+
+
+def test_ranges_follow_the_order_and_split_a_frequent_id(spark):
+    rng = random.Random(3)
+    texts = ["w%d " % i * 5 for i in range(400)]
+    ids = [rng.choice([7, 7, rng.randrange(10**6)]) for _ in texts]  # two thirds share an id
+    rows = weighted_minhash.with_next(docs(spark, texts, ids)).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(tuple(r.pid), []).append(r)
+    assert len(parts) > 4 and max(map(len, parts.values())) < 200
+    owned = [r for r in rows if not r.guest]
+    assert len(owned) == 400 and len(rows) == 400 + len(parts)
+    nexts = {r.text: r.next_text for r in owned}
+    seen, at = set(), texts[0]
+    while at not in seen:
+        seen.add(at)
+        at = nexts[at]
+    assert len(seen) == 400  # one round through all documents
 
 
 # ---- 6 ------------------------------------------------------------------------------------------------
