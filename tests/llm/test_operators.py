@@ -70,6 +70,46 @@ def test_license_finds_every_notice_within_its_errors():
             assert any(x.label == notice.label for x in license_scan.fuzzy(norm)), text
 
 
+def spans_by_force(text):
+    """Every notice by the regex library over the whole text, without seeds and zones."""
+    norm = license_scan.normalise(text).decode()
+    best = {}
+    for notice, _, pattern in license_scan._compiled(license_scan.NOTICES):
+        for m in license_scan._matches(pattern, norm):
+            first = norm.count(" ", 0, m.start() + len(m[0]) - len(m[0].lstrip(" ")))
+            key = (notice.label, first)
+            best[key] = min(best.get(key, 99), sum(m.fuzzy_counts))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_search_equals_an_unseeded_one(seed):
+    rng = random.Random(seed)
+    noise = lambda n: " ".join("".join(rng.choice("abdeghilnoprstuy") for _ in range(rng.randint(1, 9))) for _ in range(n))
+
+    def worn(text, errors):
+        text = list(text)
+        for _ in range(errors):
+            i = rng.randrange(len(text))
+            text[i : i + 1] = rng.choice([[], [rng.choice("xyzq")], [text[i], rng.choice("xyzq")]])
+        return "".join(text)
+
+    for notice in license_scan.NOTICES:
+        tail = {" 2(?: 0)?": " 2.0", " 3": " 3", " 2": " 2", " nc": "-NC"}.get(notice.exact, "")
+        for errors in range(notice.errors + 3):
+            text = f"{noise(rng.randint(0, 40))} {worn(notice.fuzzy, errors)}{tail} {noise(rng.randint(0, 40))}"
+            got = {(s.label, s.first_word): s.errors for s in license_scan.fuzzy(license_scan.normalise(text))}
+            assert got == spans_by_force(text), text
+            if not errors:
+                assert notice.label in {k for k, _ in got}
+    clean = noise(3000)
+    assert license_scan.fuzzy(license_scan.normalise(clean)) == [] and spans_by_force(clean) == {}
+
+
+def test_license_empty_table(spark):
+    assert license_scan.op1(docs(spark, ["x"]).limit(0)).count() == 0
+
+
 def test_license_finds_adjacent_notices():
     f = lambda t: [(s.label, s.first_word, s.errors) for s in license_scan.fuzzy(license_scan.normalise(t))]
     assert f("under the mit licence or under the mit license or undr the mit license") == [("mit", 0, 1), ("mit", 5, 0), ("mit", 10, 1)]
