@@ -66,7 +66,7 @@ _CUE = "|".join(re.escape(x) for x in sorted(CUES, key=len, reverse=True))
 _GROUP = "[0-9A-Fa-f]{1,4}"
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 
-_digits = re.compile("[0-9]").search
+_digit = re.compile("[0-9]").search
 
 
 @cache
@@ -88,28 +88,36 @@ def _names(text: str) -> bool:
     return False
 
 
-_cues = re.compile(rf"(?i:{_CUE})").search
-_born = re.compile(r"(?i)\b(?:born|birth|dob|geboren|geburtsdatum|née?e? le|nacid[oa])\b").search
-_street = re.compile(r"(?i)street|\bst\b|avenue|\bave\b|road|\brd\b|boulevard|blvd|lane|drive|straße|strasse|\brue\b|\bcalle\b|allee|platz").search
-_social = re.compile(r"(?i)\bssn\b|social security").search
+def _any(*words: str):
+    """Whether any of some lower-case strings stands in a text, given in lower case too."""
+    return lambda t, low, digit: any(w in low for w in words)
 
-#: kind -> (cheap test that a text must pass, pattern); group 1, if any, is the entity. Order breaks ties.
+
+def _both(*tests):
+    return lambda t, low, digit: all(x(t, low, digit) for x in tests)
+
+
+_digits = lambda t, low, digit: digit
+_born = _both(_digits, _any("born", "birth", "dob", "geb", "né", "nacid"))
+_street = _both(_digits, _any(" street", " st", " ave", " road", " rd", " boulevard", " blvd", " lane", " drive", "straße", "strasse", "str.", "rue ", "calle ", "allee ", "platz "))
+
+#: kind -> (cheap test that a text - as it is, in lower case, whether it has a digit - must pass, pattern); group 1, if any, is the entity. Order breaks ties.
 PATTERNS = {
-    "secret": (lambda t: "=" in t or ":" in t, re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\b)[\"']?\s{0,4}[=:]\s{0,4}[\"']?([^\s\"'<>,;]{6,})")),
+    "secret": (_any("=", ":"), re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\b)[\"']?\s{0,4}[=:]\s{0,4}[\"']?([^\s\"'<>,;]{6,})")),
     "hex_secret": (_digits, re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])")),
-    "aws_key": (lambda t: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![0-9A-Za-z])A[KS]IA([0-9A-Z]{16})(?![0-9A-Za-z])")),
-    "email": (lambda t: "@" in t, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")),
+    "aws_key": (lambda t, low, digit: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![0-9A-Za-z])A[KS]IA([0-9A-Z]{16})(?![0-9A-Za-z])")),
+    "email": (_any("@"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")),
     "ipv4": (_digits, re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)")),
-    "ipv6": (lambda t: "::" in t or t.count(":") >= 7, re.compile(rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{{3,4}}:|(?:{_GROUP}:){{7}})(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{2,7}}:)(?![0-9A-Za-z:.])")),
+    "ipv6": (lambda t, low, digit: "::" in t or t.count(":") >= 7, re.compile(rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{{3,4}}:|(?:{_GROUP}:){{7}})(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{2,7}}:)(?![0-9A-Za-z:.])")),
     "iban": (_digits, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     "card": (_digits, re.compile(r"(?<![\d.,+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d]|[.,-]\d)")),
     "ssn": (_digits, re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
-    "ssn_plain": (_social, re.compile(r"(?i:\bssn|social security(?: number| no\.?)?)[^\d\n]{0,12}(\d{9}|\d{3} \d{2} \d{4})(?!\d)")),
+    "ssn_plain": (_both(_digits, _any("ssn", "social security")), re.compile(r"(?i:\bssn|social security(?: number| no\.?)?)[^\d\n]{0,12}(\d{9}|\d{3} \d{2} \d{4})(?!\d)")),
     "phone": (_digits, re.compile(r"(?<![\d.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|\(0\d{2,4}\)[ /-]?\d{3,4}[ -]?\d{3,5}|0[1-9]\d{1,3}[ /-]\d{3,4}[ -]?\d{3,5})(?!\d|[.-]\d)")),
     "birth_date": (_born, re.compile(rf"(?i:\b(?:born(?: on)?|date of birth|birth ?date|dob|geboren am|geburtsdatum|née? le|nacid[oa] el)\b)[: ]{{1,3}}(\d{{4}}-\d\d-\d\d|\d\d[./]\d\d[./]\d{{4}}|\d{{1,2}} (?:{_MONTH}) \d{{4}}|(?:{_MONTH}) \d{{1,2}}, \d{{4}})(?!\d)")),
     "address": (_street, re.compile(rf"(?<![\w.,-])(\d{{1,5}} (?:{_NAME} ){{1,2}}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Drive)\b|{_NAME}(?:straße|strasse|str\.|allee|platz) \d{{1,4}}[a-z]?\b|\d{{1,4}},? rue (?:de |du |des )?{_NAME}|[Cc]alle (?:de )?{_NAME},? \d{{1,4}}\b)")),
-    "name": (_names, re.compile(rf"\b(?:(?:{_TITLE})\.?[ ]((?:{_TITLE}\.?[ ])?{_FULL})|((?:{_GIVEN})(?:[ ][{_UP}]\.)?[ ]{_SURNAME}))(?!\w)")),
-    "cued_name": (_cues, re.compile(rf"(?i:\b(?:{_CUE}))[ \n]{{1,2}}({_NAME}(?:[ ][{_UP}]\.)?[ ]{_SURNAME})(?!\w)")),
+    "name": (lambda t, low, digit: _names(t), re.compile(rf"\b(?:(?:{_TITLE})\.?[ ]((?:{_TITLE}\.?[ ])?{_FULL})|((?:{_GIVEN})(?:[ ][{_UP}]\.)?[ ]{_SURNAME}))(?!\w)")),
+    "cued_name": (_any(*CUES), re.compile(rf"(?i:\b(?:{_CUE}))[ \n]{{1,2}}({_NAME}(?:[ ][{_UP}]\.)?[ ]{_SURNAME})(?!\w)")),
 }
 #: Kinds that are handled as another one.
 SAME = {"ssn_plain": "ssn", "cued_name": "name"}
@@ -123,8 +131,9 @@ class Entity(NamedTuple):
 
 
 def _spans(text: str):
+    low, digit = text.lower(), _digit(text) is not None
     for rank, (kind, (hint, pattern)) in enumerate(PATTERNS.items()):
-        if hint(text):
+        if hint(text, low, digit):
             for m in pattern.finditer(text):
                 g = next((i for i in range(1, (m.re.groups or 0) + 1) if m[i] is not None and kind != "card"), 0)
                 if kind == "phone" and m[g][0] in "(0" and len(re.sub(r"\D", "", m[g])) < 9:
