@@ -18,7 +18,7 @@ def fingerprint(obs: DataFrame) -> dict[str, DataFrame]:
 
 def build_bank(obs: DataFrame, models: DataFrame) -> DataFrame:
     """A log with the models' families and order; a model that failed throughout is an error."""
-    out = obs.drop("family", "ord").join(F.broadcast(models.select("model_name", "family", "ord")), "model_name")
+    out = obs.drop("family", "ord").join(models.select("model_name", "family", "ord"), "model_name")
     dead = out.groupBy("model_name").agg(F.count_if(F.col("error").isNull()).alias("ok")).where("ok = 0").collect()
     if dead:
         raise ValueError("no valid result of " + ", ".join(r.model_name for r in dead))
@@ -41,7 +41,8 @@ def detect(bank: DataFrame, target: str, exclude: DataFrame | None = None, metho
     obs = observations.exclude(bank, exclude) if exclude is not None else bank
     pairs = similarity.pair_scores(obs) if method == "strict" else similarity.soft_pair_scores(obs, weights)
     row = similarity.stability(obs.where(F.col("model_name") == target)).first()
-    return similarity.decide(pairs, target, row.stability_variance if row else 0.0)
+    boot = similarity.bootstrap_exact(obs, target=target)
+    return similarity.decide(pairs, target, row.stability_variance if row else 0.0, boot=boot)
 
 
 def compare_vocabularies(bank: DataFrame, truth: DataFrame | None = None, weights: dict[str, float] | None = None) -> dict[str, DataFrame]:
@@ -53,6 +54,6 @@ def compare_vocabularies(bank: DataFrame, truth: DataFrame | None = None, weight
 
 
 def tokenizer_baselines(vocab: DataFrame, encodings: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
-    pairs = lineage.pairs(vocab, encodings, meta)
+    pairs = lineage.pairs(vocab, encodings, meta).persist()  # models squared; all that follows reads it
     groups = lineage.components(pairs, meta)
     return {"pairs": pairs, "lineages": groups, "metrics": lineage.metrics(pairs, groups), "registry": lineage.registry(pairs, groups, meta)}

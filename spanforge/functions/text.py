@@ -114,6 +114,22 @@ def sanitize_model_name(name: Column) -> Column:
     return F.translate(name, "/:", "__")
 
 
+def directory_name(model_id: Column) -> Column:
+    """A model's name as a folder of downloaded files."""
+    return F.replace(model_id, F.lit("/"), F.lit("__"))
+
+
+def canonical_hash(values: Column) -> Column:
+    """SHA-256 of a map as JSON with sorted keys: equal maps have equal hashes."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values)))), 256)
+
+
+def text_of(value: Column, fallback: Column) -> Column:
+    """A value that may be written as an object with a `value`, or as plain text, or not be there."""
+    inner = F.get_json_object(value, "$.value")
+    return F.coalesce(inner, value, fallback)
+
+
 def script_count(text: Column, script: str) -> Column:
     """Characters of a script (Latin, Arabic, Han)."""
     # whole runs are taken away at once, and ASCII letters without looking their script up

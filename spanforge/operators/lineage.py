@@ -46,7 +46,7 @@ def pairs(vocab: DataFrame, encodings: DataFrame, meta: DataFrame) -> DataFrame:
     sizes = vocab.groupBy("model").agg(F.count("*").alias("size"))
 
     def paired(rows: DataFrame, key: str, value: str) -> DataFrame:
-        g = rows.join(F.broadcast(ords), "model").groupBy(key).agg(F.collect_list(F.struct("ord", F.col(value).alias("v"))).alias("all"))
+        g = rows.join(ords, "model").groupBy(key).agg(F.collect_list(F.struct("ord", F.col(value).alias("v"))).alias("all"))
         return g.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a.ord < b.ord").select(F.col("a.ord").alias("oa"), F.col("b.ord").alias("ob"), (F.col("a.v") == F.col("b.v")).alias("same"))
 
     tokens = paired(vocab, "token", "id").groupBy("oa", "ob").agg(F.count("*").alias("shared"), F.count_if("same").alias("id_match_count"))
@@ -79,18 +79,21 @@ def pairs(vocab: DataFrame, encodings: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def components(pair_rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """(name, family, lineage): lineage is the least name reachable over pairs of a family that aren't distinct.
-    Nodes are models, tens of them: least labels spread until nothing changes."""
-    edges = pair_rows.where("same_family and equivalence_label <> 'distinct'").select("model_a", "model_b")
-    edges = edges.union(edges.select("model_b", "model_a"))
-    labels = meta.select("name", "family", F.col("name").alias("lineage"))
-    while True:
-        low = edges.join(labels.select(F.col("name").alias("model_b"), "lineage"), "model_b").groupBy("model_a").agg(F.min("lineage").alias("low"))
-        new = labels.join(low, labels["name"] == low["model_a"], "left").select("name", "family", F.least("lineage", F.coalesce("low", "lineage")).alias("lineage"), (F.col("low") < F.col("lineage")).alias("moved"))
-        rows = new.collect()  # one row per tokenizer model
-        labels = meta.sparkSession.createDataFrame([(r.name, r.family, r.lineage) for r in rows], "name string, family string, lineage string")
-        if not any(r.moved for r in rows):
-            return labels
+    """(name, family, lineage): lineage is the least name reachable over pairs of a family that aren't distinct. The pairs are
+    computed once; their nodes are models, tens of them, and are joined on the driver."""
+    joined = pair_rows.where("same_family and equivalence_label <> 'distinct'").select("model_a", "model_b").collect()  # at most models squared
+    rows = meta.select("name", "family").collect()
+    least = {r["name"]: r["name"] for r in rows}
+
+    def root(x: str) -> str:
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in joined:
+        x, y = sorted((root(a), root(b)))
+        least[y] = x
+    return meta.sparkSession.createDataFrame([(r["name"], r["family"], root(r["name"])) for r in rows], "name string, family string, lineage string")
 
 
 def _inside(pair_rows: DataFrame, lineages: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def representatives(pair_rows: DataFrame, lineages: DataFrame, meta: DataFrame)
     """(family, lineage, representative): the member most similar to the others; ties by role, rank and name."""
     inside = _inside(pair_rows, lineages)
     both = inside.select("model_a", "tokenizer_similarity_score").union(inside.select("model_b", "tokenizer_similarity_score")).toDF("name", "s")
-    mean = both.groupBy("name").agg(F.avg("s").alias("mean"))
+    mean = both.groupBy("name").agg(F.round(F.avg("s"), 9).alias("mean"))  # so that the order of a sum breaks no tie
     rows = lineages.join(mean, "name", "left").fillna(1.0, ["mean"]).join(meta.select("name", "role", "preferred_rank"), "name")
     order = Window.partitionBy("family", "lineage").orderBy(F.desc("mean"), role_priority(F.col("role")), "preferred_rank", "name")
     return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("family", "lineage", F.col("name").alias("representative"), "role", "preferred_rank")

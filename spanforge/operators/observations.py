@@ -106,3 +106,20 @@ def audit_leading_newlines(obs: DataFrame) -> DataFrame:
     """Outputs without leading newlines, with what was done."""
     new: Column = T.without_leading_newlines(F.col("output_text"))
     return obs.withColumn("normalized_text", new).withColumn("changed", F.col("normalized_text") != F.col("output_text"))
+
+
+def with_probe(obs: DataFrame, probes: DataFrame, *columns: str) -> DataFrame:
+    """Results of known probes, with columns of the probe; results of others are dropped."""
+    return obs.drop(*columns).join(probes.select("probe_id", *columns), "probe_id")
+
+
+def first_probes(probes: DataFrame, n: int | None) -> DataFrame:
+    """The first n probes by seq, or all."""
+    return probes.orderBy("seq").limit(n) if n else probes
+
+
+def error_predicates(obs: DataFrame, fatal: tuple[str, ...], thinking: tuple[str, ...]) -> DataFrame:
+    """Whether a row's error tells that going on is pointless, and whether its output is a thinking model's marker."""
+    low = F.lower("error")
+    hit = F.coalesce(F.exists(F.array(*(F.lit(m.lower()) for m in fatal)), lambda m: F.contains(low, m)), F.lit(False))
+    return obs.withColumns({"fatal": hit, "thinking": F.col("error").isNull() & F.col("output_text").isin(*thinking)})

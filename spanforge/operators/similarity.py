@@ -70,9 +70,9 @@ def bootstrap_closed(pairs: DataFrame, ratio: float = 0.8) -> DataFrame:
     return pairs.select("model_a", "model_b", F.col("bcs").alias("bootstrap_mean"), F.round(F.sqrt(F.col("bcs") * (1 - F.col("bcs")) / n), 9).alias("bootstrap_std"))
 
 
-def bootstrap_exact(obs: DataFrame, iterations: int = 100, ratio: float = 0.8, seed: int = 42) -> DataFrame:
-    """The same by actual resampling of the probes in id order with the legacy generator. Only one boolean
-    per probe goes to Python; a pair's vector is as long as its probes are many."""
+def bootstrap_exact(obs: DataFrame, iterations: int = 100, ratio: float = 0.8, seed: int = 42, target: str | None = None) -> DataFrame:
+    """The same by actual resampling of the probes in id order with the legacy generator, for all pairs or a target's. The
+    generator is one sequence of draws over a pair's probes, so a pair is one task: a boolean a probe goes there."""
     import numpy as np
     import pandas as pd
 
@@ -83,6 +83,8 @@ def bootstrap_exact(obs: DataFrame, iterations: int = 100, ratio: float = 0.8, s
         return pd.DataFrame({"model_a": part["model_a"].iloc[:1], "model_b": part["model_b"].iloc[:1], "bootstrap_mean": [float(np.mean(means))], "bootstrap_std": [float(np.std(means))]})
 
     rows = _matches(obs).select("model_a", "model_b", "probe_id", "exact")
+    if target is not None:
+        rows = rows.where((F.col("model_a") == target) | (F.col("model_b") == target))
     return rows.groupBy("model_a", "model_b").applyInPandas(run, "model_a string, model_b string, bootstrap_mean double, bootstrap_std double")
 
 
@@ -138,14 +140,17 @@ def bank_summary(pairs: DataFrame, min_score: float = MIN_SCORE, min_margin: flo
     return near.select("model", "top1", "top1_score", F.round(margin, 9).alias("margin"), same.alias("same_source"))
 
 
-def decide(pairs: DataFrame, target: str, stability_variance: float | None = 0.0, ratio: float = 0.8) -> DataFrame:
-    """One row: the verdict on a target against all other models of the bank, by weighing evidence."""
+def decide(pairs: DataFrame, target: str, stability_variance: float | None = 0.0, ratio: float = 0.8, boot: DataFrame | None = None) -> DataFrame:
+    """One row: the verdict on a target against all other models of the bank, by weighing evidence. boot: bootstrap_exact() of
+    the target's pairs; without it, what resampling tends to."""
     both = pairs.where((F.col("model_a") == target) | (F.col("model_b") == target))
     stats = bank_statistics(pairs.where((F.col("model_a") != target) & (F.col("model_b") != target)))
-    boot = bootstrap_closed(both, ratio).groupBy().agg(F.max_by("bootstrap_std", "bootstrap_mean").alias("bs_std"))
+    std = bootstrap_closed(both, ratio) if boot is None else boot
     top = neighbours(both, 5).where(F.col("model") == target)
+    other = F.when(F.col("model_a") == target, F.col("model_b")).otherwise(F.col("model_a"))
+    nearest = std.withColumn("other", other).join(top.where("rank = 1"), F.col("other") == F.col("neighbour")).groupBy().agg(F.max("bootstrap_std").alias("bs_std"))
     ranked = F.array_sort(F.collect_list(F.struct("rank", "neighbour", "neighbour_family", "score"))).alias("top")
-    row = top.agg(ranked).crossJoin(stats).crossJoin(boot)
+    row = top.agg(ranked).crossJoin(stats).crossJoin(nearest)
     at = lambda i, f: F.get("top", F.lit(i))[f]
     score = F.coalesce(at(0, "score"), F.lit(0.0))
     margin = score - F.coalesce(at(1, "score"), F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.operators import ranking
 from spanforge.operators.observations import valid
 
 # Weights of the vocabulary score and the count up to which a token is rare.
@@ -20,11 +21,13 @@ def token_counts(obs: DataFrame, include_errors: bool = False) -> DataFrame:
 
 
 def ranked(obs: DataFrame, include_errors: bool = False, k: int | None = None, ties: str = "token") -> DataFrame:
-    """Frequency ranking per model; ties by token text, or by first appearance."""
+    """Frequency ranking per model; ties by token text, or by first appearance. A model's tokens are numbered in blocks of
+    equal frequency and, with ties by text, equal beginnings."""
     counts = token_counts(obs, include_errors)
-    rank = F.row_number().over(Window.partitionBy("model_name").orderBy(F.desc("n"), ties)).cast("bigint")
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("model_name"))
-    out = counts.select("model_name", "token", "n", share.alias("share"), rank.alias("rank"))
+    total = counts.groupBy("model_name").agg(F.sum("n").alias("total"))
+    blocks = [-F.col("n")] + ([F.substring("token", 1, 2)] if ties == "token" else [])
+    out = ranking.numbered(counts, ["model_name"], blocks, [F.col(ties)], "rank").join(total, "model_name")
+    out = out.select("model_name", "token", "n", (F.col("n") / F.col("total")).alias("share"), "rank")
     return out.where(F.col("rank") <= k) if k else out
 
 
@@ -103,7 +106,7 @@ def threshold_sweep(tops: DataFrame, truth: DataFrame) -> DataFrame:
     rows = rows.withColumns({"positive": positive, "hit": F.coalesce(F.array_contains("targets", F.col("top1_model")), F.lit(False))})
     s = tops.select(F.round("score", 4).alias("score_threshold")).distinct()
     m = tops.select(F.round("margin", 4).alias("margin_threshold")).union(tops.sparkSession.range(1).select(F.lit(0.0))).distinct()
-    grid = F.broadcast(s).crossJoin(F.broadcast(m)).crossJoin(rows.select("score", "margin", "positive", "hit"))
+    grid = s.crossJoin(m).crossJoin(rows.select("score", "margin", "positive", "hit"))
     said = (F.col("score") >= F.col("score_threshold")) & (F.col("margin") >= F.col("margin_threshold"))
     out = grid.groupBy("score_threshold", "margin_threshold").agg(
         F.count_if(said & F.col("hit")).alias("tp"), F.count_if(said & ~F.col("hit")).alias("fp"), F.count_if(~said & F.col("positive")).alias("fn"), F.count_if(~said & ~F.col("positive")).alias("tn")
@@ -127,8 +130,7 @@ def topk_hits(near: DataFrame, truth: DataFrame, ks=(1, 3, 5)) -> DataFrame:
     """(k, n, hits, hit_rate) over models with a target; near: (model, neighbour, rank)."""
     hit = near.join(truth, (near["model"] == truth["model_name"]) & (near["neighbour"] == truth["target_model"]), "left_semi").groupBy("model").agg(F.min("rank").alias("best"))
     models = truth.select(F.col("model_name").alias("model")).distinct().join(hit, "model", "left")
-    grid = F.broadcast(truth.sparkSession.createDataFrame([(k,) for k in ks], "k int"))
-    out = models.crossJoin(grid).groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("best") <= F.col("k")).alias("hits"))
+    out = models.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("best") <= F.col("k")).alias("hits"))
     return out.withColumn("hit_rate", F.col("hits") / F.col("n"))
 
 

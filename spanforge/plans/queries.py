@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import features, lineage, observations, probes, similarity, vocabulary
-from spanforge.sources import synthetic, tables
+from spanforge.operators import features, generator, lineage, observations, probes, similarity, vocabulary
+from spanforge.sources import connector, readers, sinks, synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,6 +180,102 @@ def script_counts(spark, d):
     return _table(spark, d, "documents").select("doc_id", T.script_count(F.col("text"), "Latin").alias("latin"), T.script_count(F.col("text"), "Han").alias("han"))
 
 
+@query(f"with {_O}, c as (select model_name, seq, output_text, case when seq % 3 = 0 then '' when seq % 3 = 1 then 'other' else {_classify('output_text')} end as recorded from obs) select model_name, seq, case when recorded not in ('other', '') then recorded when output_text = '' then 'empty' when starts_with(output_text, chr(10)) then 'newline_prefixed' when starts_with(output_text, ' ') then 'whitespace_prefixed' else coalesce(nullif(recorded, ''), 'other') end as strict, coalesce(nullif(recorded, ''), 'other') as soft from c")
+def recorded_types(spark, d):
+    """Types of rows whose record says nothing, "other", or a type."""
+    rows = _obs(spark, d)
+    recorded = F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, "other").otherwise(T.classify(F.col("output_text")))
+    rows = rows.withColumn("recorded", recorded)
+    return rows.select("model_name", "seq", T.strict_type(F.col("recorded"), F.col("output_text")).alias("strict"), T.soft_type(F.col("recorded")).alias("soft"))
+
+
+@query(f"with {_O} select model_name, seq, to_json(output_text)::varchar as literal, printf('%.8f', seq / 7e0) as share from obs")
+def json_literals(spark, d):
+    return _obs(spark, d).select("model_name", "seq", T.json_string(F.col("output_text")).alias("literal"), T.share_text(F.col("seq") / F.lit(7.0)).alias("share"))
+
+
+@query("select doc_id, replace(replace(concat(source, '/', lang, ':', doc_id), '/', '_'), ':', '_') as file_name, replace(concat(source, '/', lang), '/', '__') as folder, sha256('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') as hash from documents")
+def names_and_hashes(spark, d):
+    name = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(":"), F.col("doc_id"))
+    values = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    return _table(spark, d, "documents").select("doc_id", T.sanitize_model_name(name).alias("file_name"), T.directory_name(F.concat_ws("/", "source", "lang")).alias("folder"), T.canonical_hash(values).alias("hash"))
+
+
+_MARKS = ", ".join(_q(m.lower()) for m in connector.FATAL_MARKERS)
+
+
+@query(f"with {_O}, e as (select model_name, seq, output_text, case when error is not null then case when seq % 2 = 0 then error else 'HTTP 403: Forbidden' end end as error from obs) select model_name, seq, coalesce(list_bool_or(list_transform([{_MARKS}], lambda m: contains(lower(error), m))), false) as fatal, error is null and output_text in ({', '.join(map(_q, connector.THINKING))}) as thinking from e")
+def error_predicates(spark, d):
+    rows = _obs(spark, d).withColumn("error", F.when(F.col("error").isNotNull(), F.when(F.col("seq") % 2 == 0, F.col("error")).otherwise("HTTP 403: Forbidden")))
+    return observations.error_predicates(rows, connector.FATAL_MARKERS, connector.THINKING).select("model_name", "seq", "fatal", "thinking")
+
+
+@query(f"with {_O}, p as (select concat(lang, '_partial_', cast(doc_id as varchar)) as probe_id, source from documents where doc_id in (select doc_id from labels)) select model_name, o.probe_id, seq, p.source from obs o join p on p.probe_id = o.probe_id")
+def known_probe_results(spark, d):
+    known = _table(spark, d, "documents").join(_table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.concat("lang", F.lit("_partial_"), F.col("doc_id")).alias("probe_id"), "source")
+    return observations.with_probe(_obs(spark, d), known, "source").select("model_name", "probe_id", "seq", "source")
+
+
+@query("select doc_id as seq, text from documents order by doc_id limit 100")
+def first_probes(spark, d):
+    return observations.first_probes(_table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text"), 100)
+
+
+@query("select lang, coalesce(case when doc_id % 3 = 0 then lang when doc_id % 3 = 1 then lang end, 'mixed') as value, count(*) as n from documents group by 1, 2")
+def coerced_values(spark, d):
+    """Values written as an object, as text, or not at all."""
+    docs = _table(spark, d, "documents")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("lang").alias("value")))).when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return docs.groupBy("lang", T.text_of(raw, F.lit("mixed")).alias("value")).agg(F.count("*").alias("n"))
+
+
+@query()
+def generated_probes(spark, d):
+    return generator.generate(spark, _table(spark, d, "documents").count())
+
+
+# ---- written and read again ------------------------------------------------------------------------------
+
+
+@query(f"with {_O} select model_name, probe_id, output_text, error is not null as failed, count(*) as n from obs group by all")
+def log_round_trip(spark, d):
+    """Results appended as JSON lines and read strictly."""
+    path = tables.scratch(spark)
+    rows = _obs(spark, d).withColumn("raw_response", F.struct("error"))
+    sinks.append_observations(rows.drop("error", "seq"), path)
+    back = readers.observations(spark, path)
+    return back.groupBy("model_name", "probe_id", "output_text", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"))
+
+
+@query("select concat(lang, '_partial_', cast(doc_id as varchar)) as probe_id, text, lang as category, 0e0 as truncation_ratio, 'mixed' as source_lang from documents")
+def probes_round_trip(spark, d):
+    path = tables.scratch(spark)
+    sinks.probes(scan_probes(spark, d).select(F.col("probe_id").alias("id"), "text", "category"), path)
+    return readers.probes(spark, path, lines=True).drop("metadata")
+
+
+@query(f"with {_FIRST} select model_name, family, ord, probe_id, output_text from f")
+def bank_round_trip(spark, d):
+    path = tables.scratch(spark)
+    sinks.bank(observations.first_results(_obs(spark, d), "output_text", "family", "ord"), path)
+    return readers.bank(spark, path).select("model_name", "family", F.col("ord").cast("int").alias("ord"), "probe_id", "output_text")
+
+
+@query(f"with {_PAIRS} select model_a, model_b, common_probe_count, bcs from p")
+def pair_table_round_trip(spark, d):
+    path = tables.scratch(spark)
+    sinks.comparison(similarity.pair_scores(_obs(spark, d)), path)
+    return readers.pair_table(spark, f"{path}.json").select("model_a", "model_b", "common_probe_count", "bcs")
+
+
+@query(f"with {_TOK.replace('from obs group', 'from obs where error is null group')} select model_name, token as next_token_display, n as frequency, row_number() over (partition by model_name order by n desc, token) as rank, case when token = '<EMPTY>' then 0 else length(token) end as char_length, token = '<EMPTY>' as is_empty_token from t")
+def vocabulary_round_trip(spark, d):
+    path = tables.scratch(spark)
+    sinks.vocabulary(vocabulary.ranked(_obs(spark, d)), path, form="json")
+    back = spark.read.schema("model_name string, next_token_display string, frequency bigint, rank bigint, char_length bigint, is_empty_token boolean").json(path)
+    return back
+
+
 # ---- filters, resumption, quality -----------------------------------------------------------------------
 
 
@@ -425,13 +521,18 @@ def topk_eval(spark, d):
     return vocabulary.topk_hits(similarity.neighbours(similarity.pair_scores(_obs(spark, d)), None), _truth(spark))
 
 
-# ---- tokenizer lineage: sources stand in for tokenizers, words for tokens -------------------------------------
+# ---- tokenizer lineage: sources stand in for tokenizers, the words of their texts for tokens. Of two sources there is
+# a copy, and a chain of copies that each lack some tokens more: neighbours are near equivalent, the ends aren't.
 
-_VOCAB = """w as (select distinct source as model, unnest(string_split(left(text, 300), ' ')) as token from documents where source in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5')),
-vocab as (select model, token, strlen(token) + case when model in ('src4', 'src5') then 1 else 0 end as id from w where strlen(token) <= 4 and (model not in ('src0', 'src1') or token between 'a' and 'p')
-  union select 'src1', token, strlen(token) from w where model = 'src0' and strlen(token) <= 4 and token between 'a' and 'p' union select 'src0', token, strlen(token) from w where model = 'src1' and strlen(token) <= 4 and token between 'a' and 'p'),
-meta as (select * from (values ('src0', 'Fam A', 0, 'base', 20, 's'), ('src1', 'Fam A', 1, 'chat', 10, 's'), ('src2', 'Fam A', 2, 'instruct', 1000, 's'), ('src3', 'Fam B', 3, 'base', 1000, 's'), ('src4', 'Fam B', 4, 'other', 1000, 't'), ('src5', 'Fam B', 5, 'chat', 5, 't')) v(name, family, ord, role, preferred_rank, special_tokens)),
-enc as (select name as model, sample, case when name in ('src0', 'src1') then sample else sample * 10 + ord end as ids from meta, (values (1), (2), (3), (4)) s(sample))"""
+_COPIES = (("src0", "copy", ""), ("src0", "less", "00"), ("src0", "lesser", "01"), ("src0", "least", "02"), ("src5", "copy", ""), ("src5", "far", "3f"))
+_COPIES_SQL = "copies as (select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _COPIES) + ") v(source, kind, upto))"
+_META = f"""{_COPIES_SQL}, sources as (select source, row_number() over (order by source) - 1 as o from (select distinct source from documents where source is not null)),
+models as (select source as name, source, '' as kind, '' as upto, o from sources union all select s.source || '_' || kind, s.source, kind, upto, o from sources s join copies c on c.source = s.source),
+meta as (select name, source, upto, 'Family ' || cast(o % 3 as varchar(9)) as family, cast(row_number() over (order by name) - 1 as int) as ord,
+  case when kind = '' then case when o % 2 = 0 then 'chat' else 'base' end when kind = 'copy' then 'instruct' else 'other' end as role, cast(case when kind = 'less' then 5 else 1000 end as int) as preferred_rank, case when o % 4 = 3 then 't' else 's' end as special_tokens from models)"""
+_VOCAB = f"""{_META}, w as (select distinct source, unnest(string_split(text, ' ')) as token from documents),
+vocab as (select m.name as model, token, length(token) + case when m.special_tokens = 't' then 1 else 0 end as id from w join meta m on m.source = w.source where upto = '' or substr(md5(token), 1, 2) > upto),
+enc as (select name as model, cast(s as varchar(9)) as sample, source || '|' || cast(s as varchar(9)) as ids from meta, (select unnest(range(1, 5)) as s))"""
 _TP = _VOCAB + """, sz as (select model, count(*) as size from vocab group by 1), mm as (select meta.*, coalesce(size, 0) as size from meta left join sz on model = name),
 sh as (select ma.ord as oa, mb.ord as ob, count(*) as shared, count(*) filter (a.id = b.id) as idm from vocab a join meta ma on ma.name = a.model join vocab b on a.token = b.token join meta mb on mb.name = b.model and ma.ord < mb.ord group by all),
 en as (select ma.ord as oa, mb.ord as ob, count(*) as n, count(*) filter (a.ids = b.ids) as same from enc a join meta ma on ma.name = a.model join enc b on a.sample = b.sample join meta mb on mb.name = b.model and ma.ord < mb.ord group by all),
@@ -441,30 +542,41 @@ y as (select *, case when sa + sb - sh > 0 then sh / (sa + sb - sh)::double else
 tp as (select model_a, family_a, model_b, family_b, family_a = family_b as same_family, ex as exact_token_to_id_same, sp as same_special_tokens, sa as vocab_size_a, sb as vocab_size_b, sh as shared_token_count, sa + sb - sh as union_token_count, j as token_jaccard, idm as id_match_count,
   sh - idm as id_mismatch_count, idc as id_consistency, sa - sh as only_a_count, sb - sh as only_b_count, es as encoding_same_count, en as encoding_sample_count, er as encoding_same_rate, round(0.45e0 * j + 0.35e0 * idc + 0.15e0 * er + case when sp then 0.05e0 else 0e0 end, 9) as tokenizer_similarity_score,
   case when ex and er = 1 then 'hard_equivalent' when j >= 0.995 and idc >= 0.995 and er >= 0.99 then 'near_equivalent' else 'distinct' end as equivalence_label from y),
-lin as (select name, family, case when name = 'src1' and (select equivalence_label from tp where model_a = 'src0' and model_b = 'src1') <> 'distinct' then 'src0' else name end as lineage from meta)"""
+edges as (select model_a as x, model_b as y from tp where same_family and equivalence_label <> 'distinct' union all select model_b, model_a from tp where same_family and equivalence_label <> 'distinct'),
+reach as (select name, name as other from meta union select r.name, e.y from reach r join edges e on e.x = r.other),
+lin as (select m.name, m.family, min(r.other) as lineage from meta m join reach r on r.name = m.name group by 1, 2)"""
 
 
 def _lineage(spark, d):
-    run = lambda body: spark.sql("with " + body.replace("strlen(", "octet_length(").replace("string_split(left(text, 300), ' ')", "split(left(text, 300), ' ')").replace("unnest(", "explode(").replace("from documents", "from {docs}"), docs=_table(spark, d, "documents"))
-    return run(_VOCAB + " select model, token, id from vocab"), run(_VOCAB + " select model, sample, ids from enc"), run(_VOCAB + " select * from meta")
+    docs = _table(spark, d, "documents").select("source", "text")
+    meta = spark.sql("with " + _META.replace("from documents", "from {docs}") + " select * from meta", docs=docs).persist()  # a row per model
+    words = tables.spread(docs).select("source", F.explode(F.split("text", " ")).alias("token")).distinct()
+    kept = (F.col("upto") == "") | (F.substring(F.md5(F.col("token").cast("binary")), 1, 2) > F.col("upto"))
+    id_ = F.char_length("token") + F.when(F.col("special_tokens") == "t", 1).otherwise(0)
+    vocab = words.join(meta, "source").where(kept).select(F.col("name").alias("model"), "token", id_.alias("id"))
+    enc = meta.withColumn("sample", F.explode(F.array(*(F.lit(str(i)) for i in range(1, 5))))).select(F.col("name").alias("model"), "sample", F.concat_ws("|", "source", "sample").alias("ids"))
+    return vocab, enc, meta
 
 
 def _tokenizer_pairs(spark, d):
     vocab, enc, meta = _lineage(spark, d)
-    return lineage.pairs(vocab, enc, meta), meta
+    return lineage.pairs(vocab, enc, meta).persist(), meta  # models squared, read more than once
 
 
-@query(f"with {_TP} select * from tp")
+@query(f"with {_TP} select * from tp".replace("with copies", "with recursive copies"))
 def tokenizer_pairs(spark, d):
     return _tokenizer_pairs(spark, d)[0]
 
 
-@query(f"with {_TP} select * from lin")
+_LIN = f"with recursive {_TP}"
+
+
+@query(f"{_LIN} select * from lin")
 def lineage_components(spark, d):
     return lineage.components(*_tokenizer_pairs(spark, d))
 
 
-@query(f"""with {_TP}, i as (select a.lineage, count(*) as pairs, round(avg(tokenizer_similarity_score), 9) as mean, min(tokenizer_similarity_score) as min, max(tokenizer_similarity_score) as max, count(*) filter (equivalence_label = 'hard_equivalent') as hard_equivalent,
+@query(f"""{_LIN}, i as (select a.lineage, count(*) as pairs, round(avg(tokenizer_similarity_score), 9) as mean, min(tokenizer_similarity_score) as min, max(tokenizer_similarity_score) as max, count(*) filter (equivalence_label = 'hard_equivalent') as hard_equivalent,
   count(*) filter (equivalence_label = 'near_equivalent') as near_equivalent, count(*) filter (equivalence_label = 'distinct') as "distinct" from tp join lin a on a.name = model_a join lin b on b.name = model_b and a.lineage = b.lineage group by 1)
 select l.lineage, l.family, count(*) as members, coalesce(any_value(pairs), 0) as pairs, coalesce(any_value(mean), 1e0) as mean, coalesce(any_value(min), 1e0) as min, coalesce(any_value(max), 1e0) as max, coalesce(any_value(hard_equivalent), 0) as hard_equivalent,
   coalesce(any_value(near_equivalent), 0) as near_equivalent, coalesce(any_value("distinct"), 0) as "distinct" from lin l left join i using (lineage) group by 1, 2""")
@@ -473,17 +585,20 @@ def lineage_metrics(spark, d):
     return lineage.metrics(pairs, lineage.components(pairs, meta))
 
 
-_REP = """, pr as (select case when role = 'base' then 0 when role = 'instruct' then 1 when role = 'chat' then 2 else 3 end as prio, * from meta), rp as (select l.family, l.lineage, l.name as representative, role, preferred_rank, prio from lin l join pr on pr.name = l.name
-  qualify row_number() over (partition by l.family, l.lineage order by prio, preferred_rank, l.name) = 1)"""
+_REP = """, ins as (select model_a, model_b, tokenizer_similarity_score as s from tp join lin a on a.name = model_a join lin b on b.name = model_b and a.lineage = b.lineage),
+av as (select name, round(avg(s), 9) as mean from (select model_a as name, s from ins union all select model_b, s from ins) group by 1),
+pr as (select case when role = 'base' then 0 when role = 'instruct' then 1 when role = 'chat' then 2 else 3 end as prio, * from meta),
+rp as (select l.family, l.lineage, l.name as representative, role, preferred_rank, prio from lin l join pr on pr.name = l.name left join av on av.name = l.name
+  qualify row_number() over (partition by l.family, l.lineage order by coalesce(mean, 1) desc, prio, preferred_rank, l.name) = 1)"""
 
 
-@query(f"with {_TP}{_REP} select family, lineage, representative, role, preferred_rank from rp")
+@query(f"{_LIN}{_REP} select family, lineage, representative, role, preferred_rank from rp")
 def lineage_representative(spark, d):
     pairs, meta = _tokenizer_pairs(spark, d)
     return lineage.representatives(pairs, lineage.components(pairs, meta), meta)
 
 
-@query(f"""with {_TP}{_REP}, c as (select lineage, count(*) as members, string_agg(name, ',' order by name) as member_models from lin group by 1),
+@query(f"""{_LIN}{_REP}, c as (select lineage, count(*) as members, string_agg(name, ',' order by name) as member_models from lin group by 1),
 r as (select rp.*, members, member_models, row_number() over (partition by family order by members desc, prio, preferred_rank, representative) as rn from rp join c using (lineage))
 select case when rn = 1 then lower(replace(family, ' ', '_')) || '__primary' else lower(replace(family, ' ', '_')) || '__variant_' || lpad((rn - 1)::varchar, 2, '0') end as baseline_id, family, case when rn = 1 then 'primary' else 'variant' end as kind, representative, members, member_models from r""")
 def baseline_registry(spark, d):
