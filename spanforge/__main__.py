@@ -118,7 +118,7 @@ def build_reference(spark, a):
             models = spark.createDataFrame([(o.model, families.get(o.model, ""), i) for i, o in enumerate(endpoints)], "model_name string, family string, ord int")
             bank = api.build_bank(readers.observations(spark, a.logs, strict=False), models)
             sinks.bank(observations.first_results(bank), f"{a.bank}/bank")
-            sinks.fingerprints(api.fingerprint(bank), bank, a.bank)
+            sinks.fingerprints(api.fingerprint(bank, readers.probes(spark, a.probes, lines=not a.probes.endswith(".json"))), bank, a.bank)
 
     _run(spark, a, "build-reference", work)
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from spanforge.operators import features, lineage, observations, similarity, vocabulary
 
 
-def fingerprint(obs: DataFrame) -> dict[str, DataFrame]:
-    """Feature tables of every model in a log."""
+def fingerprint(obs: DataFrame, probes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Feature tables of every model in a log. Categories are the log's own, or those of the probes."""
+    if probes is None and "category" not in obs.columns:
+        obs = obs.withColumn("category", F.lit("unknown"))
     return {
         "char_lengths": features.length_histogram(obs), "byte_lengths": features.length_histogram(obs, "byte"), "surface": features.surface(obs),
-        "types": features.type_distribution(obs), "transitions": features.transitions(obs), "metadata": features.metadata(obs),
+        "types": features.type_distribution(obs), "transitions": features.transitions(obs, probes), "metadata": features.metadata(obs),
     }
 
 

@@ -1,8 +1,14 @@
+import hashlib
+import random
+import re
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanforge import api
-from spanforge.operators import features, lineage, observations, probes, similarity, vocabulary
+from spanforge.operators import features, generator, lineage, observations, probes, ranking, similarity, vocabulary
 
 OBS = "model_name string, family string, ord int, probe_id string, category string, seq bigint, output_text string, error string"
 
@@ -153,3 +159,63 @@ def test_api(spark):
     dead = spark.createDataFrame([("z", "f", 9)], "model_name string, family string, ord int")
     with pytest.raises(ValueError):
         api.build_bank(obs(spark, [("z", "1", 1, "", "e")]), dead)
+
+
+def test_generated_probes(spark):
+    draw = lambda n, *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) % n
+    want = set()
+    for k, n in probes.allocate(300, generator.WEIGHTS).items():
+        texts = generator.TEMPLATES[k]
+        for i in range(n):
+            text, ratio = texts[draw(len(texts), k, i, "text", 42)], generator.RATIOS[draw(4, k, i, "ratio", 42)]
+            if k == generator.PARTIAL:
+                ratio = 0.0
+            else:
+                text = text[: max(1, int(len(text) * ratio))]
+            want.add((f"{k}_{hashlib.md5(f'{k}|{i}|42'.encode()).hexdigest()[:12]}", text, k, ratio, generator.LANGUAGE.get(k, "mixed")))
+    rows = generator.generate(spark, 300).collect()
+    assert len(rows) == 300 and {tuple(r) for r in rows} == want
+    with pytest.raises(ValueError):
+        generator.generate(spark, 10, {"poetry": 1.0})
+
+
+def test_numbers_in_blocks(spark):
+    rows = spark.createDataFrame([(i % 3, i % 7, str(i)) for i in range(200)] + [(None, 1, "x"), (None, 2, "y")], "g int, n int, t string")
+    got = {(r.g, r.t): r.k for r in ranking.numbered(rows, ["g"], [F.col("n")], [F.col("t")], "k").collect()}
+    for g in (0, 1, 2, None):
+        mine = sorted(((r.n, r.t) for r in rows.collect() if r.g == g))
+        assert [got[g, t] for _, t in mine] == list(range(1, len(mine) + 1))
+
+
+def test_exact_bootstrap_by_force(spark):
+    rng = np.random.RandomState(1)
+    hits = rng.rand(50) < 0.6
+    o = obs(spark, [(m, f"{i:03}", i, "x" if m == "a" or hits[i] else "yy", None) for i in range(50) for m in "ab"])
+    r = similarity.bootstrap_exact(o, target="b").first()
+    draws = np.random.RandomState(42)
+    means = [hits[draws.choice(50, 40, replace=True)].mean() for _ in range(100)]
+    assert (r.bootstrap_mean, r.bootstrap_std) == (pytest.approx(np.mean(means)), pytest.approx(np.std(means)))
+    assert api.detect(o, "b").count() == 1
+
+
+def test_chains_of_tokenizers_are_one_lineage(spark):
+    rows = [("a", "b", "near_equivalent"), ("b", "c", "hard_equivalent"), ("a", "c", "distinct"), ("c", "d", "distinct")]
+    pairs_ = spark.createDataFrame([(a, b, True, label) for a, b, label in rows], "model_a string, model_b string, same_family boolean, equivalence_label string")
+    meta = spark.createDataFrame([(x, "f") for x in "dcba"], "name string, family string")
+    assert {r.name: r.lineage for r in lineage.components(pairs_, meta).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
+def test_context_is_linear_and_exact(spark):
+    """Contexts by definition, on odd white space, and a fragment of a megabyte in seconds."""
+    de = probes.LANGUAGES["de"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["Wort", "bau-teil", " ", "  ", "\t", "\u2003", "1", ",", "é", "\u3000", "x’y"]) for _ in range(rng.randint(1, 120))) for _ in range(80)]
+    rows = probes.spans(spark.createDataFrame([(t.strip(" \t"),) for t in texts], "fragment string"), de).collect()
+    for r in rows:
+        words = list(re.finditer(r"\S+", r.fragment[: r.offset]))
+        start = words[-6].start() if len(words) > 6 else 0
+        assert r.fragment[r.offset : r.offset + len(r.span)] == r.span and r.context == r.fragment[start : r.offset]
+    want = sum(len(re.findall(r"[a-zA-Zé]+(?:[’'-][a-zA-Zé]+)*", t)) for t in texts)
+    assert len(rows) == want
+    began = time.time()
+    assert probes.spans(spark.createDataFrame([("Wort-bau kommt, " * 60_000,)], "fragment string"), de).count() == 120_000 and time.time() - began < 20
