@@ -351,7 +351,8 @@ def similar_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, component): th is a hash of the text, component the smallest node reachable."""
+    """(node, least, component): a row for each distinct set of shingles, with the least (doc_id, th) that has it, th a hash of
+    the text, among documents with an id, and the least node reachable. Equal sets are one row before anything is joined."""
 
     def run(batches):
         for b in parts(batches):
@@ -366,37 +367,44 @@ def similar_components(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "kinds"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th bigint, node bigint, keys array<bigint>"))
-    entries = marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("k"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th bigint, node bigint, keys array<bigint>")
+    text = F.struct("doc_id", "th")
+    nodes = stored(marked.groupBy("node").agg(F.min("keys").alias("keys"), F.min(text).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), text)).alias("least")))
+    entries = nodes.select("node", F.explode("keys").alias("k"))
     shared = entries.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     entries = stored(entries.join(shared, "k", "left_semi"))
     # one text of each node that shares a key
-    wanted = entries.select("node").distinct()
-    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    one = stored(one.select("node", F.col("r.doc_id").alias("one_id"), F.col("r.th").alias("one_th")))
+    one = nodes.join(entries.select("node").distinct(), "node", "left_semi")
+    one = stored(one.select("node", F.col("any.doc_id").alias("one_id"), F.col("any.th").alias("one_th")))
     same = (F.col("th") == F.col("one_th")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(small(one), same).select("node", "text")
     sets = stored(texts.mapInArrow(hashed, "node bigint, kinds array<bigint>").dropDuplicates(["node"]))
     roots = stored(components(similar_links(entries, sets))).withColumnRenamed("node", "n")
-    return marked.join(roots, marked["node"] == F.col("n"), "left").select("doc_id", "th", "node", F.coalesce("root", "node").alias("component"))
+    return nodes.join(roots, nodes["node"] == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("component"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id (ties: smallest hash of the
     text, then one of the equal rows). Columns as given. Rows with a null doc_id always stay."""
-    found = similar_components(docs).where("doc_id is not null")
-    keep = found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("keep_id"), F.col("r.th").alias("keep_th"))
-    times = found.groupBy("doc_id", "th").agg(F.count("*").alias("keep_n"))
-    same = (keep["keep_id"] == times["doc_id"]) & (keep["keep_th"] == times["th"])
-    keep = stored(keep.join(times, same).select("keep_id", "keep_th", "keep_n"))
+    keep = similar_components(docs).where("least is not null").groupBy("component").agg(F.min("least").alias("r"))
+    keep = stored(keep.select(F.col("r.doc_id").alias("keep_id"), F.col("r.th").alias("keep_th")))
     own = aliased(docs, "doc_id", "text")
     mine = (F.col("doc_id") == F.col("keep_id")) & (F.xxhash64("text") == F.col("keep_th"))
-    out = restored(own.join(small(keep.where("keep_n = 1")), mine, "left_semi"), own, docs).union(docs.where(docs["doc_id"].isNull()))
-    if keep.where("keep_n > 1").isEmpty():
-        return out
-    again = own.join(small(keep.where("keep_n > 1")), mine, "left_semi").withColumn("th", F.xxhash64("text"))
+    # rows that share id and text are told apart by their place among themselves; there seldom are any
+    times = docs.select("doc_id", F.xxhash64("text").alias("th")).groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
+    again = stored(times.join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.col("th") == F.col("keep_th"))).select("keep_id", "keep_th"))
+    alone = restored(_alone(own, keep, again, mine), own, docs).union(docs.where(docs["doc_id"].isNull()))
+    if again.isEmpty():
+        return alone
+    equal = own.join(small(again), mine, "left_semi").withColumn("th", F.xxhash64("text"))
     order = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("doc_id"))
-    return out.union(restored(again.withColumn("nth", order).where("nth = 1"), own, docs))
+    return alone.union(restored(equal.withColumn("nth", order).where("nth = 1"), own, docs))
+
+
+def _alone(own: DataFrame, keep: DataFrame, again: DataFrame, mine: Column) -> DataFrame:
+    """The rows to keep whose id and text no other row has."""
+    single = keep if again.isEmpty() else stored(keep.join(again, ["keep_id", "keep_th"], "left_anti"))
+    return own.join(small(single), mine, "left_semi")
 
 
 def op7(docs: DataFrame) -> DataFrame:
