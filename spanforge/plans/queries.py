@@ -229,7 +229,17 @@ def coerced_values(spark, d):
     return docs.groupBy("lang", T.text_of(raw, F.lit("mixed")).alias("value")).agg(F.count("*").alias("n"))
 
 
-@query()
+_GENERATED = f"""with w as (select * from (values {", ".join(f"({_q(k)}, {v!r}e0, {i})" for i, (k, v) in enumerate(generator.WEIGHTS.items()))}) v(category, weight, o)),
+a as (select category, o, greatest(1, cast(floor(total * weight / {sum(generator.WEIGHTS.values())!r}e0) as int)) as n, total from w, (select count(*) as total from documents)),
+q as (select category, n + case when o = 0 then greatest(0, total - sum(n) over ()) else 0 end as n from a), i as (select category, unnest(range(0, n::bigint)) as i from q),
+t as (select * from (values {", ".join(f"({_q(k)}, {j}, {_q(x)})" for k, v in generator.TEMPLATES.items() for j, x in enumerate(v))}) v(category, j, whole)),
+n as (select category, count(*) as size from t group by 1), r as (select * from (values {", ".join(f"({j}, {x!r}e0)" for j, x in enumerate(generator.RATIOS))}) v(k, ratio)),
+d as (select category, i, ('0x' || substr(md5(category || '|' || i || '|text|42'), 1, 8))::bigint % size as j, ('0x' || substr(md5(category || '|' || i || '|ratio|42'), 1, 8))::bigint % {len(generator.RATIOS)} as k from i join n using (category))
+select category || '_' || substr(md5(category || '|' || i || '|42'), 1, 12) as probe_id, case when category = '{generator.PARTIAL}' then whole else substring(whole, 1, greatest(1, cast(floor(length(whole) * ratio) as int))) end as text, category,
+  case when category = '{generator.PARTIAL}' then 0e0 else ratio end as truncation_ratio, case category {" ".join(f"when {_q(k)} then {_q(v)}" for k, v in generator.LANGUAGE.items())} else 'mixed' end as source_lang from d join t using (category, j) join r using (k)"""
+
+
+@query(_GENERATED)
 def generated_probes(spark, d):
     return generator.generate(spark, _table(spark, d, "documents").count())
 
