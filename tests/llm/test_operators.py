@@ -745,6 +745,24 @@ def test_snapshot_collapse(spark):
     assert chat_format.collapse_and_render(table.limit(0)).count() == 0
 
 
+def test_snapshot_collapse_by_force(spark):
+    """Random conversations with shared beginnings, equal ones, null ids, long texts and string ids."""
+    rng = random.Random(8)
+    talks = {}
+    for i in range(60):
+        base = rng.choice(list(talks.values())) if talks and rng.random() < 0.7 else []
+        talks[f"c{i}"] = base[: rng.randint(0, len(base))] + [(rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None, "long " * 40_000])) for _ in range(rng.randint(0, 3))]
+    talks = {k: v for k, v in talks.items() if v} | {None: [("user", "only here")]}
+    table = spark.createDataFrame([(k, i * 2, r, t) for k, v in talks.items() for i, (r, t) in enumerate(v)], "conv_id string, turn int, role string, text string")
+    want = {}
+    for k, v in talks.items():
+        if not any(len(w) > len(v) and w[: len(v)] == v for w in talks.values()):
+            want.setdefault(tuple(v), []).append(k)
+    text = lambda v: "".join(f"<|im_start|>{r or 'user'}\n{t or ''}<|im_end|>\n" for r, t in v)
+    got = {(r.conv_id, r.n_turns, r.n_copies, r.text) for r in chat_format.collapse_and_render(table.repartition(5)).collect()}
+    assert got == {(min(ks, key=lambda x: (x is None, x)), len(v), len(ks), text(v)) for v, ks in want.items()}
+
+
 # ---- 9 ------------------------------------------------------------------------------------------------
 
 
