@@ -7,7 +7,7 @@ import json
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge import api
@@ -70,8 +70,9 @@ def template_probes(spark, a):
 
 def _probes(spark, a) -> DataFrame:
     rows = readers.probes(spark, a.probes, lines=not a.probes.endswith(".json")).select("probe_id", "text")
+    rows = rows.withColumn("seq", F.monotonically_increasing_id())  # the file's order
     rows = observations.exclude(rows, readers.exclude_list(spark, a.exclude_probes)) if a.exclude_probes else rows
-    return observations.first_probes(rows.withColumn("seq", F.row_number().over(Window.orderBy("probe_id"))), a.first)
+    return observations.first_probes(rows, a.first)
 
 
 def _collect(spark, a, options: connector.Options, log: status.RunLog) -> None:
