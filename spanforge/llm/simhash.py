@@ -3,7 +3,8 @@
 A fingerprint has 64 bits over 4-word shingles (XXH64, seed 42). Distinct fingerprints are cut into
 segments; by the pigeonhole rule two fingerprints at most `radius` bits apart agree in one segment up to
 that segment's share of the radius. Each fingerprint is entered in the table of each segment once and
-looks up the small Hamming ball around its segment; what it meets there is verified on all 64 bits.
+looks up the small Hamming ball around its segment; what it meets there is verified on all 64 bits. An entry
+that very many fingerprints share is split by further parts of them, one of which two linked ones share.
 Within a table entry only the edges of a spanning forest leave the task, so a dense group of n near
 copies gives at most n rows and never all pairs. Links become components by alternating large-star and
 small-star steps, which never gather a component in one place.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import aliased, mix, parts, restored, small, stored
 
 SHINGLE, RADIUS = 4, 4
+#: Fingerprints that enter one table entry before it is split.
+CROWDED = 100_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -189,6 +192,14 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = 3, limit: int =
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], names=["a", "b"])
 
     probes = fps.mapInArrow(probe, "k bigint, own boolean, " + ", ".join(f"`{c}` bigint" for c in words))
+    fp = F.col(words[0])
+    entered = F.array(*(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 56)) for i, (shift, width, _) in enumerate(plan)))
+    crowded = stored(fps.select(F.explode(entered).alias("k")).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("k", F.lit(True).alias("crowded")))
+    if not crowded.isEmpty():
+        # of radius + 1 parts of two linked fingerprints one is equal: a crowded entry is split by each part's value
+        edges = [64 * j // (radius + 1) for j in range(radius + 2)]
+        split = F.array(*(F.xxhash64("k", F.lit(j), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << b - a) - 1))) for j, (a, b) in enumerate(zip(edges, edges[1:]))))
+        probes = probes.join(small(crowded), "k", "left").select(F.explode(F.when(F.col("crowded"), split).otherwise(F.array("k"))).alias("k"), "own", *words)
     return probes.repartition("k").sortWithinPartitions("k").mapInArrow(verify, "a bigint, b bigint").distinct()
 
 

@@ -588,8 +588,9 @@ def test_simhash(spark):
     assert simhash.op7(docs(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("radius,parts", [(4, 3), (4, 2), (9, 5), (3, 4)])
-def test_multi_index_hashing_loses_no_link(spark, radius, parts):
+@pytest.mark.parametrize("radius,parts,crowded", [(4, 3, 100_000), (4, 2, 2), (4, 3, 2), (9, 5, 100_000), (3, 4, 1)])
+def test_multi_index_hashing_loses_no_link(spark, monkeypatch, radius, parts, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = random.Random(radius * 10 + parts)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = set(base)
