@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
@@ -372,6 +372,42 @@ def evaluation_rows(spark, d):
     return out.select("model_name", "seq", F.char_length("probe_text").cast("bigint").alias("n_text"), "code")
 
 
+@query(f"with {_FIRST} select model_name, family, 'rows/family=' || family || '/model=' || model_name as path, count(distinct probe_id) as n_probes, ord as bank_ord from f group by model_name, family, ord")
+def bank_index(spark, d):
+    path = tables.scratch(spark)
+    sinks.bank(observations.first_results(_obs(spark, d), "output_text", "family", "ord"), path)
+    return readers.bank_index(spark, f"{path}/index.json")
+
+
+@query("select source as model_name, 'target of ' || source as target_model from (select distinct source from documents where source is not null)")
+def truth_parse(spark, d):
+    """A line for each source, with a target and with none."""
+    n = F.row_number().over(Window.orderBy("source")) * 3  # a row per source
+    names = _table(spark, d, "documents").select("source").where("source is not null").distinct().withColumn("n", n)
+    lines = F.array(*(F.struct((F.col("n") + i).alias("n"), F.concat(*parts).alias("value")) for i, parts in enumerate(((F.lit("  "), F.col("source"), F.lit(":")), (F.lit("    - 'target of "), F.col("source"), F.lit("'")), (F.lit("    - none"),)))))
+    return readers.truth_lines(names.select(F.explode(lines).alias("x")).select("x.*"))
+
+
+@query("select distinct concat(lang, '_partial_', cast(doc_id as varchar)) as probe_id from documents where doc_id in (select doc_id from labels where quality = 0)")
+def exclude_list(spark, d):
+    """Ids written as one JSON list, as text and as objects, and read again."""
+    path = tables.scratch(spark)
+    ids = _excluded(spark, d).select(F.when(F.length("probe_id") % 2 == 0, F.to_json(F.struct(F.col("probe_id").alias("id")))).otherwise(F.concat(F.lit('"'), "probe_id", F.lit('"'))).alias("x"))
+    whole = ids.agg(F.concat(F.lit('{"blacklist": ['), F.concat_ws(", ", F.collect_list("x")), F.lit("]}")).alias("value"))  # a list is one text
+    whole.coalesce(1).write.text(path)
+    return readers.exclude_list(spark, path)
+
+
+@query(f"with {_O} select model_name, probe_id, output_text, count(*) as n from obs where seq % 7 <> 0 group by all")
+def lenient_log(spark, d):
+    """A log in which every seventh line is no object."""
+    path = tables.scratch(spark)
+    rows = _obs(spark, d)
+    line = F.when(F.col("seq") % 7 == 0, F.when(F.col("seq") % 2 == 0, F.lit("[1, 2]")).otherwise(F.concat(F.lit('{"probe_id": "'), "probe_id"))).otherwise(F.to_json(F.struct("model_name", "probe_id", "output_text")))
+    rows.select(line.alias("value")).write.text(path)
+    return readers.observations(spark, path, strict=False).groupBy("model_name", "probe_id", "output_text").agg(F.count("*").alias("n"))
+
+
 # ---- features --------------------------------------------------------------------------------------------
 
 
@@ -608,14 +644,27 @@ def lineage_representative(spark, d):
     return lineage.representatives(pairs, lineage.components(pairs, meta), meta)
 
 
-@query(f"""{_LIN}{_REP}, c as (select lineage, count(*) as members, string_agg(name, ',' order by name) as member_models from lin group by 1),
+_REGISTRY = f"""{_LIN}{_REP}, c as (select lineage, count(*) as members, string_agg(name, ',' order by name) as member_models from lin group by 1),
 r as (select rp.*, members, member_models, row_number() over (partition by family order by members desc, prio, preferred_rank, representative) as rn from rp join c using (lineage))
-select case when rn = 1 then lower(replace(family, ' ', '_')) || '__primary' else lower(replace(family, ' ', '_')) || '__variant_' || lpad((rn - 1)::varchar, 2, '0') end as baseline_id, family, case when rn = 1 then 'primary' else 'variant' end as kind, representative, members, member_models from r""")
+select case when rn = 1 then lower(replace(family, ' ', '_')) || '__primary' else lower(replace(family, ' ', '_')) || '__variant_' || lpad((rn - 1)::varchar, 2, '0') end as baseline_id, family, case when rn = 1 then 'primary' else 'variant' end as kind, representative, members, member_models from r"""
+
+
+@query(_REGISTRY)
 def baseline_registry(spark, d):
     pairs, meta = _tokenizer_pairs(spark, d)
     return lineage.registry(pairs, lineage.components(pairs, meta), meta)
 
 
+@query(_REGISTRY)
+def registry_report(spark, d):
+    """The registry as its report's JSON has it."""
+    path = tables.scratch(spark)
+    sinks.report({"baselines": baseline_registry(spark, d)}, path, "Tokenizer baselines")
+    rows = spark.read.text(f"{path}/report.json", wholetext=True)
+    kind = "baselines array<struct<baseline_id: string, family: string, kind: string, representative: string, members: bigint, member_models: string>>"
+    return rows.select(F.explode(F.from_json("value", kind)["baselines"]).alias("b")).select("b.*")
+
+
 @query("select text, count(*) as n from documents group by 1 having count(*) > 1")
 def manifest_duplicates(spark, d):
     return lineage.duplicates(_table(spark, d, "documents"), "text")
