@@ -130,13 +130,25 @@ class Entity(NamedTuple):
     text: str
 
 
+def _plausible(kind: str, text: str) -> bool:
+    """What a pattern can't tell: card numbers have an issuer's first digit and a right check digit, account numbers a right
+    checksum, national telephone numbers nine digits at least. Other long numbers are left alone."""
+    if kind == "card":
+        digits = re.sub(r"\D", "", text)
+        return digits[0] in "23456" and luhn(digits[:-1]) == int(digits[-1])
+    if kind == "iban":
+        flat = text.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    return kind != "phone" or text[0] not in "(0" or len(re.sub(r"\D", "", text)) >= 9
+
+
 def _spans(text: str):
     low, digit = text.lower(), _digit(text) is not None
     for rank, (kind, (hint, pattern)) in enumerate(PATTERNS.items()):
         if hint(text, low, digit):
             for m in pattern.finditer(text):
                 g = next((i for i in range(1, (m.re.groups or 0) + 1) if m[i] is not None and kind != "card"), 0)
-                if kind == "phone" and m[g][0] in "(0" and len(re.sub(r"\D", "", m[g])) < 9:
+                if not _plausible(kind, m[g]):
                     continue
                 yield m.start(g), -m.end(g), rank, SAME.get(kind, kind), m[g]
 

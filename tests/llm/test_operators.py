@@ -211,6 +211,8 @@ FORMS = {
     "call 030 1234567, SSN 123456789; 2001:db8::ff00:42:8329 at 12:30:45": ["030 1234567", "123456789", "2001:db8::ff00:42:8329"],
     "My name is Zofia Kowalska, born on 12.03.1985, living at 221 Baker Street": ["Zofia Kowalska", "12.03.1985", "221 Baker Street"],
     "date of birth: March 4, 1970, Hauptstraße 5, DOB: 1999-12-31": ["March 4, 1970", "Hauptstraße 5", "1999-12-31"],
+    "card 4111 1111 1111 1111 or 5500005555555559, account DE89 3704 0044 0532 0130 00": ["4111 1111 1111 1111", "5500005555555559", "DE89 3704 0044 0532 0130 00"],
+    "order 9807915762804490, part 0000000000000000, 4111 1111 1111 1112, AB12 3456 7890 1234 56": [],
     "std::vector a::b, version 1.2.3.4.5, in 1985-03-12 and 221 times": [],
 }
 
