@@ -306,7 +306,7 @@ def collect_to(path: str, prompts: DataFrame, options: Options, transport: Trans
     asked = asked.persist()
     first, total, told = None, asked.count(), 0
     while told < total:  # a job per wave, which bounds what an interruption loses
-        rest = asked if first is None else asked.where(F.struct("seq", "__nth") > F.struct(F.lit(first[0]), F.lit(first[1])))
+        rest = asked if first is None else asked.where((F.col("seq") > first[0]) | ((F.col("seq") == first[0]) & (F.col("__nth") > first[1])))
         batch = rest.orderBy("seq", "__nth").limit(wave).persist()
         last = batch.agg(F.max(F.struct("seq", "__nth")).alias("x")).first()["x"]
         n = batch.count()
