@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import small, stored
 
 SAMPLES, ID_BITS = 64, 20
-RANGES_PER_PARTITION, PER_RANGE = 4, 40
+RANGES_PER_PARTITION, PER_RANGE = 16, 40
 SPACE = r"[\x20\x09-\x0D]+"
 
 
