@@ -338,8 +338,8 @@ def similar_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     # most keys of a group of copies have the same centre: a node meets each centre once
     spokes = many.where("node <> centre").select("centre", "node").distinct()
     spokes = stored(spokes)
-    each = spokes.groupBy("centre").agg(F.count("*").alias("n"))
-    spokes = spokes.join(each, "centre").select("centre", "node", _blocks("node", F.col("n"), 1).alias("block"))
+    each = stored(spokes.groupBy("centre").agg(F.count("*").alias("n")))  # a row per centre of a frequent key
+    spokes = spokes.join(small(each), "centre").select("centre", "node", _blocks("node", F.col("n"), 1).alias("block"))
     bucket = F.xxhash64(F.lit("spokes"), "centre", "block").alias("bucket")
     spokes = spokes.select(bucket, "node").union(spokes.select("centre", "block").distinct().select(bucket, F.col("centre").alias("node")))
     edges = stored(_verified(buckets.union(spokes).distinct(), sets))
