@@ -18,6 +18,7 @@ repeated rows each get a row.
 from __future__ import annotations
 
 import itertools
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import aliased, mix, parts, restored, small, stored
+from spanforge.llm.common import aliased, give_back, mix, parts, restored, small, stored
 
 SHINGLE, RADIUS = 4, 4
 #: Fingerprints that enter one table entry before it is split.
@@ -236,13 +237,19 @@ def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int | N
 # ---- near copies by similarity, for filtering ----------------------------------------------------------
 
 #: Two documents are near copies if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more, read
-#: from the shingles' 64-bit hashes. Candidates agree in all five minima of one of 24 bands of a MinHash of the same
-#: sets, which a pair of similarity s misses with probability (1 - s^5)^24: 0.00007 at 0.8, less above.
-SIMILAR_SHINGLE, BANDS, BAND = 5, 24, 5
+#: from the shingles' 64-bit hashes. Candidates come from a SimHash of the same sets, as many words of 64 bits as its search
+#: needs. Two sets at 0.8 or more differ in a bit with probability FLIP at most, whatever their sizes, but for four shingles of
+#: which a fifth is added (FLIP_TINY): the exact maximum over all sizes up to 160, and 0.152 from there to 800. Multi-index
+#: hashing: tables of segments as wide as the number of documents asks for, so many of them that a pair agrees in none with
+#: probability MISS at most. What meets in an entry is compared on CHECK words of its own, of whose 128 bits at most CHECK_LIMIT
+#: may differ (a pair exceeds that with probability 2e-5 at FLIP, 9e-4 at FLIP_TINY). These links give components, and within each the
+#: sets themselves decide.
+SIMILAR_SHINGLE, MISS, FLIP, FLIP_TINY = 5, 1e-4, 0.162, 0.1875
+CHECK, CHECK_LIMIT = 2, 38
 #: Nodes that one task compares with each other.
 BLOCK = 128
 SIMILAR = (4, 5)  # as a fraction, so that no rounding decides
-_mixers = np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**64, size=(2, BANDS * BAND), dtype=np.uint64)
+_mixers = np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**64, size=(4096, 2), dtype=np.uint64).T
 
 
 def shingles(text: str | None, width: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -263,18 +270,88 @@ def set_node(kinds: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(kinds.tobytes()) - (1 << 63)
 
 
-def bands(kinds: np.ndarray) -> np.ndarray:
-    """Keys of the bands of a set of shingles."""
-    if not len(kinds):
-        return np.zeros(BANDS, dtype=np.int64)
-    least = np.full(BANDS * BAND, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(kinds), 1 << 10):
-        x = mix((kinds[i : i + (1 << 10), None] ^ _mixers[0]) * (_mixers[1] | np.uint64(1)))
-        least = np.minimum(least, x.min(axis=0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(BAND):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ least[j::BAND])
-    return key.view(np.int64)
+def segment_tables(n: int) -> tuple[int, int, int]:
+    """(width, tables, tables of sets of four or five shingles) for n documents: up to 512 unrelated ones in an entry."""
+    width = 12 + 4 * max(0, -(-(n.bit_length() - 21) // 4))
+    return width, *(ceil(log(MISS) / log1p(-((1 - flip) ** width))) for flip in (FLIP, FLIP_TINY))
+
+
+def signature(kinds: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of shingles: a bit is 1 if set in over half of the shingles' hashes."""
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for i in range(0, len(kinds), 255):  # whose sums fit a byte
+        h = mix((kinds[i : i + 255, None] ^ _mixers[0, :words]) * (_mixers[1, :words] | np.uint64(1)))
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(kinds)).view(np.int64)
+
+
+def segment_keys(sig: str, width: int, tables: int) -> Column:
+    """The entries of a signature, one in each table."""
+    each = 64 // width
+    word = lambda i: F.get(sig, F.lit(CHECK + i // each))
+    return F.array(*(F.shiftrightunsigned(word(i), i % each * width).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 40)) for i in range(tables)))
+
+
+def _alike(rows: np.ndarray) -> np.ndarray:
+    """Pairs (indices) of rows of CHECK words that differ in CHECK_LIMIT bits or fewer; of many rows, a spanning forest of them."""
+    if len(rows) <= 64:
+        far = np.bitwise_count(rows[:, None] ^ rows[None, :]).sum(axis=2, dtype=np.uint8)
+        return np.argwhere(np.triu(far <= CHECK_LIMIT, 1))
+    blank = np.zeros((len(rows), 1), dtype=np.uint64)  # no bound on the first word alone
+    return np.array(_forest(np.hstack([blank, rows]), np.ones(len(rows), bool), 64, CHECK_LIMIT), dtype=np.int64).reshape(-1, 2)
+
+
+def alike_links(nodes: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) between numbers (node()) of CHECK words, whose components are those of all pairs that meet in an entry of a table
+    and differ in CHECK_LIMIT bits or fewer of these words. nodes: (sig, tiny); n: about their number.
+
+    An entry that over CROWDED nodes share, judged by a sixteenth of them, is dealt into blocks, each pair of which is one entry."""
+    width, tables, more = segment_tables(n)
+    keys = F.when(F.col("tiny"), segment_keys("sig", width, more)).otherwise(segment_keys("sig", width, tables))
+    words = [f"c{i}" for i in range(CHECK)]
+    keyed = nodes.select(*(F.get("sig", F.lit(i)).alias(c) for i, c in enumerate(words)), F.explode(keys).alias("k"))
+
+    def group(k, rows):
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        size, out = np.diff(cut), []
+        member = np.repeat((size > 1) & (size <= 64), size)
+        for step in range(1, 64):  # few members: compare each with the next ones of its entry, all entries at once
+            at = np.flatnonzero(member[:-step] & (k[step:] == k[:-step]))
+            if not len(at):
+                break
+            at = at[np.bitwise_count(rows[at] ^ rows[at + step]).sum(axis=1, dtype=np.uint8) <= CHECK_LIMIT]
+            out.append(np.stack([at, at + step], axis=1))
+        out += [_alike(rows[x : x + m]) + x for x, m in zip(cut[:-1][size > 64].tolist(), size[size > 64].tolist())]
+        at = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+        e = np.stack([node(rows[at[:, 0]]), node(rows[at[:, 1]])], axis=1).view(np.int64)
+        e = np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(2)], names=["a", "b"])
+
+    def meet(batches):
+        rest = None
+        for b in batches:
+            part = [b.column(0).to_numpy(), np.stack([b.column(i + 1).to_numpy().view(np.uint64) for i in range(CHECK)], axis=1)]
+            if rest is not None:
+                part = [np.concatenate(x) for x in zip(rest, part)]
+            if not len(part[0]):
+                continue
+            cut = int(np.searchsorted(part[0], part[0][-1]))
+            rest = [x[cut:] for x in part]
+            if cut:
+                yield group(*(x[:cut] for x in part))
+        if rest is not None:
+            yield group(*rest)
+        give_back()
+
+    if n > CROWDED:
+        some = keyed.where(F.pmod(F.xxhash64(*words), F.lit(16)) == 0).groupBy("k").agg((16 * F.count("*")).alias("n"))
+        crowded = stored(some.where(F.col("n") > CROWDED).select("k", F.ceil(2 * F.col("n") / CROWDED).cast("int").alias("blocks")))
+        if not crowded.isEmpty():
+            keyed = keyed.join(small(crowded), "k", "left").withColumn("x", F.pmod(F.xxhash64(F.lit(4), *words), F.col("blocks")))
+            pair = lambda y: F.xxhash64("k", F.least("x", y.cast("bigint")), F.greatest("x", y.cast("bigint")))
+            split = F.when(F.col("blocks").isNull(), F.array("k")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
+            keyed = keyed.select(*words, F.explode(split).alias("k"))
+    return keyed.select("k", *words).repartition("k").sortWithinPartitions("k").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -324,8 +401,8 @@ def similar_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) whose components equal those of all pairs with a common key and a similarity of SIMILAR or more.
     entries: (k, node), distinct; sets: (node, kinds) of the nodes that share a key with another.
 
-    Keys of few nodes are buckets. The nodes of a frequent key are dealt into blocks, each with the key's least node, the
-    centre: a group of copies is joined by its links to the centre, whatever its size. Where that leaves a frequent key's nodes in
+    Keys of few nodes are buckets. The nodes of a frequent key are dealt into blocks, each with the key's least node and about
+    BLOCK / 2 others, the hubs: a group of copies is joined by its links to the hubs, whatever its size. Where that leaves a frequent key's nodes in
     several components, the nodes outside the largest one meet all the others, block by block."""
     counts = stored(entries.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"))
     frequent = stored(counts.where(F.col("n") > BLOCK))
@@ -335,16 +412,14 @@ def similar_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     if frequent.isEmpty():
         return stored(_verified(buckets, sets))
     many = stored(entries.join(small(frequent), "k"))
-    # most keys of a group of copies have the same centre: a node meets each centre once
-    spokes = many.where("node <> centre").select("centre", "node").distinct()
-    spokes = stored(spokes)
-    each = stored(spokes.groupBy("centre").agg(F.count("*").alias("n")))  # a row per centre of a frequent key
-    spokes = spokes.join(small(each), "centre").select("centre", "node", _blocks("node", F.col("n"), 1).alias("block"))
-    bucket = F.xxhash64(F.lit("spokes"), "centre", "block").alias("bucket")
-    spokes = spokes.select(bucket, "node").union(spokes.select("centre", "block").distinct().select(bucket, F.col("centre").alias("node")))
+    of = F.greatest(F.lit(1), F.floor(F.col("n") / max(1, BLOCK // 2)))
+    hubs = many.where((F.col("node") == F.col("centre")) | (F.pmod(F.xxhash64(F.lit(4), "node"), of) == 0))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("bigint") - 1))
+    spokes = many.select("k", "node", _blocks("node", F.col("n"), 1).alias("block")).union(hubs.select("k", "node", every.alias("block")))
+    spokes = spokes.select(F.xxhash64(F.lit("spokes"), "k", "block").alias("bucket"), "node")
     edges = stored(_verified(buckets.union(spokes).distinct(), sets))
 
-    # what the centres didn't join
+    # what the hubs didn't join
     roots = components(edges).select(F.col("node").alias("of"), "root")
     placed = stored(many.join(roots, many["node"] == F.col("of"), "left").select("k", "n", "node", F.coalesce("root", "node").alias("root")))
     parts = stored(placed.groupBy("k", "root").agg(F.count("*").alias("size")))
@@ -364,13 +439,19 @@ def similar_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame) -> DataFrame:
     """(node, least, component): a row for each distinct set of shingles, with the least (doc_id, th) that has it, th a hash of
     the text, among documents with an id, and the least node reachable. Equal sets are one row before anything is joined."""
+    n = docs.count()
+    width, *tables = segment_tables(n)
+    words, most = (CHECK + ceil(x / (64 // width)) for x in tables)
 
     def run(batches):
         for b in parts(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             ids = np.array([set_node(x) for x in sets], dtype=np.int64)
-            keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids), keys], names=["doc_id", "th", "node", "keys"])
+            sigs = [signature(x, most if len(x) in (4, 5) else words) if len(x) else None for x in sets]
+            fps = node(np.stack([np.zeros(CHECK, np.int64) if x is None else x[:CHECK] for x in sigs]).view(np.uint64)).view(np.int64) if sigs else ids
+            tiny = pa.array([len(x) in (4, 5) for x in sets], pa.bool_())
+            rows = [b.column("doc_id"), b.column("th"), pa.array(ids), pa.array(sigs, pa.list_(pa.int64())), pa.array(fps), tiny]
+            yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "th", "node", "sig", "fp", "tiny"])
 
     def hashed(batches):
         for b in parts(batches):
@@ -378,10 +459,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "kinds"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th bigint, node bigint, keys array<bigint>")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th bigint, node bigint, sig array<bigint>, fp bigint, tiny boolean")
     text = F.struct("doc_id", "th")
-    nodes = stored(marked.groupBy("node").agg(F.min("keys").alias("keys"), F.min(text).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), text)).alias("least")))
-    entries = nodes.select("node", F.explode("keys").alias("k"))
+    nodes = stored(marked.groupBy("node").agg(F.min("sig").alias("sig"), F.min("fp").alias("fp"), F.min("tiny").alias("tiny"), F.min(text).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), text)).alias("least")))
+    # a component of alike fingerprints is one key
+    some = nodes.where("sig is not null")
+    alike = stored(components(alike_links(some.select("sig", "tiny"), n))).select(F.col("node").alias("of"), "root")
+    entries = stored(some.join(alike, some["fp"] == F.col("of"), "left").select("node", F.coalesce("root", "fp").alias("k")))
     shared = entries.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     entries = stored(entries.join(shared, "k", "left_semi"))
     # one text of each node that shares a key

@@ -734,6 +734,54 @@ def test_deduplicate_finds_appended_and_cut_copies(spark):
     got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
     assert got == set(low.values()) and len(got) < 80
 
+
+@pytest.mark.parametrize("crowded", [100_000, 40])
+def test_near_copies_are_searched_by_simhash(spark, monkeypatch, crowded):
+    """The search against plain integers: votes of the shingles' hashes, segments, and pairs that meet in one and are alike on CHECK."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rng = random.Random(21)
+    words = lambda n: ["w%d" % rng.randrange(4000) for _ in range(n)]
+    texts = []
+    for size in (8, 8, 30, 30, 300, 300):
+        base = words(size)
+        texts += [base, base + words(1), base + words(size // 8), base + words(size), *(base + words(2) for _ in range(20))]
+    sets = [simhash.shingles(" ".join(t)) for t in texts]
+    width, tables, more = simhash.segment_tables(len(texts))
+    each, all_words = 64 // width, simhash.CHECK + -(-more // (64 // width))
+    sigs, entries = [], {}
+    for i, x in enumerate(sets):
+        bits = []
+        for a, b in simhash._mixers.T[:all_words].tolist():
+            h = common.mix((x ^ np.uint64(a)) * np.uint64(b | 1)).tolist()
+            bits.append(sum((sum(v >> k & 1 for v in h) * 2 > len(h)) << k for k in range(64)))
+        assert simhash.signature(x, all_words).view(np.uint64).tolist() == bits
+        sigs.append(bits)
+        for t in range(more if len(x) in (4, 5) else tables):
+            entries.setdefault((t, bits[simhash.CHECK + t // each] >> t % each * width & (1 << width) - 1), []).append(i)
+    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(sigs[i][: simhash.CHECK], sigs[j][: simhash.CHECK]))
+    met = {(i, j) for e in entries.values() for i in e for j in e if i == j or far(i, j) <= simhash.CHECK_LIMIT}
+    want = components_by_force(range(len(texts)), lambda i, j: (i, j) in met)
+    rows = [(simhash.signature(x, all_words).tolist(), len(x) in (4, 5)) for x in sets]
+    edges = simhash.alike_links(spark.createDataFrame(rows, "sig array<bigint>, tiny boolean"), len(texts)).collect()
+    names = simhash.node(np.array([s[: simhash.CHECK] for s in sigs], dtype=np.uint64)).view(np.int64).tolist()
+    linked = {(r.a, r.b) for r in edges} | {(r.b, r.a) for r in edges}
+    got = components_by_force(range(len(texts)), lambda i, j: names[i] == names[j] or (names[i], names[j]) in linked)
+    assert got == want and 6 <= len(set(want.values())) < len(texts)
+    assert all(want[i] == want[j] for i in range(len(texts)) for j in range(i) if similarity_by_force(" ".join(texts[i]), " ".join(texts[j])) >= 0.8)
+
+
+def test_simhash_tables_bound_what_is_missed():
+    rng = np.random.default_rng(4)
+    assert all((1 - (1 - f) ** w) ** t <= simhash.MISS for n in (1, 10**4, 10**7, 10**9) for w, *ts in [simhash.segment_tables(n)] for f, t in zip((simhash.FLIP, simhash.FLIP_TINY), ts))
+    for c, a, b, most in ((4, 0, 1, simhash.FLIP_TINY), (8, 1, 1, simhash.FLIP), (12, 1, 2, simhash.FLIP), (80, 0, 20, simhash.FLIP), (400, 50, 50, simhash.FLIP)):
+        both, flips = rng.integers(0, 2**63, size=(60, c + a + b), dtype=np.uint64), 0
+        for x in both:
+            u, v = (simhash.signature(np.concatenate([x[:c], y]), 32).view(np.uint64) for y in (x[c : c + a], x[c + a :]))
+            flips += int(np.bitwise_count(u ^ v).sum())
+        assert flips / (60 * 2048) < most + 0.004
+    unlike = np.repeat(np.arange(3, dtype=np.uint64) * np.uint64(0x5555555555555555), 700)[:, None].repeat(2, axis=1)
+    assert len(simhash._alike(unlike)) == 3 * 699
+
 # ---- 8 ------------------------------------------------------------------------------------------------
 
 
