@@ -2,11 +2,11 @@
 
 A document is a set of words weighted by their counts. For each of `SAMPLES` hash functions k every
 weighted word (w, S) draws, from hashes of (w, k), r and c from Gamma(2, 1) and b uniform, and gets
-t = floor(ln S / r + b) and ln a = ln c - r (t - b) - r; the sample is the (w, t) with the least a. Two documents
+t = floor(ln S / r + b) and a = c exp(-r (t - b + 1)); the sample is the (w, t) with the least a. Two documents
 have the same sample with the probability sum(min(S, S')) / sum(max(S, S')), the generalised Jaccard
 similarity, so the share of equal samples estimates it. The fingerprint holds 20 bits of each sample.
 
-ln a and the sample's 20 bits are packed in one long, so that a sample is a plain min() over longs and
+a, scaled to 43 bits, and the sample's 20 bits are packed in one long, so that a sample is a plain min() over longs and
 all samples of a document are one hash aggregation in generated code, without sorting and without lambdas.
 
 Each document's text is compared with an edited one that needs the next document's text, and with the
@@ -25,6 +25,7 @@ white space, unchanged; doc_id may be of any type that has an order; texts are r
 
 from __future__ import annotations
 
+from hashlib import sha256
 from math import isqrt, log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,9 @@ from spanforge.llm.common import small, stored
 
 SAMPLES, ID_BITS = 64, 20
 RANGES_PER_PARTITION, PER_RANGE = 16, 40
+#: a is below 48 and scaled to 43 bits.
+SCALE = 37
+SEEDS = [[int.from_bytes(sha256(b"%d %d" % (k, i)).digest()[:8], "little", signed=True) for i in range(5)] for k in range(4 * SAMPLES)]
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -85,18 +89,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.select("pid", F.row_number().over(order).alias("rid"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
-def sample(term: Column, ln_weight: Column, k: int) -> Column:
-    """ln a of sample k, scaled, above ID_BITS bits that name (term, t)."""
-    draw = lambda h, at, bits: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)
-    h1, h2 = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    # -ln(u v) for uniform u and v, whose common scale stays outside the logarithm
-    r = F.lit(42 * log(2)) - F.log(draw(h1, 0, 21) * draw(h1, 21, 21))
-    ln_c = F.log(F.lit(64 * log(2)) - F.log(draw(h2, 0, 32) * draw(h2, 32, 32)))
-    b = draw(h1, 42, 22) * F.lit(2.0**-22)
-    t = F.floor(ln_weight / r + b)
-    # h1 names the term, and t is a number of the order of ln_weight / r
-    name = h1.bitwiseXOR(t * 513).bitwiseAND(F.lit((1 << ID_BITS) - 1))
-    return F.shiftleft(F.floor((ln_c - r * (t - b + 1)) * F.lit(2.0**32)), ID_BITS).bitwiseOR(name)
+def sample(term: Column, weight: Column, k: int) -> Column:
+    """a of sample k, scaled, above ID_BITS bits that name (term, t)."""
+    # each hash stands once outside the conditions, as Spark's elimination of common subexpressions costs more than it saves here
+    h = [F.xxhash64(term.bitwiseXOR(F.lit(x))) for x in SEEDS[k]]
+    u, v, c1, c2 = ((F.shiftrightunsigned(x, 32) + F.lit(0.5)) * F.lit(2.0**-32) for x in h[:4])
+    # r = -ln u - ln v and b = -ln u / r are independent, Gamma(2, 1) and uniform; so a = c exp(-r (t - b + 1)) = c v exp(-r t),
+    # and t is 0 for a word that stands once
+    r = F.lit(0.0) - F.log(u * v)
+    t = F.floor((F.log(weight) - F.log(u)) / r)
+    once = weight == 1
+    a = (F.lit(0.0) - F.log(c1 * c2)) * v * F.when(once, F.lit(1.0)).otherwise(F.exp(F.lit(0.0) - r * t))
+    name = h[4].bitwiseXOR(F.when(once, F.lit(0).cast("bigint")).otherwise(t * 513))
+    return F.shiftleft(F.floor(a * F.lit(2.0**SCALE)), ID_BITS).bitwiseOR(name.bitwiseAND(F.lit((1 << ID_BITS) - 1)))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -124,8 +129,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     each = F.when(F.col("w1") == F.col("w2"), F.array(F.struct(F.lit(0).alias("side"), F.col("w1").alias("w")))).otherwise(
         F.array(F.struct(F.lit(1).alias("side"), F.col("w1").alias("w")), F.struct(F.lit(2).alias("side"), F.col("w2").alias("w")))
     )
-    weighted = counts.select("pid", "rid", "term", F.explode(each).alias("x")).select("pid", "rid", "term", "x.side", F.log("x.w").alias("ln_w")).where("x.w > 0")
-    least = weighted.groupBy("pid", "rid", "side").agg(*(F.min(sample(F.col("term"), F.col("ln_w"), k)).alias(f"m{k}") for k in range(samples)))
+    weighted = counts.select("pid", "rid", "term", F.explode(each).alias("x")).select("pid", "rid", "term", "x.side", F.col("x.w").cast("double").alias("w")).where("x.w > 0")
+    least = weighted.groupBy("pid", "rid", "side").agg(*(F.min(sample(F.col("term"), F.col("w"), k)).alias(f"m{k}") for k in range(samples)))
     of = lambda k, other: F.min(F.when(F.col("side") != other, F.col(f"m{k}")))
     merged = least.groupBy("pid", "rid").agg(*(of(k, 2).alias(f"a{k}") for k in range(samples)), *(of(k, 1).alias(f"b{k}") for k in range(samples)))
     name = lambda c: F.col(c).bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")

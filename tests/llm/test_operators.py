@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -409,6 +410,23 @@ def test_weighted_sampling(spark):
     assert weighted_minhash.op5(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_sample_is_consistent_weighted_sampling(spark):
+    """Against the method's own formulas: r, b and c drawn, t = floor(ln S / r + b), a = c exp(-r (t - b + 1))."""
+    rng = random.Random(3)
+    rows = [(rng.getrandbits(63), float(w)) for w in (1, 1, 1, 2, 2, 3, 5, 8, 40, 1000) for _ in range(30)]
+    table = spark.createDataFrame(rows, "term bigint, w double")
+    hashes = [F.xxhash64(F.col("term").bitwiseXOR(F.lit(x))).alias(f"h{i}") for i, x in enumerate(weighted_minhash.SEEDS[7])]
+    late = 0
+    for r in table.select("w", *hashes, weighted_minhash.sample(F.col("term"), F.col("w"), 7).alias("got")).collect():
+        u, v, c1, c2 = (((x % 2**64 >> 32) + 0.5) / 2**32 for x in (r.h0, r.h1, r.h2, r.h3))
+        gamma, b, c = -math.log(u * v), math.log(u) / math.log(u * v), -math.log(c1 * c2)
+        t = math.floor(math.log(r.w) / gamma + b)
+        a = c * math.exp(-gamma * (t - b + 1))
+        assert abs((r.got >> 20) / 2**37 - a) < 1e-9 and r.got % 2**20 == (r.h4 ^ t * 513) % 2**20
+        late += t > 0
+    assert 50 < late < 210
+
+
 def test_weighted_sampling_edges(spark):
     one = weighted_minhash.op5(docs(spark, ["lone text here"])).first()
     assert one.near_next == 1.0
