@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import itertools
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 #: Bytes of a small side that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: Tables after which the driver gives memory back.
+SETTLE = 4
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,12 +60,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_tables = itertools.count(1)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """Return memory that the driver's JVM has freed outside its heap to the system: jcmd's System.trim_native_heap."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    args = new(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # by reflection: the server's own class isn't public
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
+def settle(spark: SparkSession) -> None:
+    """Return what the driver's JVM has freed to the system. The plans of many small tables leave garbage, for which the heap
+    grows, and freed memory outside it, neither of which goes back by itself."""
+    spark.sparkContext._jvm.System.gc()
+    try:
+        trim_jvm(spark)
+    except Exception:  # a JVM without this command
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and return a scan of it: lineage ends here, and a lost
     executor costs only its own tasks. The table is removed when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_tables) % SETTLE == 0:
+        settle(spark)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,8 @@ The terms of the index are pairs of neighbouring words (a single word where a wi
 posting is (term, document, position). Postings of terms that occur in the benchmark are stored as a
 table in the shared folder. A window of `width` benchmark words is looked up by non-overlapping pairs
 that cover it: the postings of its rarest pair, minus the pair's offset in the window, are candidate
-starts; they are intersected with the offset-adjusted postings of the next rarer pair, and so on. What
+starts; they are intersected with the offset-adjusted postings of the next rarer pair, and so on. A window of fewer
+pairs than others meets its rarest one again, so that all go through one chain of joins. What
 survives all lists is an exact occurrence of the phrase, since the pairs cover all its words. Proximity search
 relaxes the offsets: documents that hold the rarest pair are looked up in the lists of the window's other pairs, and
 match where all stand within a stated span, in any order.
@@ -87,7 +88,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 class Index(NamedTuple):
     """Postings (term, doc_id, th, pos) of the terms of some windows, and how to look the windows up: (wid, size, term, at, more),
-    the rarest term first and the others by rarity. Windows with a term that never occurs are left out."""
+    the rarest term first and `most` - 1 others by rarity, filled up with the rarest one. Windows with a term that never occurs are left out."""
 
     postings: DataFrame
     lists: DataFrame
@@ -104,9 +105,12 @@ def index_of(docs: DataFrame, windows: DataFrame) -> Index:
     ranked = lists.select("wid", "size", "at", "term", F.coalesce("freq", F.lit(0)).alias("freq"))
     ranked = ranked.withColumn("rank", F.row_number().over(by_rarity)).withColumn("least", F.min("freq").over(Window.partitionBy("wid")))
     ranked = stored(ranked.where("least > 0").select("wid", "size", "at", "term", "rank").coalesce(FEW))
+    most = plan.groupBy("wid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     rest = ranked.groupBy("wid", "size").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "at"))).alias("lists"))
-    rest = stored(rest.select("wid", "size", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["at"].alias("at"), F.expr("slice(lists, 2, size(lists))").alias("more")).coalesce(FEW))
-    return Index(index, rest, plan.groupBy("wid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    rarest = F.get("lists", F.lit(0))
+    more = F.concat(F.slice("lists", 2, F.size("lists")), F.array_repeat(rarest, F.lit(most) - F.size("lists")))
+    rest = stored(rest.select("wid", "size", rarest["term"].alias("term"), rarest["at"].alias("at"), more.alias("more")).coalesce(FEW))
+    return Index(index, rest, most)
 
 
 def find(index: Index) -> DataFrame:
@@ -115,10 +119,9 @@ def find(index: Index) -> DataFrame:
     held = index.postings.select(F.col("term").alias("x_term"), F.col("doc_id").alias("x_id"), F.col("th").alias("x_th"), F.col("pos").alias("x_pos"))
     for i in range(index.most - 1):
         need = F.get("more", F.lit(i))
-        done = found.where(F.size("more") <= i)
-        open_ = found.where(F.size("more") > i).withColumns({"n_term": need["term"], "n_pos": F.col("start") + need["at"]})
+        open_ = found.withColumns({"n_term": need["term"], "n_pos": F.col("start") + need["at"]})
         hit = open_.join(held, (F.col("n_term") == F.col("x_term")) & (F.col("th") == F.col("x_th")) & (F.col("n_pos") == F.col("x_pos")) & F.col("doc_id").eqNullSafe(F.col("x_id")), "left_semi")
-        found = hit.select(*found.columns).union(done)
+        found = hit.select(*found.columns)
     return found.select("doc_id", "th", "wid", "start", "size").distinct()
 
 

@@ -941,6 +941,30 @@ def test_decontamination_random(spark):
     assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows] == contamination_by_force(texts, items)
 
 
+def test_search_plan_has_one_join_for_each_list(spark):
+    rng = random.Random(29)
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))) for i in range(20)]
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 80))) for _ in range(30)] + [items[0][1], items[1][1]]
+    table, items_ = docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    index = decontaminate.index_of(table, decontaminate.windows_of(items_, 12))
+    plan = decontaminate.find(index)._jdf.queryExecution().optimizedPlan().toString()
+    assert index.most == 6 and plan.count("Join LeftSemi") == 5 and "Union" not in plan
+    rows = decontaminate.contamination(table, items_, 12).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows] == [(n, hit, of, bad) for n, hit, of, _, bad in contamination_by_force(texts, items, 12)]
+
+
+def test_the_driver_gives_memory_back(spark):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    held = [jvm.java.util.BitSet(2**31 - 1) for _ in range(4)]  # 1 GB
+    before = jvm.java.lang.Runtime.getRuntime().totalMemory()
+    for x in held:
+        gateway.detach(x)
+    for _ in range(common.SETTLE):
+        common.stored(spark.range(1))
+    assert "Trim" in common.trim_jvm(spark)
+    assert jvm.java.lang.Runtime.getRuntime().totalMemory() < before - (400 << 20)
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "red fox jumps high")], "item_id bigint, text string")
     table = docs(spark, ["jumps high over the red fox", "red fox " + "x " * 30 + "jumps high", "red fox only"])
