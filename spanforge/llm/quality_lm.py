@@ -24,6 +24,7 @@ through filter_quality() and are ignored otherwise; an empty table gives no rows
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 from typing import NamedTuple
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import aliased, chunks, give_back, restored, small, stored, text_buffer
+from spanforge.llm.common import aliased, chunks, give_back, parts, restored, small, stored, text_buffer
 
 ORDER = 5
 PRIOR, QUANTILE, SLACK = 200, 0.995, 1.02
@@ -202,22 +203,23 @@ def log_probs(tables, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: Model, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs, which has __fold, with __n (bytes) and __nll (their summed negative log probability under the
-    other fold's model, or the only one there is)."""
-    if sum(t.count() for t in [*model.probs, *model.backs]) > most_rows:
-        return _score_sharded(docs, model)
+def score(docs: DataFrame, model: Model, most_rows: int = BROADCAST_ROWS, text: bool = True) -> DataFrame:
+    """docs (without text unless asked), which has __fold, with __n (bytes) and __nll (their summed negative log probability
+    under the other fold's model, or the only one there is)."""
+    kept = [f for f in docs.schema if text or f.name != "text"]
+    if reduce(DataFrame.union, (t.select("fold") for t in [*model.probs, *model.backs])).count() > most_rows:
+        return _score_sharded(docs, model).select(*(f.name for f in kept), "__n", "__nll")
     arrays = [[], []]
     for p, b in zip(model.probs, model.backs):
         pair = [(x.column(0).to_numpy(), x.column(1).to_numpy().astype(np.int64).view(np.uint64), x.column(2).to_numpy()) for x in (p.toArrow(), b.toArrow())]
         for fold in (0, 1):
             arrays[fold].append([(keys[of == fold], values[of == fold]) for of, keys, values in pair])
     arrays = [x if len(x[0][0][0]) else y for x, y in zip(arrays, arrays[::-1])]
-    shared, order = docs.sparkSession.sparkContext.broadcast(arrays), model.order
+    shared, order, names = docs.sparkSession.sparkContext.broadcast(arrays), model.order, [f.name for f in kept]
 
     def run(batches):
         tables = [[(Table(*p), Table(*b)) for p, b in fold] for fold in shared.value]
-        for b in batches:
+        for b in parts(batches):
             n, nll, fold = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), b.column("__fold").to_numpy()
             for first, keys, off in grams(b.column("text"), order):
                 last = first + len(off) - 1
@@ -226,11 +228,11 @@ def score(docs: DataFrame, model: Model, most_rows: int = BROADCAST_ROWS) -> Dat
                 for f in (0, 1):
                     lp[of == f] = log_probs(tables[1 - f], keys[of == f])
                 n[first:last], nll[first:last] = np.diff(off), -np.diff(np.concatenate([[0], np.cumsum(lp)])[off])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(nll / (1 << POINT))], names=[*b.schema.names, "__n", "__nll"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n), pa.array(nll / (1 << POINT))], names=[*names, "__n", "__nll"])
         del tables
         give_back()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.mapInArrow(run, f"{schema}, __n bigint, __nll double")
 
 
@@ -274,8 +276,7 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, prior: float
     docs = with_fold(docs)
     model = train(docs.join(named, docs["doc_id"] == F.col("__id"), "left_semi"), order)
     marked = docs.join(named, docs["doc_id"] == F.col("__id"), "left").withColumn("__good", F.col("__id").isNotNull()).drop("__id")
-    marked = score(marked, model, most_rows).withColumn("__lang", F.coalesce("lang", F.lit("")))
-    marked = stored(marked if text else marked.drop("text"))
+    marked = stored(score(marked, model, most_rows, text).withColumn("__lang", F.coalesce("lang", F.lit(""))))
     good = marked.where("__good and __n > 0")
     mean = good.groupBy("__lang").agg((F.sum("__nll") / F.sum("__n")).alias("mu"))
     every = good.agg((F.sum("__nll") / F.sum("__n")).alias("mu")).first()["mu"]

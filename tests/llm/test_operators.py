@@ -486,6 +486,16 @@ def test_sharded_scores_are_the_same(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("most_rows", [10**9, 0])
+def test_scoring_returns_no_text_unless_asked(spark, most_rows):
+    table, labels = quality_tables(spark)
+    marked = quality_lm.with_fold(table)
+    model = quality_lm.train(marked.where("doc_id < 60"))
+    a, b = (quality_lm.score(marked, model, most_rows, text) for text in (True, False))
+    assert a.columns == [*marked.columns, "__n", "__nll"] and b.columns == [c for c in a.columns if c != "text"]
+    assert a.drop("text").exceptAll(b).isEmpty() and b.exceptAll(a.drop("text")).isEmpty()
+
+
 def kneser_ney_by_force(texts, order):
     """log p of every n-gram by the textbook: counts at the highest order, kinds of left neighbours below it, one discount
     each for counts of 1, 2 and more, interpolated down to 1/256."""
