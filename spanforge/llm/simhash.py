@@ -246,8 +246,8 @@ def near_dup_components(docs: DataFrame, radius: int = RADIUS, segments: int | N
 #: sets themselves decide.
 SIMILAR_SHINGLE, MISS, FLIP, FLIP_TINY = 5, 1e-4, 0.162, 0.1875
 CHECK, CHECK_LIMIT = 2, 38
-#: Nodes that one task compares with each other.
-BLOCK = 128
+#: Nodes that one task compares with each other, and the shingles that these may have.
+BLOCK, VOLUME = 4096, 1 << 20
 SIMILAR = (4, 5)  # as a fraction, so that no rounding decides
 _mixers = np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**64, size=(4096, 2), dtype=np.uint64).T
 
@@ -354,27 +354,56 @@ def alike_links(nodes: DataFrame, n: int) -> DataFrame:
     return keyed.select("k", *words).repartition("k").sortWithinPartitions("k").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share (indices i < j; the rest has no meaning). Shingles of many sets by products of
+    matrices, those of few by their pairs of sets, those of one not at all."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), dtype=np.float32 if max(map(len, sets)) < 1 << 24 else np.float64)  # whole numbers, exactly
+    many = df * 32 > n
+    many &= df > 1
+    place = np.cumsum(many) - 1
+    for first in range(0, int(many.sum()), 1024):
+        some = np.flatnonzero(many[at] & (place[at] >= first) & (place[at] < first + 1024))
+        part = np.zeros((n, min(1024, int(many.sum()) - first)), dtype=out.dtype)
+        part[row[some], place[at[some]] - first] = 1
+        out += part @ part.T
+    few = np.flatnonzero(((df > 1) & ~many)[at])
+    few = few[np.lexsort((row[few], at[few], df[at[few]]))]
+    for m in np.unique(df[at[few]]).tolist():
+        holders = row[few[df[at[few]] == m]].reshape(-1, m)
+        i, j = np.triu_indices(m, 1)
+        step = max(1, (1 << 20) // len(i))
+        for first in range(0, len(holders), step):
+            some = holders[first : first + step]
+            np.add.at(out.reshape(-1), (some[:, i] * n + some[:, j]).ravel(), 1)
+    return out
+
+
 def _similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges (indices) of a spanning forest of all pairs with a similarity of SIMILAR or more: a breadth-first search
-    that compares a visited set only with those not yet visited."""
+    """Edges (indices) of a spanning forest of all pairs with a similarity of SIMILAR or more."""
     top, bottom = SIMILAR
-    size = np.array([len(x) for x in sets], dtype=np.int64)
-    edges, left = [], np.arange(len(sets))
-    while len(left) > 1:
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
+    n, size = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    if n < 2:
+        return []
+    both, near = _overlaps(sets), np.zeros((n, n), dtype=bool)
+    for i in range(0, n, 256):  # shared / (sum - shared) >= top / bottom
+        least = -(-top * (size[i : i + 256, None] + size[None, :]) // (top + bottom))
+        near[i : i + 256] = np.triu(both[i : i + 256] >= np.maximum(least, 1), i + 1)
+    del both
+    near |= near.T
+    edges, left = [], np.ones(n, dtype=bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        front, left[start] = [start], False
+        while front:
             x = front.pop()
-            fit = (np.minimum(size[left], size[x]) * bottom >= np.maximum(size[left], size[x]) * top) & (size[left] > 0)
-            some = left[fit] if size[x] else left[:0]
-            if not len(some):
-                continue
-            y = np.concatenate([sets[i] for i in some])
-            at = np.minimum(np.searchsorted(sets[x], y), size[x] - 1)
-            both = np.add.reduceat((sets[x][at] == y).astype(np.int64), np.cumsum(size[some]) - size[some])
-            found = some[both * bottom >= (size[some] + size[x] - both) * top]
-            edges += [(x, int(i)) for i in found]
+            found = np.flatnonzero(near[x] & left)
+            left[found] = False
+            edges += [(x, int(y)) for y in found]
             front += found.tolist()
-            left = np.setdiff1d(left, found, assume_unique=True)
     return edges
 
 
@@ -392,47 +421,102 @@ def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets, "node").select("bucket", "node", "kinds").groupBy("bucket").applyInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def _blocks(node: str, n: Column, seed: int) -> Column:
-    """The block of a node where n nodes are dealt into blocks of about BLOCK."""
-    return F.pmod(F.xxhash64(F.lit(seed), node), F.greatest(F.lit(1), F.ceil(n / BLOCK)))
+def _blocks(n: str, volume: str, most: int = 1) -> Column:
+    """Blocks for n nodes with so many shingles, `most` to a bucket."""
+    return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(n) * most / BLOCK, F.col(volume) * most / VOLUME))).cast("int")
+
+
+def _block(blocks: Column, seed: int) -> Column:
+    """The block of a node."""
+    return F.pmod(F.xxhash64(F.lit(seed), "node"), blocks).cast("int")
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    """(k, n, volume, blocks) of the keys that several members (k, node, size) share."""
+    return stored(members.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.min("node").alias("centre")).where("n > 1").withColumn("blocks", _blocks("n", "volume")))
+
+
+def _by_rare(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """(k, node, size) with narrower keys for many (k, node, size, blocks): two sets at SIMILAR share one of the rarest
+    shingles of both (of a shingles, a fifth and one more, in order of how many sets of the key hold them), so nodes joined by these are the
+    new keys. Nodes of whose rarest no other holds any have no link and are left out. The shingles are dealt by their hashes, about
+    VOLUME to a task, and travel in packs: rows and bytes grow in proportion to the sets, whatever the sizes of the groups."""
+    top, bottom = SIMILAR
+
+    def deal(batches):
+        for b in parts(batches, 64):
+            column = b.column("kinds")
+            own = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(column).to_numpy())
+            kinds = column.flatten().to_numpy()
+            k, nodes, blocks = (b.column(c).to_numpy()[own] for c in ("k", "node", "blocks"))
+            shard = (mix(kinds.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int32)
+            order = np.lexsort((shard, k))
+            k, shard = k[order], shard[order]
+            new = (k[1:] != k[:-1]) | (shard[1:] != shard[:-1])
+            cut = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(k) else np.zeros(1, np.int64)
+            packs = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x[order])) for x in (nodes, kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(k[cut[:-1]]), pa.array(shard[cut[:-1]]), *packs], names=["k", "shard", "nodes", "kinds"])
+
+    def count(group):
+        nodes, kinds = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("nodes", "kinds"))
+        _, at, df = np.unique(kinds, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(df[at] > 1)
+        some = some[np.argsort(nodes[some], kind="stable")]
+        node, first = np.unique(nodes[some], return_index=True)
+        cut = pa.array(np.append(first, len(some)).astype(np.int32))
+        return pa.table({"node": node, "df": pa.ListArray.from_arrays(cut, pa.array(df[at[some]])), "kind": pa.ListArray.from_arrays(cut, pa.array(kinds[some]))})
+
+    dealt = many.join(sets, "node").select("k", "node", "blocks", "kinds").mapInArrow(deal, "k bigint, shard int, nodes array<bigint>, kinds array<bigint>")
+    found = dealt.groupBy("k", "shard").applyInArrow(count, "node bigint, df array<bigint>, kind array<bigint>")
+    common = found.groupBy("node").agg(F.flatten(F.collect_list(F.arrays_zip("df", "kind"))).alias("common"))
+    most = F.floor(F.col("size") * (bottom - top) / bottom) + 1 - (F.col("size") - F.size("common"))  # of the common ones
+    rare = many.join(common, "node").withColumn("most", F.greatest(F.lit(0), most).cast("int"))
+    rare = rare.select("k", "node", "size", F.slice(F.array_sort("common"), F.lit(1), F.col("most")).alias("rare"))
+    keys = rare.select("node", F.explode("rare.kind").alias("kind"), "k").select(F.col("node").alias("a"), F.xxhash64("k", "kind").alias("b"))
+    roots = stored(components(keys)).select(F.col("node").alias("of"), F.col("root").alias("k"))
+    return many.select("node", "size").join(roots, F.col("node") == F.col("of")).select("k", "node", "size")
 
 
 def similar_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) whose components equal those of all pairs with a common key and a similarity of SIMILAR or more.
     entries: (k, node), distinct; sets: (node, kinds) of the nodes that share a key with another.
 
-    Keys of few nodes are buckets. The nodes of a frequent key are dealt into blocks, each with the key's least node and about
-    BLOCK / 2 others, the hubs: a group of copies is joined by its links to the hubs, whatever its size. Where that leaves a frequent key's nodes in
-    several components, the nodes outside the largest one meet all the others, block by block."""
-    counts = stored(entries.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"))
-    frequent = stored(counts.where(F.col("n") > BLOCK))
-    rest = entries.join(small(counts.where(F.col("n") <= BLOCK).select("k")) if frequent.isEmpty() else counts.where(F.col("n") <= BLOCK).select("k"), "k", "left_semi")
-    few = rest.groupBy("k").agg(F.array_sort(F.collect_set("node")).alias("members")).select("members").distinct()  # at most BLOCK
-    buckets = few.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node")).distinct()
+    Keys of up to BLOCK nodes and VOLUME shingles are buckets. A larger one is parted by its rarest shingles. The nodes of a part
+    that is still too large are dealt into blocks, each with the part's least node and half as many others, the hubs: a group of copies is joined by its
+    links to the hubs, whatever its size. Where that leaves nodes in several components, the nodes outside the largest one meet all the others, block by block."""
+    sized = stored(entries.join(sets.select("node", F.size("kinds").alias("size")), "node").select("k", "node", "size"))
+    counts = _grouped(sized)
+    bucket = F.xxhash64(F.lit("key"), "k").alias("bucket")
+    buckets = sized.join(counts.where("blocks = 1").select("k"), "k", "left_semi").select(bucket, "node")
+    frequent = counts.where("blocks > 1").select("k", "blocks")
+    if frequent.isEmpty():
+        return stored(_verified(buckets, sets))
+    many = stored(_by_rare(stored(sized.join(small(stored(frequent)), "k")), sets))
+    counts = _grouped(many)
+    buckets = buckets.union(many.join(small(stored(counts.where("blocks = 1").select("k"))), "k", "left_semi").select(bucket, "node"))
+    frequent = stored(counts.where("blocks > 1"))
     if frequent.isEmpty():
         return stored(_verified(buckets, sets))
-    many = stored(entries.join(small(frequent), "k"))
-    of = F.greatest(F.lit(1), F.floor(F.col("n") / max(1, BLOCK // 2)))
-    hubs = many.where((F.col("node") == F.col("centre")) | (F.pmod(F.xxhash64(F.lit(4), "node"), of) == 0))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("bigint") - 1))
-    spokes = many.select("k", "node", _blocks("node", F.col("n"), 1).alias("block")).union(hubs.select("k", "node", every.alias("block")))
-    spokes = spokes.select(F.xxhash64(F.lit("spokes"), "k", "block").alias("bucket"), "node")
-    edges = stored(_verified(buckets.union(spokes).distinct(), sets))
+    many = stored(many.join(small(frequent), "k"))
+    hubs = many.where((F.col("node") == F.col("centre")) | (_block(2 * F.col("blocks"), 4) == 0))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spokes = many.select("k", "node", _block(F.col("blocks"), 1).alias("block")).union(hubs.select("k", "node", every.alias("block")))
+    spokes = spokes.select(F.xxhash64(F.lit("spokes"), "k", "block").alias("bucket"), "node").distinct()
+    edges = stored(_verified(buckets.union(spokes), sets))
 
     # what the hubs didn't join
     roots = components(edges).select(F.col("node").alias("of"), "root")
-    placed = stored(many.join(roots, many["node"] == F.col("of"), "left").select("k", "n", "node", F.coalesce("root", "node").alias("root")))
-    parts = stored(placed.groupBy("k", "root").agg(F.count("*").alias("size")))
-    split = parts.groupBy("k").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("outside")).where("parts > 1")
-    split = stored(split.select("k", "largest", "outside"))
+    placed = stored(many.join(roots, many["node"] == F.col("of"), "left").select("k", "n", "volume", "node", "size", F.coalesce("root", "node").alias("root")))
+    groups = stored(placed.groupBy("k", "root").agg(F.count("*").alias("nodes"), F.sum("size").alias("shingles")))
+    split = groups.groupBy("k").agg(F.max(F.struct("nodes", "shingles", "root")).alias("largest"), F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1")
+    split = stored(split.select("k", F.col("largest.root").alias("largest"), (F.col("nodes") - F.col("largest.nodes")).alias("outside"), (F.col("shingles") - F.col("largest.shingles")).alias("outside_volume")))
     if split.isEmpty():
         return edges
-    placed = placed.join(small(split), "k")
-    s_blocks, m_blocks = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("outside", "n"))
-    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    outer = placed.where("root <> largest").select("k", "node", _blocks("node", F.col("outside"), 2).alias("x"), to(m_blocks).alias("y"))
-    other = placed.select("k", "node", _blocks("node", F.col("n"), 3).alias("y"), to(s_blocks).alias("x"))
-    pairs = outer.union(other.select("k", "node", "x", "y")).select(F.xxhash64(F.lit("pairs"), "k", "x", "y").alias("bucket"), "node").distinct()
+    placed = placed.join(small(split), "k").withColumn("xs", _blocks("outside", "outside_volume", 2)).withColumn("ys", _blocks("n", "volume", 2))
+    to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    outer = placed.where("root <> largest").select("k", "node", _block(F.col("xs"), 2).alias("x"), to("ys").alias("y"))
+    other = placed.select("k", "node", to("xs").alias("x"), _block(F.col("ys"), 3).alias("y"))
+    pairs = outer.union(other).select(F.xxhash64(F.lit("pairs"), "k", "x", "y").alias("bucket"), "node").distinct()
     return edges.union(stored(_verified(pairs, sets)))
 
 

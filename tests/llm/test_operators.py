@@ -715,6 +715,57 @@ def test_frequent_keys_are_verified_in_blocks(spark, monkeypatch, block):
     assert got == set(low.values())
 
 
+def test_rows_dealt_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Texts that share a passage, so that the search joins them, but are no copies, and a few that are."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    dealt, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda members, sets: dealt.append(members.count()) or verified(members, sets))
+    rng = random.Random(31)
+    words = lambda n: ["w%d" % rng.randrange(90_000) for _ in range(n)]
+    passage, rows = words(100), {}
+    for size in (120, 480):
+        texts = [passage + words(40) for _ in range(size)]
+        for i in range(0, size, 12):
+            texts.append([*texts[i][:-1], "end"])
+        texts = [" ".join(t) for t in texts]
+        dealt.clear()
+        got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
+        assert got == set(range(size)) and len(texts) > size
+        rows[size] = sum(dealt)
+    assert 0 < rows[120] <= 120 and rows[480] <= 480
+
+
+def test_close_texts_that_are_no_copies_share_a_bucket(spark, monkeypatch):
+    """What is left of a group whose members hold most of its shingles, but none of which is a copy of another: one row each."""
+    dealt, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda members, sets: dealt.append(members.count()) or verified(members, sets))
+    rng = random.Random(32)
+    base = ["w%d" % rng.randrange(9000) for _ in range(150)]
+    texts = []
+    for i in range(400):
+        near = base[:]
+        for at in range(rng.randrange(8), 150, 30):  # five places, 25 of 146 shingles: similarities about 0.7
+            near[at] = "x%d.%d" % (i, at)
+        texts.append(" ".join(near))
+    table = docs(spark, texts)
+    got = {r.doc_id for r in simhash.deduplicate(table).collect()}
+    assert len(got) == len(texts) and sum(dealt) <= len(texts)
+
+
+def test_overlaps_are_counted_exactly():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([rng.choice(1500, 400, replace=False), rng.choice(20_000, 60) + 10_000, rng.choice(1 << 40, 20) + 40_000]).astype(np.uint64)) for _ in range(150)]
+    sets += [sets[3][:300], sets[4], np.zeros(0, np.uint64)]
+    found, kinds = simhash._overlaps(sets), [set(x.tolist()) for x in sets]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    assert all(found[i, j] == len(kinds[i] & kinds[j]) for i, j in pairs)
+    alike = lambda i, j: i != j and 5 * len(kinds[i] & kinds[j]) >= 4 * len(kinds[i] | kinds[j]) > 0
+    low = components_by_force(range(len(sets)), alike)
+    edges = simhash._similar_forest(sets)
+    linked = {frozenset(e) for e in edges}
+    assert all(alike(*e) for e in edges) and components_by_force(range(len(sets)), lambda i, j: frozenset((i, j)) in linked) == low
+
+
 CLASHES = "doc_id bigint, text string, lang string, keep_id string, keep_th string, keep_n string, __id string, __th string, __n string, __good string, __keep string, __lang string, bad_id string, own_0 string, th string, node string"
 
 
