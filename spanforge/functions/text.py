@@ -15,6 +15,8 @@ DIGIT = (
 KEYWORDS = "def class import from return if else for while var let const function async await try catch fn pub impl struct enum match".split()
 CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{2a700}-\x{2b73f}\x{f900}-\x{faff}\x{2f800}-\x{2fa1f}]"
 STRIP = rf"\A{WS}+|{WS}+\z"
+#: What WS holds, as a string.
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 EMOJI = r"\A(?:\p{So}|\p{Sk}|[\x{1f301}-\x{10ffff}])+\z"
 URL = r"\A(?:https?://|ftp://|mailto:|/[a-zA-Z]|\.\.?/|[a-zA-Z]:\\)"
 JSON = r'\A(?:["{}\[\]:,]|true|false|null)'
@@ -35,7 +37,7 @@ def byte_length(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space, by the wide definition of white space."""
-    return F.regexp_replace(text, F.lit(STRIP), F.lit(""))
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def classify(text: Column) -> Column:
@@ -130,11 +132,17 @@ def text_of(value: Column, fallback: Column) -> Column:
     return F.coalesce(inner, value, fallback)
 
 
+def script_class(script: str) -> str:
+    """A script's characters, as what stands inside a class. Looking a script up is slow, so ASCII is told first, and for Latin its
+    letters up to U+02B8."""
+    if script == "Latin":
+        return r"a-zA-Z[\x{aa}-\x{10ffff}&&[\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2b8}\p{IsLatin}]]"
+    return rf"[\x{{80}}-\x{{10ffff}}&&\p{{Is{script}}}]"
+
+
 def script_count(text: Column, script: str) -> Column:
     """Characters of a script (Latin, Arabic, Han)."""
-    # whole runs are taken away at once, and ASCII letters without looking their script up
-    of = r"[a-zA-Z\p{IsLatin}]+" if script == "Latin" else rf"\p{{Is{script}}}+"
-    return (F.char_length(text) - F.char_length(F.regexp_replace(text, of, ""))).cast("bigint")
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, rf"[{script_class(script)}]+", ""))).cast("bigint")
 
 
 def json_string(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from spanforge.operators import ranking
 
 @dataclass(frozen=True)
 class Language:
-    """How probes are cut from a language's text."""
+    """How probes are cut from a language's text. A span holds letters of the script, combining marks and ’ ' - only."""
 
     lang: str
     category: str
@@ -30,13 +31,17 @@ class Language:
     min_chars: int = 4
     max_chars: int = 140
     min_fragment: int = 12
-    split: str = r"(?<=[.!?;:])\s+"
+    split: str = r"(?=\s)(?<=[.!?;:])\s+"
+
+
+def _letters(script: str) -> str:
+    """A script's letters and combining marks, as what stands inside a class; ASCII doesn't reach the look-ups."""
+    return T.script_class(script) + r"[\x{300}-\x{10ffff}&&\p{M}]"
 
 
 def _words(script: str, joined: bool) -> str:
-    # a match begins at the first character of its run and ends with the last, so no look at its neighbours is needed;
-    # ASCII letters stand first because a script look-up is slow
-    one = r"[a-zA-Z\p{IsLatin}\p{M}]" if script == "Latin" else rf"[\p{{Is{script}}}\p{{M}}]"
+    # a match begins at the first character of its run and ends with the last, so no look at its neighbours is needed
+    one = rf"[{_letters(script)}]"
     return rf"{one}+" + (rf"(?:[’'-]{one}+)*" if joined else "")
 
 
@@ -46,7 +51,7 @@ LANGUAGES = {
     "fr": Language("fr", "french_partial", "Latin", _words("Latin", True)),
     "en": Language("en", "english_partial", "Latin", _words("Latin", True)),
     "es": Language("es", "spanish_partial", "Latin", _words("Latin", True)),
-    "ar": Language("ar", "arabic_partial", "Arabic", _words("Arabic", False), 5, 30, 3, (0.55, 0.70, 0.80), split=r"(?<=[.!?؟؛;:])\s+"),
+    "ar": Language("ar", "arabic_partial", "Arabic", _words("Arabic", False), 5, 30, 3, (0.55, 0.70, 0.80), split=r"(?=\s)(?<=[.!?؟؛;:])\s+"),
     "zh": Language("zh", "chinese_partial", "Han", r"\p{IsHan}+", 3, 16, 1, (0.45, 0.60, 0.75), 0, 40, 4, 140, 8, r"(?<=[。！？；：.!?;:])\s*"),
 }
 
@@ -63,34 +68,52 @@ def nfkc(text: Column) -> Column:
 def normalize(text: Column, legacy_controls: bool = False, compat: bool = True) -> Column:
     """NFKC, plain blanks, no zero-width characters, no control characters (kept with legacy_controls), trimmed."""
     t = nfkc(text) if compat else text
-    t = F.translate(t, " ​‌‍", " ")
-    if not legacy_controls:
-        t = F.regexp_replace(t, r"[\p{Cc}\p{Cf}&&[^\n\t]]+", " ")
-    return T.strip(F.regexp_replace(t, r"[ \t\r\f\x0B]+", " "))
+    # a run of controls and blanks is one blank; a blank alone is left as it is, and a table of characters would be asked for each
+    t = F.regexp_replace(t, r"[\x{200b}-\x{200d}]+", "")
+    other = r"\t\x0B\f\r\x{a0}" + ("" if legacy_controls else r"\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{9f}[\x{ad}-\x{10ffff}&&\p{Cf}]")
+    return T.strip(F.regexp_replace(t, rf"[{other}][ {other}]*| [ {other}]+", " "))
 
 
 def fragments(docs: DataFrame, spec: Language, text: str = "text") -> DataFrame:
     """docs with paragraph, position and fragment columns, one row per fragment."""
     paras = docs.select("*", F.posexplode(F.split(F.col(text), r"\n+")).alias("paragraph", "__p")).withColumn("__p", T.strip(F.col("__p"))).where("__p <> ''")
     out = paras.select("*", F.posexplode(F.split("__p", spec.split)).alias("position", "__f"))
-    return out.withColumn("fragment", F.regexp_replace("__f", r"\A[ \t]+|[ \t]+\z", "")).drop("__p", "__f").where("fragment <> ''")
+    return out.withColumn("fragment", F.trim("__f", F.lit(" \t"))).drop("__p", "__f").where("fragment <> ''")
 
 
 def usable(fragment: Column, spec: Language) -> Column:
     n = F.char_length(fragment)
+    link = F.contains(fragment, F.lit("://")) | F.contains(fragment, F.lit("www."))
     return (
-        (n >= spec.min_fragment) & (F.regexp_count(fragment, F.lit(r"https?://|www\.")) <= 1) & ~fragment.rlike(r"[<>{}\[\]|]{3,}")
-        & (T.script_count(fragment, spec.script) >= spec.min_span) & ((n - F.char_length(F.regexp_replace(fragment, r"\p{P}+", ""))) / F.greatest(F.lit(1), n) <= 0.35)
+        (n >= spec.min_fragment) & (~link | (F.regexp_count(fragment, F.lit(r"https?://|www\.")) <= 1)) & ~fragment.rlike(r"[<>{}\[\]|]{3,}")
+        & _holds(fragment, spec.script, spec.min_span) & ((n - F.char_length(F.regexp_replace(fragment, r"\p{P}+", ""))) / F.greatest(F.lit(1), n) <= 0.35)
     )
 
 
-# White space as the patterns of words mean it, and what isn't, written as ranges because that is fast.
-_WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+def _holds(text: Column, script: str, n: int) -> Column:
+    """n characters of a script, of which no more are counted."""
+    one = T.script_class(script)
+    return text.rlike(rf"\A(?:[^{one}]*+[{one}]){{{n}}}")
+
+
+def _ends(text: Column, script: str) -> Column:
+    return F.substring(text, -1, 1).rlike(rf"[{T.script_class(script)}]")
+
+
+# White space as the patterns of words mean it, and what isn't, written as ranges because that is fast. A
+# nested class stands for what is rare: it isn't looked at where the first range decides.
+_RARE_WS = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WS = rf"[\s[\x{{85}}-\x{{3000}}&&[{_RARE_WS}]]]"
 _NOT_WS = (
-    r"[!-~\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}"
-    r"\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}]"
+    r"[!-~[\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}"
+    r"\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}]]"
 )
 _WORD = rf"(\A{_WS}*{_NOT_WS}+{_WS}*|{_NOT_WS}+{_WS}*)"
+#: Anything but words between single blanks.
+_ODD_WS = rf"\A |  |[\t-\r[\x{{85}}-\x{{3000}}&&[{_RARE_WS}]]]"
+#: Texts up to _SHORT characters are taken whole: steps may take their length for each span. Longer ones are cut in pieces of
+#: _PIECE and what is left of a run. Where words have under 24 characters and white space under 8, a piece holds 7 words.
+_SHORT, _PIECE, _LONG_WORD = 512, 256, rf"{_NOT_WS}{{24}}|{_WS}{{8}}"
 #: Entries of an array that a running sum takes at a time.
 _RUN = 128
 
@@ -130,18 +153,48 @@ def spans(frags: DataFrame, spec: Language, least: int = 1) -> DataFrame:
     return _spans_by_block(frags, spec) if spec.context_words <= 0 else _spans_by_word(frags, spec, least)
 
 
+def _exploded(rows: DataFrame, pieces: Column, out: str, left=lambda i: F.lit("")) -> DataFrame:
+    """rows with a struct of a piece (x), its place (at) and what stands left of it, one a row. Arrays stay behind: a row that
+    took them along would be as long as all of them."""
+    rows = rows.withColumn("__a", pieces).withColumn("__m", _sizes("__a")).withColumn("__from", F.when(F.size("__a") > 1, _running("__m")))
+    piece = lambda x, at, before: F.struct(x.alias("x"), at.alias("at"), before.alias("left"))
+    one = F.array(piece(F.get("__a", F.lit(0)), F.lit(0).cast("bigint"), F.lit("")))
+    many = F.transform(F.sequence(F.lit(0), F.size("__a") - 1), lambda i: piece(F.get("__a", i), F.get("__from", i), left(i)))
+    return rows.withColumn(out, F.explode(F.when(F.size("__a") == 1, one).otherwise(many))).drop("__a", "__m", "__from")
+
+
 def _spans_by_word(frags: DataFrame, spec: Language, least: int) -> DataFrame:
-    """A span lies in one word; its context is the words before that, and the word's beginning, which counts as one."""
-    k = spec.context_words
-    words = frags.withColumn("__w", F.regexp_extract_all("fragment", F.lit(_WORD), 1)).withColumn("__m", _sizes("__w")).withColumn("__from", _running("__m"))
-    last = lambda i, n: F.array_join(F.slice("__w", F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n))), "")
-    long = F.filter(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: F.get("__m", i) >= least)
-    each = F.transform(long, lambda i: F.struct(F.get("__w", i).alias("w"), F.get("__from", i).alias("at"), last(i, k).alias("all"), last(i, k - 1).alias("less")))
-    words = words.withColumn("__x", F.explode(each)).drop("__w", "__m", "__from").withColumn("__word", F.col("__x.w"))
-    out = _runs(words, "__word", spec.span).withColumn("__l", F.explode(F.zip_with("__s", "__at", lambda x, at: F.struct(x.alias("span"), at.alias("at")))))
-    head = F.substring("__x.w", F.lit(1), F.col("__l.at").cast("int"))
-    context = F.concat(F.when(head.rlike(_NOT_WS), F.col("__x.less")).otherwise(F.col("__x.all")), head)
-    return out.select(*frags.columns, F.col("__l.span").alias("span"), (F.col("__x.at") + F.col("__l.at")).cast("int").alias("offset"), context.alias("context"))
+    """A span lies in one word; its context is the words before that, and the word's beginning, which counts as one.
+    Short fragments are one part. Longer ones are cut in pieces, of which one holds a context, or in words, if some are so long
+    that it may not. Long words are cut again. No piece ends inside a run of what spans hold."""
+    k, c = spec.context_words, F.col
+    run = rf"[’'\-{_letters(spec.script)}]"
+    cut = F.lit(rf"((?s:.{{1,{_PIECE}}}+){run}*+)")
+    kind = F.when(F.char_length("fragment") <= _SHORT, 0).when(c("fragment").rlike(_LONG_WORD), 2).otherwise(1)
+    rows = frags.withColumns({"__kind": kind, "__odd": c("fragment").rlike(_ODD_WS)})
+    parts = F.when(c("__kind") == 0, F.array("fragment")).when(c("__kind") == 1, F.regexp_extract_all("fragment", cut, 1)).otherwise(F.regexp_extract_all("fragment", F.lit(_WORD), 1))
+    words = lambda i: F.array_join(F.slice("__a", F.greatest(i - k + 1, F.lit(1)), F.least(i, F.lit(k))), "")
+    rows = _exploded(rows, parts, "__p", lambda i: F.when(i == 0, F.lit("")).when(c("__kind") == 1, F.get("__a", i - 1)).otherwise(words(i)))
+    rows = rows.withColumns({"__text": c("__p.x"), "__at": c("__p.at"), "__left": c("__p.left")}).drop("__p")
+    rows = _exploded(rows, F.when(F.char_length("__text") <= 2 * _SHORT, F.array("__text")).otherwise(F.regexp_extract_all("__text", cut, 1)), "__q")
+    # a span's place is the end of its piece less what stands from the span on
+    rows = rows.withColumns({"__x": c("__q.x"), "__end": c("__q.at") + F.char_length("__q.x")}).drop("__q")
+    ahead = rf"(?={run}{{{least}}})" if least > 1 else ""
+    found = lambda what: F.regexp_extract_all("__x", F.lit(what), 1)
+    both = F.arrays_zip(found(rf"{ahead}({spec.span})").alias("s"), found(rf"(?=([{_letters(spec.script)}](?s:.*)))" + ahead + spec.span).alias("rest"))
+    rows = rows.withColumn("__s", F.explode(both)).drop("__x")
+    if least > 1:
+        rows = rows.where(F.char_length("__s.s") >= least)
+    rows = rows.withColumn("__in", (c("__end") - F.char_length("__s.rest")).cast("int"))
+    rows = rows.withColumn("__left", F.concat("__left", F.substring("__text", F.lit(1), c("__in"))))
+    return rows.select(*frags.columns, c("__s.s").alias("span"), (c("__at") + c("__in")).cast("int").alias("offset"), _last_words("__left", "__odd", k).alias("context"))
+
+
+def _last_words(text: str, odd: str, k: int) -> Column:
+    """The end of a text from its last word but k - 1 on, or all of it where it has no more than k words."""
+    plain = F.when(F.endswith(text, F.lit(" ")), F.substring_index(text, " ", -k - 1)).otherwise(F.substring_index(text, " ", -k))
+    back = F.regexp_extract(F.reverse(text), rf"\A({_WS}*(?:{_NOT_WS}+{_WS}+){{{k - 1}}}{_NOT_WS}+){_WS}+{_NOT_WS}", 1)
+    return F.when(~F.col(odd), plain).when(back == "", F.col(text)).otherwise(F.reverse(back))
 
 
 def _spans_by_block(frags: DataFrame, spec: Language) -> DataFrame:
@@ -173,14 +226,16 @@ def cuts(found: DataFrame, spec: Language) -> DataFrame:
     """found with ratio and cut (characters of the span that stay), each cut once per span with its first ratio."""
     n = F.char_length("span")
     cut = lambda r: F.greatest(F.lit(spec.min_prefix), F.least(n - 1, F.floor(n * F.lit(r)).cast("int")))
-    each = F.array(*(F.struct(F.lit(r).alias("ratio"), cut(r).alias("cut")) for r in spec.ratios))
-    first = F.filter(each, lambda x, i: ~F.exists(F.slice(each, F.lit(1), i), lambda y: y["cut"] == x["cut"]))
-    return found.withColumn("x", F.explode(first)).select(*found.columns, "x.ratio", "x.cut").where(F.col("cut") < n)
+    cut_of = [cut(r) for r in spec.ratios]
+    new = lambda i: reduce(lambda a, b: a & b, (cut_of[i] != x for x in cut_of[:i]), cut_of[i] < n)
+    each = F.array(*(F.struct(F.lit(r).alias("ratio"), cut_of[i].alias("cut"), new(i).alias("new")) for i, r in enumerate(spec.ratios)))
+    # the filter also parts the stage: Java runs methods over 8000 bytes, as one stage's would be, without compiling them
+    return found.withColumn("x", F.explode(F.filter(each, lambda x: x["new"]))).select(*found.columns, "x.ratio", "x.cut")
 
 
 def prefix(span: Column, cut: Column) -> Column:
     """The first part of a span, without hanging joiners and combining marks."""
-    return F.regexp_replace(F.regexp_replace(F.substring(span, F.lit(1), cut), "[-'’]+\\z", ""), r"\p{M}+\z", "")
+    return F.regexp_replace(F.rtrim(F.substring(span, F.lit(1), cut), F.lit("-'’")), r"[\x{300}-\x{10ffff}&&\p{M}]+\z", "")
 
 
 def candidates(docs: DataFrame, spec: Language, text: str = "text", category: Column | None = None) -> DataFrame:
@@ -190,10 +245,10 @@ def candidates(docs: DataFrame, spec: Language, text: str = "text", category: Co
     found = spans(frags, spec, spec.min_span)
     found = found.where(T.script_count(F.col("span"), spec.script).between(spec.min_span, spec.max_span))
     rows = cuts(found, spec).withColumn("prefix", prefix(F.col("span"), F.col("cut")))
-    ends = lambda c: F.col(c).rlike(rf"\p{{Is{spec.script}}}\z")
-    rows = rows.where((T.script_count(F.col("prefix"), spec.script) >= spec.min_prefix) & ends("prefix"))
-    rows = rows.withColumn("probe_text", T.strip(F.concat("context", "prefix")))
-    rows = rows.where(F.char_length("probe_text").between(spec.min_chars, spec.max_chars) & ends("probe_text"))
+    rows = rows.where(_ends(F.col("prefix"), spec.script) & _holds(F.col("prefix"), spec.script, spec.min_prefix))
+    # the text ends as its prefix does, so it is stripped on the left only
+    rows = rows.withColumn("probe_text", F.ltrim(F.concat("context", "prefix"), F.lit(T.WS_CHARS)))
+    rows = rows.where(F.char_length("probe_text").between(spec.min_chars, spec.max_chars))
     of = F.lit(spec.category) if category is None else category
     return rows.withColumns({"category": of, "probe_id": T.stable_id(of, F.col("probe_text"))})
 

@@ -219,3 +219,31 @@ def test_context_is_linear_and_exact(spark):
     assert len(rows) == want
     began = time.time()
     assert probes.spans(spark.createDataFrame([("Wort-bau kommt, " * 60_000,)], "fragment string"), de).count() == 120_000 and time.time() - began < 20
+
+
+def test_spans_of_pieces_and_long_words(spark):
+    """Fragments cut in pieces, in words, and words cut again, by definition; and short spans left out."""
+    de = probes.LANGUAGES["de"]
+    rng = random.Random(3)
+    some = lambda n, words: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", " "]) for _ in range(n)) + "end"
+    plain = " ".join(rng.choice(["Wort", "Bau-teil", "12,", "über", "l’Europe", "Überraschungen"]) for _ in range(400))
+    texts = [plain, some(300, ["Wort", "x-y", "1.5"]), some(60, ["a,bé;" * 30, "Wort"]), "word " * 7 + "ab,cdefghij." * 300 + " end", "a" * 3000 + " b", "x-" * 700 + "y z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, fragment string")
+    want = set()
+    for i, t in enumerate(texts):
+        for m in re.finditer("[a-zA-Zéü\xdc]+(?:[’'-][a-zA-Zéü\xdc]+)*", t):
+            words = list(re.finditer(r"\S+", t[: m.start()]))
+            want.add((i, m[0], m.start(), t[words[-6].start() if len(words) > 6 else 0 : m.start()]))
+    got = [(r.i, r.span, r.offset, r.context) for r in probes.spans(rows, de).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {(r.i, r.span, r.offset, r.context) for r in probes.spans(rows, de, 8).collect()} == {x for x in want if len(x[1]) >= 8}
+
+
+def test_classes_hold_what_scripts_hold(spark):
+    from spanforge.functions import text as T
+
+    chars = spark.range(1, 0x30000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")).where("c <> ''")  # U+FEFF is read as a mark of byte order
+    for script in ("Latin", "Arabic", "Han"):
+        assert chars.where(F.col("c").rlike(rf"[{T.script_class(script)}]") != F.col("c").rlike(rf"\p{{Is{script}}}")).count() == 0
+    assert chars.where(F.col("c").rlike(rf"[{probes._letters('Latin')}]") != F.col("c").rlike(r"[\p{IsLatin}\p{M}]")).count() == 0
+    assert chars.where((T.strip(F.col("c")) == "") != F.col("c").rlike(rf"\A{T.WS}\z")).count() == 0
